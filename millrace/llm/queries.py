@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import near_duplicates
+from millrace.llm import lookalikes, mixing, near_duplicates, packing, shared_spans, tokenizing
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,9 +20,66 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_links(table(spark, d, "samples")).withColumnRenamed("id", "ord")
 
 
+def _plan(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixing_plan(table(spark, d, "documents"), table(spark, d, "dolma_sources"), table(spark, d, "mixes"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.unreachable(_plan(spark, d))
+
+
+def p3_selection(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.realise(table(spark, d, "documents"), _plan(spark, d))
+
+
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    plan = _plan(spark, d)
+    return mixing.actual_shares(mixing.realise(table(spark, d, "documents"), plan), plan)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.lookalike_pairs(table(spark, d, "samples")).toDF("ord_a", "ord_b")
+
+
+def p4_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.consistent_form(table(spark, d, "samples"))
+
+
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizing.encode_corpus(table(spark, d, "documents"))
+
+
+def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizing.decode_corpus(p6_ids(spark, d))
+
+
+def p7_bins(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(tokenizing.token_counts(table(spark, d, "documents")))
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p7_bins(spark, d))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.sharing_records(table(spark, d, "documents")).toDF("doc_id_a", "doc_id_b")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": P3_FOUND, "p6_decoded": P6_DECODED}
+
+
+P3_FOUND = """
+WITH docs AS (SELECT lower(trim(source)) AS name, sum(n_chars) AS size FROM documents GROUP BY 1),
+s AS (SELECT mix, name, sum(weight) AS weight FROM (SELECT DISTINCT mix, lower(trim(name)) AS name, subset, coalesce(weight, 0) AS weight FROM dolma_sources) GROUP BY 1, 2),
+shares AS (SELECT mix, name, weight / nullif(sum(weight) OVER (PARTITION BY mix), 0) AS share FROM s),
+total AS (SELECT sum(n_chars) AS size FROM documents)
+SELECT shares.mix, shares.name
+FROM shares JOIN mixes USING (mix) CROSS JOIN total LEFT JOIN docs ON docs.name = shares.name
+WHERE share > 0 AND share * size_factor * total.size > max_repeats * coalesce(docs.size, 0)
+"""
+P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import lookalikes, mixing, near_duplicates, packing, shared_spans, tokenizing
+from millrace.llm import answer_defects, lookalikes, mixing, near_duplicates, packing, shared_spans, tokenizing
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_links(table(spark, d, "samples")).withColumnRenamed("id", "ord")
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return answer_defects.defective_answers(table(spark, d, "preference"), table(spark, d, "common_words"))
+
+
+def p2_flags(spark: SparkSession, d: str) -> DataFrame:
+    return answer_defects.answer_flags(table(spark, d, "preference"), table(spark, d, "common_words"))
+
+
 def _plan(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixing_plan(table(spark, d, "documents"), table(spark, d, "dolma_sources"), table(spark, d, "mixes"))
 

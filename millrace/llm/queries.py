@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import answer_defects, lookalikes, mixing, near_duplicates, packing, shared_spans, tokenizing
+from millrace.llm import answer_defects, lookalikes, mixing, near_duplicates, packing, shared_spans, text_quality, tokenizing
 from millrace.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,14 @@ def p4_forms(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.consistent_form(table(spark, d, "samples"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality.unnatural_texts(table(spark, d, "samples"), table(spark, d, "common_words"))
+
+
+def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_quality.quality_statistics(table(spark, d, "samples"), table(spark, d, "common_words"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, d, "documents"))
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
 
-from pyspark.sql import DataFrame, SparkSession
+from millrace.plans.registry import QUERIES, SQL, Query
 
+MODULES = ("text_queries", "dedup_queries", "mixture_queries", "sequence_queries", "metric_queries", "source_queries")
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    for m in MODULES:
+        importlib.import_module(f"millrace.plans.{m}")
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return dict(SQL)

@@ -20,7 +20,7 @@ def heuristic_score(c: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
 
 
-def train_classifier(labelled: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 18, max_rows: int | None = None, seed: int = 42):
+def train_classifier(labelled: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 16, max_rows: int | None = None, seed: int = 42):
     """Logistic regression over hashed words and word pairs; label 1 is good.
 
     With max_rows the model is fitted on that many rows, chosen by hash; scoring covers every row.

@@ -1 +1,103 @@
-"""Queries."""
+"""Queries of sources, sinks, the pipeline and streams; they write to a temporary folder and read it back."""
+
+from __future__ import annotations
+
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import functions as F
+
+from millrace.operators.dedup import exact_dedup
+from millrace.plans import recipe
+from millrace.plans.registry import query
+from millrace.session import table
+from millrace.sources import readers, sinks
+from millrace.streaming import dedup as streams
+
+
+def scratch(spark, name: str) -> str:
+    """A folder in the shared place the cluster names, local only where none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        import uuid
+
+        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix=f"{name}-")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents")
+def jsonl_round_trip(spark, d):
+    path = scratch(spark, "jsonl") + "/docs.jsonl"
+    sinks.write_documents(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "text"), path)
+    return readers.read_documents(spark, path).select("id", "text")
+
+
+@query("SELECT doc_id, text FROM documents")
+def parquet_round_trip(spark, d):
+    path = scratch(spark, "parquet") + "/docs"
+    sinks.write_documents(table(spark, d, "documents").select("doc_id", "text"), path, "parquet")
+    return readers.read_first_of(spark, ["no such dataset", path])
+
+
+@query("SELECT coalesce(CAST(doc_id AS VARCHAR)) AS id, CASE WHEN coalesce(site, '') <> '' THEN site || chr(10) || chr(10) || coalesce(text, '') ELSE coalesce(text, '') END AS text FROM documents")
+def article_fields(spark, d):
+    return readers.article_fields(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("site").alias("title"), "text"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) > 500 ORDER BY doc_id LIMIT 100")
+def first_kept(spark, d):
+    return readers.limit_kept(table(spark, d, "documents").where(F.length("text") > 500), "doc_id", 100).select("doc_id")
+
+
+@query("SELECT event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 16 AS INT) AS batch FROM events")
+def batch_numbers(spark, d):
+    return sinks.batch_numbers(table(spark, d, "events").select("event_id", "user_id"), "event_id", 16, "user_id").select("event_id", "batch")
+
+
+@query("SELECT md5(CAST(doc_id AS VARCHAR)) AS key, coalesce(text, '') AS text FROM documents")
+def text_cache(spark, d):
+    return sinks.cache_table(table(spark, d, "documents"), "doc_id", "text", scratch(spark, "cache") + "/table").select("key", "text")
+
+
+@query(None)
+def pipeline_counts(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    _, stages = recipe.run(docs, recipe.Recipe(limits={"max_run_repetition": 0.9}, quality=True), "doc_id")
+    return recipe.stage_counts(stages)
+
+
+def _stream(spark, d, name: str):
+    src = f"{d}/{name}.parquet"
+    schema = spark.read.parquet(src).schema
+    folder = Path(d)
+    glob = f"{name}.parquet" if not (folder / f"{name}.parquet").is_dir() else f"{name}.parquet/*.parquet"
+    return spark.readStream.schema(schema).parquet(f"{d}/{glob}" if "*" in glob else d, pathGlobFilter=None if "*" in glob else glob)
+
+
+def _drain(stream, spark, name: str, mode: str):
+    out = scratch(spark, name)
+    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", out + "/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.sql(f"SELECT * FROM {name}")
+
+
+@query("SELECT sha256(text) AS hash FROM documents WHERE length(text) > 0 GROUP BY text")
+def stream_exact_dedup(spark, d):
+    rows = streams.exact_stream(_stream(spark, d, "documents").select("doc_id", "text"))
+    return _drain(rows.select(F.sha2("text", 256).alias("hash")), spark, "stream_exact_dedup", "append")
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, d):
+    w = streams.event_windows(_stream(spark, d, "events"), "ts", "1 day", by="event_type", value="value")
+    out = _drain(w.select("event_type", F.col("window.start").alias("day"), "n", "total"), spark, "stream_windows", "complete")
+    return out.withColumn("total", F.round("total", 4))
+
+
+@query(None)
+def stream_near_dedup(spark, d):
+    out = scratch(spark, "near")
+    sink = streams.NearDedupSink(out + "/kept", "doc_id", "doc_id")
+    streams.near_stream(_stream(spark, d, "documents").select("doc_id", "text"), sink, out + "/c").awaitTermination()
+    kept = sink.kept(spark)
+    return kept.select("doc_id") if kept is not None else exact_dedup(table(spark, d, "documents").limit(0), "text", "doc_id").select("doc_id")

@@ -5,6 +5,8 @@ Fixed values: Python's \\s, \\w, isalpha and isalnum on str, written out.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,3 +34,8 @@ def words(c: Column | str) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)

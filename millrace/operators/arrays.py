@@ -9,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from millrace.functions.chars import let
 
 EPS = 1e-8
 
@@ -70,7 +73,7 @@ def quantise(df: DataFrame, vector: str, codebook: np.ndarray, out: str = "code"
     """
     book = np.asarray(codebook, np.float64)
     half = (book * book).sum(axis=1)
-    fields = df.schema.names
+    fields = list(df.columns)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,8 +85,7 @@ def quantise(df: DataFrame, vector: str, codebook: np.ndarray, out: str = "code"
                 codes[good] = (half[None, :] - 2 * x @ book.T).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, mask=~good)], names=[*fields, out])
 
-    schema = df.schema.add(out, "int")
-    return df.mapInArrow(rows, schema)
+    return df.mapInArrow(rows, StructType([*df.schema.fields, StructField(out, IntegerType())]))
 
 
 def dequantise(df: DataFrame, code: str, codebook: DataFrame) -> DataFrame:
@@ -157,22 +159,21 @@ def grouped_top_k(values: Column, groups: int, keep: int, k: int) -> Column:
     """top_k among the `keep` groups of equal width with the largest maxima."""
     width = (F.size(values) / groups).cast("int")
     best = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: F.array_max(F.slice(values, g * width + 1, width)))
-    chosen = F.transform(top_k(best, keep), lambda p: p["index"])
     pairs = F.transform(values, lambda v, i: F.struct((-v).alias("neg"), i.alias("index"), v.alias("value")))
-    inside = F.filter(pairs, lambda p: F.array_contains(chosen, F.floor(p["index"] / width).cast("int")))
+    inside = let(F.transform(top_k(best, keep), lambda p: p["index"]), lambda chosen: F.filter(pairs, lambda p: F.array_contains(chosen, F.floor(p["index"] / width).cast("int"))))
     return F.transform(F.slice(F.array_sort(inside), F.lit(1), F.lit(k)), lambda p: F.struct(p["value"].alias("value"), p["index"].alias("index")))
 
 
 def softmax(values: Column) -> Column:
-    most = F.array_max(values)
-    e = F.transform(values, lambda v: F.exp(v - most))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    def scaled(most: Column) -> Column:
+        return let(F.transform(values, lambda v: F.exp(v - most)), lambda e: let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda x: x / total)))
+
+    return let(F.array_max(values), scaled)
 
 
 def nucleus(values: Column, p: float) -> Column:
     """Indices, by falling value, of the smallest set whose softmax exceeds p; the crossing one is kept."""
-    ranked = top_k(softmax(values.cast("array<double>")), 1 << 30)
+    ranked = let(softmax(values.cast("array<double>")), lambda p: top_k(p, 1 << 30))
     start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("kept"))
 
     def step(s: Column, x: Column) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.chars import words
+from millrace.functions.chars import let, words
 
 IGNORED = -100
 
@@ -71,7 +71,7 @@ def prompt_masked_labels(ids: Column, template: Column) -> Column:
     n, k = F.size(ids), F.size(template)
     starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i > 1) & (i + k - 1 <= n) & (F.slice(ids, i, k) == template))
     first = F.coalesce(F.try_element_at(starts, F.lit(1)), n + 1)
-    return F.transform(ids, lambda x, j: F.when(j + 1 < first, F.lit(IGNORED)).otherwise(x))
+    return let(first, lambda at: F.transform(ids, lambda x, j: F.when(j + 1 < at, F.lit(IGNORED)).otherwise(x)))
 
 
 def modality(token: Column) -> Column:

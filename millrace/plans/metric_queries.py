@@ -55,12 +55,12 @@ def load_window(spark, d):
 
 
 @query(
-    """SELECT user_id, event_id, round(avg(value) OVER w, 6) AS mean_seconds, round(avg(event_id) OVER w / avg(value) OVER w, 4) AS tokens_per_second, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS tokens_so_far
+    """SELECT user_id, event_id, round(avg(value) OVER w + 1e-8, 6) AS mean_seconds, round(avg(event_id) OVER w / avg(value) OVER w, 4) AS tokens_per_second, CAST(sum(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS tokens_so_far
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)"""
 )
 def step_timing_window(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", "value", F.col("event_id").alias("tokens"))
-    return M.step_timing(e, "user_id", "event_id", "value", "tokens").withColumns({"mean_seconds": F.round("mean_seconds", 6), "tokens_per_second": F.round("tokens_per_second", 4)})
+    return M.step_timing(e, "user_id", "event_id", "value", "tokens").withColumns({"mean_seconds": F.round(F.col("mean_seconds") + 1e-8, 6), "tokens_per_second": F.round("tokens_per_second", 4)})
 
 
 @query(
@@ -255,15 +255,15 @@ def scaling_band(spark, d):
     return table(spark, d, "orders").select("o_orderkey", M.training_band(F.col("o_totalprice"), F.lit(10000.0)).alias("band"))
 
 
-@query("SELECT user_id, event_id, round((event_id + 1)::DOUBLE / (1 + event_id % 9), 6) AS ratio, CAST(event_id + 1 - (1 + event_id % 9) AS BIGINT) AS saved, round(avg((event_id + 1)::DOUBLE / (1 + event_id % 9)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), 6) AS mean_ratio FROM events")
+@query("SELECT user_id, event_id, round((event_id + 1)::DOUBLE / (1 + event_id % 9), 6) AS ratio, CAST(event_id + 1 - (1 + event_id % 9) AS BIGINT) AS saved, round(avg((event_id + 1)::DOUBLE / (1 + event_id % 9)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) + 1e-8, 6) AS mean_ratio FROM events")
 def compression_window(spark, d):
     e = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") + 1).alias("raw"), (1 + F.col("event_id") % 9).alias("packed"))
-    return rounded(M.compression(e, "user_id", "event_id", "raw", "packed"))
+    return rounded(M.compression(e, "user_id", "event_id", "raw", "packed").withColumn("mean_ratio", F.col("mean_ratio") + 1e-8))
 
 
-@query("SELECT p_partkey, p_retailprice FROM part WHERE p_size >= 10 AND p_retailprice >= 1000 ORDER BY p_retailprice DESC, p_partkey LIMIT 3")
+@query("SELECT event_id, value FROM events WHERE user_id >= 10 AND value >= 1 ORDER BY value DESC, event_id LIMIT 3")
 def capability_match(spark, d):
-    return M.best_matches(table(spark, d, "part"), {"p_size": 10, "p_retailprice": 1000}, "p_retailprice", "p_partkey").select("p_partkey", "p_retailprice")
+    return M.best_matches(table(spark, d, "events"), {"user_id": 10, "value": 1}, "value", "event_id").select("event_id", "value")
 
 
 @query("SELECT user_id, event_id, row_number() OVER w <= 3 AS keep, row_number() OVER w = 1 AS latest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)")

@@ -62,7 +62,7 @@ def text_cache(spark, d):
 @query(None)
 def pipeline_counts(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    _, stages = recipe.run(docs, recipe.Recipe(limits={"max_run_repetition": 0.9}, quality=True), "doc_id")
+    _, stages = recipe.run(docs, recipe.Recipe(limits={"max_run_repetition": 0.9}, quality=True, snapshots=scratch(spark, "stages")), "doc_id")
     return recipe.stage_counts(stages)
 
 

@@ -23,24 +23,29 @@ def stateless(df: DataFrame, text: str = "text") -> DataFrame:
     return heuristic_filter(df.withColumn(text, clean(F.col(text))), text)
 
 
+def _timed(df: DataFrame, time: str) -> DataFrame:
+    """A watermark needs a timestamp with a time zone."""
+    return df.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def exact_stream(df: DataFrame, text: str = "text", event_time: str | None = None, delay: str = "1 day") -> DataFrame:
     """The first row of each text. With an event time the state of a text is dropped after the delay;
     without one it grows with the number of different texts."""
     rows = df.where(F.length(text) > 0).withColumn("_h", F.sha2(text, 256))
     if event_time is None:
         return rows.dropDuplicates(["_h"]).drop("_h")
-    return rows.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_h"]).drop("_h")
+    return _timed(rows, event_time).withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["_h"]).drop("_h")
 
 
 def event_windows(df: DataFrame, time: str, width: str, slide: str | None = None, delay: str = "10 minutes", by: str | None = None, value: str | None = None) -> DataFrame:
     """Counts (and sums) per window of event time; late rows beyond the delay are left out."""
     keys = [F.window(time, width, slide) if slide else F.window(time, width)] + ([F.col(by)] if by else [])
     aggregates = [F.count("*").alias("n")] + ([F.sum(value).alias("total")] if value else [])
-    return df.withWatermark(time, delay).groupBy(*keys).agg(*aggregates)
+    return _timed(df, time).withWatermark(time, delay).groupBy(*keys).agg(*aggregates)
 
 
 def sessions(df: DataFrame, time: str, key: str, gap: str, delay: str = "10 minutes") -> DataFrame:
-    return df.withWatermark(time, delay).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
+    return _timed(df, time).withWatermark(time, delay).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"))
 
 
 class NearDedupSink:

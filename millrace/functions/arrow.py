@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import html
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -79,3 +80,25 @@ def matcher_ratio(a: Column | str, b: Column | str) -> Column:
         return pa.array([None if p is None or q is None else difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x.to_pylist(), y.to_pylist())], pa.float64())
 
     return run(a, b)
+
+
+def top_shares(c: Column | str) -> Column:
+    """struct(letters, words): share of the most frequent letter and of the most frequent word, 0 if none."""
+    from pyspark.sql.types import StructField, StructType
+
+    @F.arrow_udf(StructType([StructField("letters", DoubleType()), StructField("words", DoubleType())]))
+    def run(texts: pa.Array) -> pa.Array:
+        letters, words = [], []
+        for t in texts.to_pylist():
+            by_word = Counter((t or "").split())
+            total = sum(by_word.values())
+            words.append(max(by_word.values()) / total if total else 0.0)
+            by_letter: Counter = Counter()
+            for w, n in by_word.items():  # each different word once
+                for ch in w:
+                    by_letter[ch] += n
+            counts = [n for ch, n in by_letter.items() if ch.isalpha()]
+            letters.append(max(counts) / sum(counts) if counts else 0.0)
+        return pa.StructArray.from_arrays([pa.array(letters, pa.float64()), pa.array(words, pa.float64())], names=["letters", "words"])
+
+    return run(c)

@@ -5,13 +5,14 @@ Null texts are treated as empty ones. Reasons partition the rows: null means the
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.arrow import distinct_runs
-from millrace.functions.chars import ALNUM, ALPHA, SPACE, UPPER, WORD, count, ratio, strip, words
+from millrace.functions.arrow import distinct_runs, top_shares
+from millrace.functions.chars import SPACE, UPPER, WORD, count, ratio, strip, words
 
 
 @dataclass(frozen=True)
@@ -63,34 +64,46 @@ def balanced(c: Column) -> Column:
     return nested & ((F.length(c) - F.length(F.replace(c, F.lit('"'), F.lit("")))) % 2 == 0)
 
 
-def heuristic_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with a struct `features` of the numbers the cascade compares."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def _numbers(text: Column) -> dict[str, Column]:
+    """What the cascade compares. Counts of characters are lengths after dropping whole runs of the
+    others, which is one match per run instead of one per character."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.split(t, "\n")
-    full = F.filter(F.transform(lines, strip), lambda l: l != "")
     n = F.length(t)
-    total = F.greatest(n - 2, F.lit(0))
-    runs = distinct_runs(t, 3)
-    return df.withColumn("distinct_runs", runs).withColumn(
-        "features",
-        F.struct(
-            n.alias("chars"),
-            F.size(lines).alias("lines"),
-            F.array_max(F.transform(lines, F.length)).alias("longest_line"),
-            F.when(total > 0, F.lit(1.0) - F.col("distinct_runs") / total).otherwise(0.0).alias("run_repetition"),
-            F.when(F.size(full) > 0, F.lit(1.0) - F.size(F.array_distinct(full)) / F.size(full)).otherwise(0.0).alias("line_repetition"),
-            F.when(n > 0, F.lit(1.0) - count(t, ALNUM) / n).otherwise(1.0).alias("special"),
-            ratio(count(t, ALPHA).cast("double"), n).alias("alpha"),
-            count(t, WORD + "+").alias("words"),
-            ratio(count(t, WORD).cast("double"), count(t, WORD + "+")).alias("word_chars"),
-            balanced(t).alias("balanced"),
-        ),
-    ).drop("distinct_runs")
-
-
-def heuristic_reason(limits: HeuristicLimits = HeuristicLimits()) -> Column:
-    """The first failing check of a row with `features`, or null."""
-    f = lambda name: F.col("features")[name]
+    left = lambda drop: F.length(F.regexp_replace(t, drop, ""))
+    return {
+        "chars": n,
+        "lines": F.size(lines),
+        "longest_line": F.array_max(F.transform(lines, F.length)),
+        "full_lines": F.filter(F.transform(lines, strip), lambda l: l != ""),
+        "runs": distinct_runs(t, 3),
+        "alnum": left(r"[^\p{L}\p{N}]+"),
+        "letters": left(r"\P{L}+"),
+        "words": count(t, WORD + "+"),
+        "word_letters": left(r"[^\p{L}\p{N}_]+"),
+        "balanced": balanced(t),
+    }
+
+
+def _feature(name: Callable[[str], Column]) -> dict[str, Column]:
+    n = name("chars")
+    full = name("full_lines")
+    return {
+        "chars": n,
+        "lines": name("lines"),
+        "longest_line": name("longest_line"),
+        "run_repetition": F.when(n > 2, F.lit(1.0) - name("runs") / (n - 2)).otherwise(0.0),
+        "line_repetition": F.when(F.size(full) > 0, F.lit(1.0) - F.size(F.array_distinct(full)) / F.size(full)).otherwise(0.0),
+        "special": F.when(n > 0, F.lit(1.0) - name("alnum") / n).otherwise(1.0),
+        "alpha": ratio(name("letters").cast("double"), n),
+        "words": name("words"),
+        "word_chars": ratio(name("word_letters").cast("double"), name("words")),
+        "balanced": name("balanced"),
+    }
+
+
+def heuristic_reason(f: Callable[[str], Column], limits: HeuristicLimits = HeuristicLimits()) -> Column:
+    """The first failing check by the features f(name), or null."""
     reason = (
         F.when(~f("chars").between(limits.min_chars, limits.max_chars), "doc_length")
         .when((f("lines") < limits.min_lines) | (f("longest_line") > limits.max_line_chars), "line_filters")
@@ -102,7 +115,19 @@ def heuristic_reason(limits: HeuristicLimits = HeuristicLimits()) -> Column:
 
 
 def heuristic_filter(df: DataFrame, text: str = "text", limits: HeuristicLimits = HeuristicLimits()) -> DataFrame:
-    return heuristic_features(df, text).withColumn("reject_reason", heuristic_reason(limits))
+    """df with a struct `features` of the numbers and `reject_reason`, null for a row that passes.
+
+    Struct and reason both read the plain columns below, so the optimiser keeps these as a step of
+    their own; through the struct alone it would compute each number once per comparison.
+    """
+    rows = df.withColumns({f"_{k}": v for k, v in _numbers(F.col(text)).items()})
+    f = _feature(lambda k: F.col(f"_{k}"))
+    rows = rows.select(*df.columns, F.struct(*[v.alias(k) for k, v in f.items()]).alias("features"), heuristic_reason(f.__getitem__, limits).alias("reject_reason"))
+    return rows
+
+
+def heuristic_features(df: DataFrame, text: str = "text") -> DataFrame:
+    return heuristic_filter(df, text).drop("reject_reason")
 
 
 def extra_reason(c: Column, limits: ExtraLimits = ExtraLimits()) -> Column:
@@ -156,23 +181,6 @@ def word_count(t: Column) -> Column:
     return F.size(words(t))
 
 
-def mean_word_chars(t: Column) -> Column:
-    return ratio(count(t, r"[^\t-\r\x1c-\x1f \x{85}\p{Z}]").cast("double"), word_count(t))
-
-
-def article_quality(t: Column) -> Column:
-    """Product of penalties for sentence length, punctuation, capitals and special characters."""
-    sentences = F.filter(F.transform(F.split(t, r"[.!?]+"), strip), lambda s: s != "")
-    per_sentence = ratio(F.aggregate(F.transform(sentences, lambda s: F.size(words(s))), F.lit(0), lambda a, b: a + b).cast("double"), F.size(sentences))
-    punctuation = count(t, r"[.!?,;:]") / word_count(t)
-    upper = count(t, UPPER) / F.length(t)
-    special = count(t, "[^a-zA-Z0-9\\t-\\r\\x1c-\\x1f \\x{85}\\p{Z}.!?,;:'\"-]") / F.length(t)
-    off = lambda c, lo, hi, by: F.when((c < lo) | (c > hi), F.lit(by)).otherwise(F.lit(1.0))
-    score = F.when(F.size(sentences) > 0, off(per_sentence, 5, 50, 0.8)).otherwise(1.0)
-    score = score * F.when(word_count(t) > 0, off(punctuation, 0.05, 0.3, 0.9)).otherwise(1.0)
-    return F.when(F.length(t) == 0, 0.0).otherwise(score * off(upper, 0.01, 0.1, 0.9) * F.when(special > 0.1, 0.8).otherwise(1.0))
-
-
 def top_share(items: Column) -> Column:
     """Share of the most frequent item of an array of strings, 0 for an empty one.
 
@@ -188,24 +196,40 @@ def top_share(items: Column) -> Column:
     return ratio(most.cast("double"), F.size(items))
 
 
-def article_repetition(t: Column) -> Column:
-    """struct(letters, words): share of the most frequent letter and word, in lower case."""
-    low = F.lower(t)
-    letters = F.filter(F.split(F.regexp_replace(low, r"\P{L}", ""), ""), lambda c: c != "")
-    return F.struct(top_share(letters).alias("letters"), top_share(words(low)).alias("words"))
-
-
-def article_reason(raw: Column, cleaned: Column, right_language: Column | None = None, duplicate: Column | None = None, limits: ArticleLimits = ArticleLimits()) -> Column:
-    """First reason an article is rejected for; the checks come in the order of the cascade."""
-    n = word_count(cleaned)
-    repeated = article_repetition(cleaned)
+def article_reason(df: DataFrame, raw: str, cleaned: str, right_language: Column | None = None, duplicate: Column | None = None, limits: ArticleLimits = ArticleLimits()) -> DataFrame:
+    """df with `reject_reason`, the first check an article fails, or null; the checks come in the order
+    of the cascade. Numbers are plain columns below the reason, so each is computed once."""
+    t = F.col(cleaned)
+    sentences = F.filter(F.transform(F.split(t, r"[.!?]+"), strip), lambda s: s != "")
+    length = lambda drop: F.length(F.regexp_replace(t, drop, ""))
+    numbers = {
+        "_raw_words": word_count(F.col(raw)),
+        "_words": word_count(t),
+        "_chars": F.length(t),
+        "_visible": length(SPACE + "+"),
+        "_sentences": F.transform(sentences, lambda s: F.size(words(s))),
+        "_marks": length(r"[^.!?,;:]+"),
+        "_upper": length(r"\P{Lu}+"),
+        "_special": length("[a-zA-Z0-9\\t-\\r\\x1c-\\x1f \\x{85}\\p{Z}.!?,;:'\"-]+"),
+        "_top": top_shares(F.lower(t)),
+    }
+    rows = df.withColumns(numbers)
+    n, chars, s = F.col("_words"), F.col("_chars"), F.col("_sentences")
+    per_sentence = ratio(F.aggregate(s, F.lit(0), lambda a, b: a + b).cast("double"), F.size(s))
+    off = lambda c, lo, hi, by: F.when((c < lo) | (c > hi), F.lit(by)).otherwise(F.lit(1.0))
+    quality = F.when(F.size(s) > 0, off(per_sentence, 5, 50, 0.8)).otherwise(1.0)
+    quality = quality * F.when(n > 0, off(F.try_divide("_marks", "_words"), 0.05, 0.3, 0.9)).otherwise(1.0)
+    quality = quality * off(F.try_divide("_upper", "_chars"), 0.01, 0.1, 0.9) * F.when(F.try_divide("_special", "_chars") > 0.1, 0.8).otherwise(1.0)
+    mean = ratio(F.col("_visible").cast("double"), n)
     out = (
-        F.when((word_count(raw) < limits.min_words) | (word_count(raw) > limits.max_words * 1.5), "invalid_length")
-        .when(F.coalesce(F.length(cleaned), F.lit(0)) < 50, "empty_after_cleaning")
-        .when(~n.between(limits.min_words, limits.max_words) | ~mean_word_chars(cleaned).between(limits.min_word_chars, limits.max_word_chars), "invalid_length")
+        F.when((F.col("_raw_words") < limits.min_words) | (F.col("_raw_words") > limits.max_words * 1.5), "invalid_length")
+        .when(F.coalesce(chars, F.lit(0)) < 50, "empty_after_cleaning")
+        .when(~n.between(limits.min_words, limits.max_words) | ~mean.between(limits.min_word_chars, limits.max_word_chars), "invalid_length")
     )
     if right_language is not None:
         out = out.when(~F.coalesce(right_language, F.lit(False)), "wrong_language")
-    out = out.when(article_quality(cleaned) < limits.min_quality, "low_quality")
-    out = out.when((repeated["letters"] > limits.max_char_repetition) | (repeated["words"] > limits.max_word_repetition), "too_repetitive")
-    return out.when(duplicate, "duplicate") if duplicate is not None else out
+    out = out.when(quality < limits.min_quality, "low_quality")
+    out = out.when((F.col("_top")["letters"] > limits.max_char_repetition) | (F.col("_top")["words"] > limits.max_word_repetition), "too_repetitive")
+    if duplicate is not None:
+        out = out.when(duplicate, "duplicate")
+    return rows.select(*df.columns, out.alias("reject_reason"))

@@ -5,19 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.chars import ALPHA, UPPER, count, ratio, words
+from millrace.functions.chars import let, ratio, words
 
 
 def heuristic_score(c: Column) -> Column:
-    """Product of penalties, between 0 and 1; 0 for a null or empty text."""
+    """Product of penalties, between 0 and 1; 0 for a null or empty text.
+
+    The numbers are bound once; character counts are lengths after dropping whole runs of the others.
+    """
+
+    def score(t: Column, w: Column) -> Column:
+        n, alpha = F.length(t), F.length(F.regexp_replace(t, r"\P{L}+", ""))
+        upper = F.length(F.regexp_replace(t, r"\P{Lu}+", ""))
+
+        def product(x: Column) -> Column:
+            out = F.when(n < 100, 0.5).when(n < 200, 0.8).otherwise(1.0)
+            out = out * F.when(x["words"] < 50, 0.6).otherwise(1.0)
+            out = out * F.when((x["words"] > 0) & (x["different"] / x["words"] < 0.3), 0.5).otherwise(1.0)
+            out = out * F.when(ratio(x["alpha"].cast("double"), n) < 0.5, 0.7).otherwise(1.0)
+            out = out * F.when(ratio(x["upper"].cast("double"), x["alpha"]) > 0.3, 0.8).otherwise(1.0)
+            return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), out)))
+
+        return let(F.struct(F.size(w).alias("words"), F.size(F.array_distinct(w)).alias("different"), alpha.alias("alpha"), upper.alias("upper")), product)
+
     t = F.coalesce(c, F.lit(""))
-    n, w, alpha = F.length(t), words(t), count(t, ALPHA)
-    score = F.when(n < 100, 0.5).when(n < 200, 0.8).otherwise(1.0)
-    score = score * F.when(F.size(w) < 50, 0.6).otherwise(1.0)
-    score = score * F.when((F.size(w) > 0) & (F.size(F.array_distinct(w)) / F.size(w) < 0.3), 0.5).otherwise(1.0)
-    score = score * F.when(ratio(alpha.cast("double"), n) < 0.5, 0.7).otherwise(1.0)
-    score = score * F.when(ratio(count(t, UPPER).cast("double"), alpha) > 0.3, 0.8).otherwise(1.0)
-    return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)))
+    return let(words(t), lambda w: score(t, w))
 
 
 def train_classifier(labelled: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 16, max_rows: int | None = None, seed: int = 42):

@@ -245,7 +245,7 @@ def _top_share(items: str) -> str:
 )
 def sanitize_reasons(spark, d):
     rows = _docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("raw")).withColumn("t", cleaning.collapse_blanks(cleaning.strip_markup("raw")))
-    return rows.select("doc_id", F.coalesce(filters.article_reason(F.col("raw"), F.col("t")), F.lit("pass")).alias("reason"))
+    return filters.article_reason(rows, "raw", "t").select("doc_id", F.coalesce("reject_reason", F.lit("pass")).alias("reason"))
 
 
 @query(f"SELECT doc_id, round(max(n)::DOUBLE / sum(n), 6) AS share FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{SPACE}+'), lambda x: x <> '')) AS x FROM documents) GROUP BY 1, 2) GROUP BY 1")

@@ -81,12 +81,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.sharing_records(table(spark, d, "documents")).toDF("doc_id_a", "doc_id_b")
 
 
+def p8_shared(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans.shared_extent(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3_FOUND, "p6_decoded": P6_DECODED}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p6_decoded": P6_DECODED, "p8_found": P8_FOUND, "p8_shared": P8_SHARED}
 
 
 P3_FOUND = """
@@ -99,3 +103,23 @@ FROM shares JOIN mixes USING (mix) CROSS JOIN total LEFT JOIN docs ON docs.name
 WHERE share > 0 AND share * size_factor * total.size > max_repeats * coalesce(docs.size, 0)
 """
 P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+P1_FOUND = """
+WITH g AS (SELECT DISTINCT ord, substr(text, i, 13) AS g FROM (SELECT ord, text, unnest(range(1, length(text) - 11)) AS i FROM samples WHERE length(text) >= 200)),
+n AS (SELECT ord, count(*) AS n FROM g GROUP BY 1),
+c AS (SELECT a.ord AS ord_a, b.ord AS ord_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.ord < b.ord GROUP BY 1, 2)
+SELECT ord_a, ord_b FROM c JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE c * 10 >= 8 * (x.n + y.n - c)
+"""
+# windows of 200 characters by hash, those of several documents only
+_WINDOWS = """
+WITH w AS MATERIALIZED (SELECT doc_id, i, hash(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+m AS MATERIALIZED (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
+"""
+P8_FOUND = _WINDOWS + """
+, s AS (SELECT DISTINCT doc_id, h FROM w WHERE h IN (SELECT h FROM m))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id
+"""
+P8_SHARED = _WINDOWS + """
+, s AS (SELECT doc_id, i, lag(i + 200) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM w WHERE h IN (SELECT h FROM m)),
+c AS (SELECT doc_id, sum(i + 200 - greatest(coalesce(upto, i), i)) AS n FROM s GROUP BY 1)
+SELECT d.doc_id, CAST(length(text) AS INT) AS chars, CAST(coalesce(n, 0) AS INT) AS shared_chars, round(coalesce(n, 0)::DOUBLE / nullif(length(text), 0), 6) AS share FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id
+"""

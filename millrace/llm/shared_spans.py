@@ -147,15 +147,24 @@ def deep_nodes(around: list[str], left: list[int], span: int) -> Iterator[list[i
                         yield leaves
 
 
-def _spans(span: int):
+def _spans(span: int, places: bool = False):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in whole_runs(batches, "h", 1 << 31):
             h, tid, place = (column(table, c) for c in ("h", "tid", "place"))
             left, around = table.column("left").to_pylist(), table.column("around").to_pylist()
             edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-            found: dict[tuple[int, int], tuple[int, int]] = {}
+            found: dict[tuple, tuple[int, int]] = {}
             for a, b in zip(edges, edges[1:]):
                 for leaves in deep_nodes(around[a:b], left[a:b], span):
+                    if places:  # every occurrence with every one in another text
+                        for i, j in combinations(sorted(leaves, key=lambda i: (tid[a + i], place[a + i])), 2):
+                            x, y = int(tid[a + i]), int(tid[a + j])
+                            if x != y:
+                                found[x, y, int(place[a + i]), int(place[a + j])] = (int(place[a + i]), int(place[a + j]))
+                        if len(found) > 50_000:
+                            yield _pairs(found)
+                            found = {}
+                        continue
                     one: dict[int, int] = {}
                     for i in leaves:
                         one.setdefault(int(tid[a + i]), int(place[a + i]))
@@ -171,14 +180,15 @@ def _spans(span: int):
 
 
 def _pairs(found: dict) -> pa.RecordBatch:
-    ab, at = np.array(list(found), np.int64), np.array(list(found.values()), np.int32)
+    ab, at = np.array([k[:2] for k in found], np.int64), np.array(list(found.values()), np.int32)
     return pa.RecordBatch.from_arrays([ab[:, 0].copy(), ab[:, 1].copy(), at[:, 0].copy(), at[:, 1].copy()], names=["a", "b", "place_a", "place_b"])
 
 
-def sharing_texts(texts: DataFrame, span: int = 200, hot: int = HOT) -> DataFrame:
+def sharing_texts(texts: DataFrame, span: int = 200, hot: int = HOT, places: bool = False) -> DataFrame:
     """(a, b, place_a, place_b), a < b: pairs of distinct texts (tid, text) with a shared span.
 
-    The places are of an anchor in a shared span; a pair may come out with several spans.
+    The places are of an anchor in a shared span; a pair may come out with several spans, and with
+    places=True it comes out with each of its maximal spans at least once.
     """
     k = span // 2 + 1
     w = span - k + 1
@@ -190,20 +200,22 @@ def sharing_texts(texts: DataFrame, span: int = 200, hot: int = HOT) -> DataFram
     one = texts.select("tid", "text").dropDuplicates(["tid"])
     around = cut(by_text.join(one, "tid").mapInArrow(_contexts(span, w), "h long, tid long, place int, hot boolean, left int, around string"))
     out = "a long, b long, place_a int, place_b int"
-    found = around.where("NOT hot").repartition("h").sortWithinPartitions("h", "tid", "place").mapInArrow(_spans(span), out)
+    found = around.where("NOT hot").repartition("h").sortWithinPartitions("h", "tid", "place").mapInArrow(_spans(span, places), out)
     large = around.where("hot")
     if not large.isEmpty():
         # a longer prefix: the whole window, for each number of characters before the anchor
         window = large.select("tid", "place", F.explode(F.sequence(F.lit(0), F.col("left"))).alias("l"), "left", "around")
         window = window.select("tid", "place", F.expr(f"substring(around, left - l + 1, {span})").alias("win")).where(F.length("win") == span)
-        window = window.groupBy(F.md5("win").alias("win"), "tid").agg(F.min("place").alias("place"))
+        window = window.select(F.md5("win").alias("win"), "tid", "place")
+        window = window.distinct() if places else window.groupBy("win", "tid").agg(F.min("place").alias("place"))
         # consecutive windows of one shared span hold the same texts: members are numbered, pairs are
         # made by an equi-join on the window, split by the number so that a hot window is many groups
         many = window.groupBy("win").agg(F.count("*").alias("n")).where("n > 1")
         left = window.join(many, "win").withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("n") / hot).cast("int"))))
         right = window.join(many, "win").withColumn("part", F.pmod(F.xxhash64("tid"), (F.col("n") / hot).cast("int") + 1).cast("int"))
         both = left.toDF("win", "a", "place_a", "n", "part").join(right.toDF("win", "b", "place_b", "m", "part"), ["win", "part"]).where("a < b")
-        found = found.unionByName(both.groupBy("a", "b").agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b")))
+        both = both.select("a", "b", "place_a", "place_b")
+        found = found.unionByName(both.distinct() if places else both.groupBy("a", "b").agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b")))
     return found
 
 
@@ -220,3 +232,50 @@ def sharing_records(df: DataFrame, key: str = "doc_id", text: str = "text", span
     a, b = members.toDF("x", "a"), members.toDF("y", "b")
     rows = pairs.unionByName(same).join(a, "a").join(b, "b").where("a <> b OR x < y")
     return rows.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+
+
+def _extend(span: int):
+    """Rows (a, b, text_a, text_b, places): the whole matches around the places, for both texts."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for a, b, x, y, places in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b", "places"))):
+                p, q = code_points(x), code_points(y)
+                done: set[tuple[int, int]] = set()
+                for at in sorted(places, key=lambda r: (r["place_a"], r["place_b"])):
+                    i, j = at["place_a"], at["place_b"]
+                    n, m = min(len(p) - i, len(q) - j), min(i, j)
+                    differ = np.flatnonzero(p[i : i + n] != q[j : j + n])
+                    right = int(differ[0]) if len(differ) else n
+                    differ = np.flatnonzero(p[i - m : i] != q[j - m : j])
+                    left = m - 1 - int(differ[-1]) if len(differ) else m
+                    if left + right >= span and (i - left, j - left) not in done:
+                        done.add((i - left, j - left))
+                        out += [(a, i - left, i + right), (b, j - left, j + right)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], names=["tid", "start", "end"])
+
+    return rows
+
+
+def shared_extent(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200, **how) -> DataFrame:
+    """(key, chars, shared_chars, share): how much of each row's text lies in spans of at least `span`
+    characters that also stand in another row. A row with an equal text elsewhere is shared whole.
+    """
+    texts = _texts(df, key, text, span)
+    one = cut(texts.select("tid", "text").dropDuplicates(["tid"]))
+    pairs = sharing_texts(texts.select("tid", "text"), span, places=True, **how)
+    pairs = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("place_a", "place_b")).alias("places"))
+    met = pairs.join(one.toDF("a", "text_a"), "a").join(one.toDF("b", "text_b"), "b")
+    spans = met.select("a", "b", "text_a", "text_b", "places").mapInArrow(_extend(span), "tid long, start int, end int").distinct()
+    # union of the intervals of a text, in order of their starts
+    ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
+    begin = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("sum"))
+    step = lambda s, x: F.struct(F.greatest(s["upto"], x["end"]).alias("upto"), (s["sum"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["upto"], x["start"]))).alias("sum"))
+    covered = spans.groupBy("tid").agg(F.aggregate(ordered, begin, step, lambda s: s["sum"]).alias("covered"))
+    copies = texts.groupBy("tid").agg(F.count("*").alias("rows"))
+    every = df.select(F.col(key), F.length(text).alias("chars"), F.when(F.length(text) >= span, F.xxhash64(text)).alias("tid"))
+    out = every.join(copies, "tid", "left").join(covered, "tid", "left")
+    shared = F.when(F.col("rows") > 1, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0)))
+    return out.select(key, "chars", shared.alias("shared_chars"), F.round(F.try_divide(shared.cast("double"), F.col("chars")), 6).alias("share"))

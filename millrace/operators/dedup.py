@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.arrow import shingles
-from millrace.functions.chars import words
+from millrace.functions.chars import let, words
 from millrace.functions.rolling import mix
 from millrace.session import cut
 
@@ -241,9 +241,11 @@ def dedup_stats(df: DataFrame, kept: DataFrame, text: str = "text") -> DataFrame
 
 def word_shingles(c: Column | str, n: int = 5) -> Column:
     """Distinct runs of n words, joined by blanks; fewer words are one run."""
-    w = words(F.lower(c))
-    last = F.greatest(F.size(w) - n + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    def runs(w: Column) -> Column:
+        last = F.greatest(F.size(w) - n + 1, F.lit(1))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " ")))
+
+    return let(words(F.lower(c)), runs)
 
 
 def article_duplicates(df: DataFrame, key: str, order: str, text: str = "text", n: int = 13, t: float = 0.8, hashes: int = 128, verify: bool = True) -> DataFrame:
@@ -252,7 +254,7 @@ def article_duplicates(df: DataFrame, key: str, order: str, text: str = "text",
     verify=False takes a shared band for similarity, as the described sanitiser does.
     """
     first = exact_dedup(df, text, order)
-    sets = first.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.array_sort(F.transform(word_shingles(text, n), lambda s: F.xxhash64(s))).alias("runs"))
+    sets = cut(first.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.array_sort(F.transform(word_shingles(text, n), lambda s: F.xxhash64(s))).alias("runs")))
     b, r = bands_and_rows(t, hashes)
     pairs = band_pairs(sets.withColumn("sig", signature("runs", hashes)), "key", "ord", "sig", b, r)
     if verify:

@@ -252,3 +252,25 @@ def sanitize_reasons(spark, d):
 def word_share(spark, d):
     rows = _docs(spark, d).select("doc_id", words(F.lower("text")).alias("w")).where(F.size("w") > 0)
     return rows.select("doc_id", F.round(filters.top_share(F.col("w")), 6).alias("share"))
+
+
+@query(None)
+def language_id(spark, d):
+    from millrace.operators import language
+
+    docs = _docs(spark, d)
+    model = language.train(docs)
+    return docs.select("doc_id", "lang", language.identify("text", model).alias("found")).select("doc_id", "lang", F.col("found.lang").alias("found"), F.round("found.confidence", 6).alias("confidence"))
+
+
+@query(None)
+def sanitize_reasons_full(spark, d):
+    """The whole article cascade: markup, boilerplate, language, quality, repetition, duplicates."""
+    from millrace.operators import language
+
+    docs = _docs(spark, d).select("doc_id", "lang", "text")
+    rows = docs.withColumn("raw", F.coalesce("text", F.lit(""))).withColumn("t", cleaning.clean_article("raw"))
+    twice = dedup.article_duplicates(rows, "doc_id", "doc_id", "t").withColumn("twice", F.lit(True))
+    rows = rows.join(twice, "doc_id", "left").withColumn("english", language.in_language("t", language.train(docs)))
+    out = filters.article_reason(rows, "raw", "t", F.col("english"), F.coalesce("twice", F.lit(False)))
+    return out.select("doc_id", F.coalesce("reject_reason", F.lit("pass")).alias("reason"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,8 +58,12 @@ class NearDedupSink:
         self.folder, self.key, self.order, self.text, self.n, self.t = folder, key, order, text, n, t
 
     def kept(self, spark: SparkSession, before: int | None = None) -> DataFrame | None:
-        parts = sorted(p for p in Path(self.folder).glob("batch=*") if before is None or int(p.name[6:]) < before)
-        return spark.read.option("basePath", self.folder).parquet(*map(str, parts)) if parts else None
+        """What earlier batches kept; None while there is nothing."""
+        try:
+            rows = spark.read.parquet(self.folder)
+        except AnalysisException:
+            return None
+        return (rows if before is None else rows.where(F.col("batch") < before)).drop("batch")
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession

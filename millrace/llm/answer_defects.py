@@ -3,10 +3,11 @@
 The openings of all answers are clustered by verified MinHash over runs of five words: equal openings
 are first added up, each band key names its smallest opening as leader, and an opening joins a leader
 only if the similarity of the whole sets is at least 0.8. A cluster, or a run of five words within
-openings, that recurs under several unrelated prompts is a template; a template most of whose members
-decline is a refusal. An opening of which no other is like decides by its own words. Checks of
-copying, language and termination label the rest; a side gets the first of: empty, copy, refusal,
-other_language, truncated.
+openings, that recurs under several unrelated prompts is a template. A template is a refusal if its
+members decline by the listed phrases, or evade: they are short, speak of the speaker or of the request
+and have no word of the prompt. All members of it are refusals then, whatever their own words. An
+opening of which no other is like decides by its own words. Checks of copying, language and
+termination label the rest; a side gets the first of: empty, copy, refusal, other_language, truncated.
 
 Openings are bounded in length, rows are added up by opening before any group is formed, and a band
 group is only reduced to its minimum, so a template that starts a third of all answers is no skew.
@@ -31,6 +32,8 @@ from millrace.functions.rolling import mix
 from millrace.session import cut
 
 WORDS, OPENING_WORDS, SIMILAR, PROMPTS, BANDS, BAND_ROWS = 5, 24, 0.8, 3, 12, 3
+#: Words of an evading answer at most; runs of a refusal that an opening holds at least, if it has so many; runs sent to every task at most.
+EVADING_WORDS, REFUSED_RUNS, SENT_RUNS = 60, 4, 100_000
 
 #: Phrases by which a speaker declines, by language.
 DECLINES = {
@@ -47,6 +50,15 @@ _WANTS_REFUSAL = re.compile(
     r"|(?:schreib|brief|nachricht|mail|notiz).{0,60}(?:ablehn|absag|lehnt)|(?:note|lettre|message|mot).{0,60}(?:refus|déclin)|(?:nota|carta|mensaje|correo).{0,60}(?:rechaz|declin)|(?:письм|записк|сообщени|ответ).{0,60}(?:отказ|отклон)",
     re.S,
 )
+#: Words by which an answer speaks of its speaker or of the exchange, by language.
+EXCHANGE = {
+    "en": r"i|i'm|i've|i'll|i'd|me|my|myself|assistants?|models?|ai|requests?|questions?|topics?|prompts?",
+    "de": r"ich|mich|mir|mein(?:e[rnms]?)?|assistent\w*|sprachmodell|ki|anfragen?|fragen?|themen|thema",
+    "fr": r"je|j'\w+|moi|m'\w+|mon|ma|mes|modèle|ia|demandes?|sujets?",
+    "es": r"yo|mis?|conmigo|asistente|modelo|petición|peticiones|preguntas?|temas?",
+    "ru": r"я|мне|меня|мной|мо[ийяеёю]\w*|ассистент\w*|модель|запрос\w*|вопрос\w*|тем[аеуы]",
+}
+_EXCHANGE = re.compile(rf"\b(?:{'|'.join(EXCHANGE.values())})\b")
 _REPEATS = re.compile(r"^\W*(?:please |bitte |por favor,? )?(?:repeat|copy|quote|say exactly|write out|wiederhole|répète|répétez|repite|repita|повтори)", re.I)
 #: Names of the languages in the languages, as they follow "in", "into", "auf", "en", "на", "по-".
 LANGUAGES = {
@@ -193,32 +205,46 @@ def declines(answer: str) -> bool:
     return len(_WORD.findall(low)) <= 60
 
 
+def topical(text: str, turn: str, usual: set[str]) -> bool:
+    """Whether a plain text has a word of a plain turn, by its first five letters, besides usual words and those of the exchange."""
+    stems = lambda t: {w[:5] for w in t.split() if len(w) > 3 and w not in usual and not _EXCHANGE.fullmatch(w)}
+    return not stems(turn).isdisjoint(stems(text))
+
+
+def evades(answer: str, turn: str, usual: set[str]) -> bool:
+    """Whether a short answer speaks of its speaker or of the request, and of nothing in the turn."""
+    said = plain(answer)
+    return WORDS <= len(said.split()) <= EVADING_WORDS and _EXCHANGE.search(said) is not None and not topical(said, plain(turn), usual)
+
+
 def _judge(common: dict[str, set[str]]):
+    usual = set().union(*common.values())
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for pair, side, prompt, answer in zip(*(b.column(c).to_pylist() for c in ("pair_id", "side", "prompt", "answer"))):
                 if is_empty(answer):
-                    out.append((pair, side, "empty", None, False, None, None, None))
+                    out.append((pair, side, "empty", None, False, False, None, None, None))
                     continue
                 asked = bool(prompt and visible(prompt))
                 turn = last_turn(prompt) if asked else ""
                 if asked and is_copy(answer, prompt):
-                    out.append((pair, side, "copy", None, False, None, None, None))
+                    out.append((pair, side, "copy", None, False, False, None, None, None))
                     continue
                 rest = "other_language" if asked and is_other_language(answer, prompt, common) else "truncated" if is_truncated(answer, common) else None
                 words, runs = opening(answer)
                 wanted = bool(_WANTS_REFUSAL.search(turn.lower()))
                 topic = _hash([plain(turn)]) & 0x7FFFFFFFFFFFFFFF if asked else pair
-                out.append((pair, side, rest, _hash([words]) & 0x7FFFFFFFFFFFFFFF, declines(answer), wanted, topic, runs))
+                out.append((pair, side, rest, _hash([words]) & 0x7FFFFFFFFFFFFFFF, declines(answer), asked and evades(answer, turn, usual), wanted, topic, runs))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
 
     return rows
 
 
-_NAMES = ["pair_id", "side", "other", "opening", "declines", "wanted", "topic", "runs"]
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
-_SCHEMA = "pair_id long, side string, other string, opening long, declines boolean, wanted boolean, topic long, runs array<long>"
+_NAMES = ["pair_id", "side", "other", "opening", "declines", "evades", "wanted", "topic", "runs"]
+_TYPES = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+_SCHEMA = "pair_id long, side string, other string, opening long, declines boolean, evades boolean, wanted boolean, topic long, runs array<long>"
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,6 +275,20 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
     return openings.select("opening").join(near, "opening", "left").select("opening", F.coalesce("leader", "opening").alias("cluster"))
 
 
+def refused_by_runs(told: DataFrame) -> DataFrame:
+    """(opening, by_run) of the openings that hold runs of a refusal: such as recur under at least PROMPTS
+    topics, nearly all of them refusing. told has opening, topic, refuses (0 or 1) and runs."""
+    # only runs of refusing openings can be of a refusal; all openings that hold them have a say in it
+    some = told.where("refuses > 0").select("topic", F.explode("runs").alias("run"))
+    recurring = cut(some.groupBy("run").agg(F.count_distinct("topic").alias("n")).where(F.col("n") >= PROMPTS).select("run"))
+    if recurring.count() <= SENT_RUNS:
+        recurring = F.broadcast(recurring)
+    need = F.least(F.lit(REFUSED_RUNS), F.size("runs")).alias("need")
+    held = cut(told.select("opening", "topic", "refuses", need, F.explode("runs").alias("run")).join(recurring, "run"))
+    refusing = held.groupBy("run").agg(F.avg("refuses").alias("share")).where("share >= 0.8").select("run")
+    return held.join(refusing, "run", "left_semi").groupBy("opening").agg(F.count_distinct("run").alias("n"), F.first("need").alias("need")).where("n >= need").select("opening", F.lit(True).alias("by_run"))
+
+
 def answer_flags(pairs: DataFrame, common_words: DataFrame, prompt: str = "prompt", sides: tuple[str, ...] = ("chosen", "rejected"), key: str = "pair_id") -> DataFrame:
     """(pair_id, side, defect, template): every side, its defect or null, and whether its opening is
     a template that recurs under at least PROMPTS unrelated prompts."""
@@ -261,22 +301,19 @@ def answer_flags(pairs: DataFrame, common_words: DataFrame, prompt: str = "promp
         every = every.unionByName(e)
     rows = cut(every.mapInArrow(_judge(common), _SCHEMA))  # read several times below
     # one row for each opening and topic, then one for each opening
-    topics = rows.where("opening IS NOT NULL").groupBy("opening", "topic").agg(F.max("declines").alias("declines"), F.max("wanted").alias("wanted"), F.first("runs").alias("runs"))
+    topics = rows.where("opening IS NOT NULL").groupBy("opening", "topic").agg(F.max(F.col("declines") | F.col("evades")).alias("refuses"), F.max("wanted").alias("wanted"), F.first("runs").alias("runs"))
     openings = topics.groupBy("opening").agg(F.first("runs").alias("runs"))
     clusters = cut(opening_clusters(openings))
-    state = topics.where("NOT wanted").join(clusters, "opening").groupBy("cluster").agg(F.count_distinct("topic").alias("prompts"), F.avg(F.col("declines").cast("double")).alias("declining"))
-    labelled = clusters.join(state, "cluster")
-    # runs of five words of declining openings that recur, though the openings differ elsewhere
-    said = topics.where("declines AND NOT wanted").select("opening", "topic", F.explode("runs").alias("run"))
-    recurring = said.groupBy("run").agg(F.count_distinct("topic").alias("n")).where(F.col("n") >= PROMPTS).select("run")
-    by_run = said.join(recurring, "run", "left_semi").select("opening").distinct().withColumn("by_run", F.lit(True))
-    labelled = labelled.join(by_run, "opening", "left").select(
+    told = topics.where("NOT wanted").withColumn("refuses", F.col("refuses").cast("double"))
+    state = told.join(clusters, "opening").groupBy("cluster").agg(F.count_distinct("topic").alias("prompts"), F.avg("refuses").alias("refusing"))
+    by_run = refused_by_runs(told)
+    labelled = clusters.join(state, "cluster", "left").join(by_run, "opening", "left").select(
         "opening",
-        ((F.col("prompts") >= PROMPTS) | F.coalesce("by_run", F.lit(False))).alias("template"),
-        ((F.col("prompts") >= PROMPTS) & (F.col("declining") >= 0.5)).alias("cluster_declines"),
+        (F.coalesce(F.col("prompts") >= PROMPTS, F.lit(False)) | F.col("by_run").isNotNull()).alias("template"),
+        (((F.col("prompts") >= PROMPTS) & (F.col("refusing") >= 0.5)) | F.col("by_run").isNotNull()).alias("template_refuses"),
     )
     out = rows.join(labelled, "opening", "left")
-    refused = ~F.coalesce("wanted", F.lit(False)) & (F.coalesce("cluster_declines", F.lit(False)) | F.col("declines"))
+    refused = ~F.coalesce("wanted", F.lit(False)) & (F.coalesce("template_refuses", F.lit(False)) | F.col("declines"))
     defect = F.when(F.col("opening").isNull(), F.col("other")).when(refused, F.lit("refusal")).otherwise(F.col("other"))
     return out.select("pair_id", "side", defect.alias("defect"), F.coalesce("template", F.lit(False)).alias("template"))
 

@@ -57,6 +57,19 @@ def test_template_without_own_words_is_a_refusal_by_its_cluster(spark, common):
     assert all(r["template"] for r in flags if r["pair_id"])
 
 
+def test_recurrence_makes_a_refusal_without_listed_words(spark, common):
+    say = "Regrettably the assistant {} answer such a question here today, so please ask something else instead of it."
+    other = "Such matters lie beyond the remit that this {} assistant was once given, so some other {} may be raised with me instead."
+    odd = "amber birch cedar delta ember fjord grove heath".split()
+    rows = [(i, f"Where is number {i} of the {w} houses?", say.format("cannot" if i else "will never"), other.format(w[::-1], odd[i - 1][::-1])) for i, w in enumerate(odd)]
+    rows += [(10 + i, f"Where is number {i} of the {w} houses?", "Fine. It is so, as it was before.", f"My view on the {w} houses is that it was so in the town.") for i, w in enumerate(odd)]
+    rows += [(20, "Write a letter that declines an offer.", other.format("kind", "thing"), "Fine. It is.")]
+    df = spark.createDataFrame(rows, "pair_id long, prompt string, chosen string, rejected string")
+    assert not any(answer_defects.declines(r[3]) for r in rows) and not answer_defects.declines(rows[0][2])
+    got = {(r["pair_id"], r["side"]): r["defect"] for r in answer_defects.defective_answers(df, common).collect()}
+    assert got == {(i, s): "refusal" for i in range(8) for s in ("chosen", "rejected")}
+
+
 def test_kinds(spark, common):
     prose = "This is the story of a house that was in the town, and it was as old as the hills. It is told for you. "
     rng = random.Random(2)

@@ -133,21 +133,6 @@ def junk_words(words: list[str], line: str, common: frozenset[str]) -> bool:
     return known < 0.035 * len(words) or not _SENTENCE.search(line)
 
 
-def mostly_prose(form: str, common: frozenset[str]) -> bool:
-    """Whether lines with many words, common ones among them, hold more than half of the characters,
-    so that no other kind can."""
-    need = 0.55 * len(form)
-    for line in form.split("\n"):
-        if len(line) > 60:
-            words = line.split()
-            n = len(words)
-            if n >= 10 and sum(w in common for w in words) >= 0.12 * n and max(map(len, words)) <= 40 and len(line) > 3.2 * n:
-                need -= len(line)
-                if need < 0:
-                    return True
-    return False
-
-
 def foreign_share(words: list[str], common: frozenset[str], window: int = 20) -> float:
     """Share of the windows of a long line that hold no common word at all."""
     parts = [words[i : i + window] for i in range(0, len(words), window)]
@@ -192,8 +177,6 @@ def shares(text: str, common: frozenset[str]) -> tuple[float, float, float]:
         form = text.lower()
     if repeated(form):
         return 0.0, 0.0, 1.0
-    if mostly_prose(form, common):
-        return 0.0, 0.0, 0.0
     lines = [l for l in _BREAK.split(form) if l and not l.isspace()]
     total = sum(len(l.strip()) for l in lines)
     if not total or is_code(lines):

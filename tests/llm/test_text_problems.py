@@ -95,6 +95,20 @@ def test_kinds(spark, common):
     assert {i: r["kind"] for i, r in stats.items() if r["kind"]} == got
 
 
+def test_lines_with_common_words_are_still_judged():
+    common = frozenset(w for _, w in WORDS)
+    rare = [f"{a}{b}" for a in "grubal tenfor mospin velcar dunrit".split() for b in "ane ilo ust erk omb ady ift olm ung eph ikt aro ews".split()]
+    prose = "this is the story of a house that stood in the town for years with all doors open wide as it was when the people of those hills first came here on foot."
+    assert text_quality.shares(" ".join([prose, *rare]), common)[2] > 0.5
+    rng = random.Random(3)
+    some = lambda n: ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(2, 4))) for _ in range(n)]
+    row = lambda a, b, c, *rest: "\t".join([f"{a} of {b}", f"in {c}", *rest])
+    assert text_quality.shares("\n".join(row(*some(10)) for _ in range(12)), common)[1] == 1.0
+    item = lambda a, b, *rest: f"- {a} of {b} in {' '.join(rest)}"
+    items = [l for l in (item(*some(7)) for _ in range(60)) if 60 < len(l) <= 80]
+    assert len(items) > 5 and text_quality.shares("\n".join(items), common)[0] == 1.0
+
+
 def test_statistics():
     n, mean, symbols, ended, share = text_quality.statistics("The cat sat.\n\nOn the mat", frozenset({"the", "on"}))
     assert n == 6 and mean == 17 / 6 and round(symbols, 4) == round(1 / 24, 4) and ended == 0.5 and share == 0.5

@@ -59,6 +59,16 @@ EXCHANGE = {
     "ru": r"я|мне|меня|мной|мо[ийяеёю]\w*|ассистент\w*|модель|запрос\w*|вопрос\w*|тем[аеуы]",
 }
 _EXCHANGE = re.compile(rf"\b(?:{'|'.join(EXCHANGE.values())})\b")
+#: Words by which an answer addresses its reader, by language.
+READER = {
+    "en": r"you|your|yours|you're|you'd|you'll|please|sorry|thanks?",
+    "de": r"du|dich|dir|dein\w*|sie|ihnen|ihre?[nmrs]?|bitte|danke|leider",
+    "fr": r"tu|te|toi|t'\w+|vous|votre|vos|merci|désolée?|malheureusement",
+    "es": r"tú|te|ti|tu|tus|usted|ustedes|gracias|perdón",
+    "ru": r"ты|тебе|тебя|вы|вам|вас|ваш\w*|пожалуйста|спасибо|простите|извините",
+}
+_READER = re.compile(rf"\b(?:{'|'.join(READER.values())})\b")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|„[^“”\n]*[“”]|«[^»\n]*»")
 _REPEATS = re.compile(r"^\W*(?:please |bitte |por favor,? )?(?:repeat|copy|quote|say exactly|write out|wiederhole|répète|répétez|repite|repita|повтори)", re.I)
 #: Names of the languages in the languages, as they follow "in", "into", "auf", "en", "на", "по-".
 LANGUAGES = {
@@ -196,21 +206,44 @@ def opening(answer: str) -> tuple[str, list[int]]:
     return " ".join(words), sorted(np.array(sorted(runs), np.uint64).view(np.int64).tolist())
 
 
-def declines(answer: str) -> bool:
-    """Whether the first two sentences of a short answer decline."""
-    low = visible(answer).lower().replace("’", "'")
-    start = " ".join(re.split(r"(?<=[.!?…])\s+", low)[:2])
-    if not _DECLINES.search(start):
-        return False
-    return len(_WORD.findall(low)) <= 60
-
-
 def topical(text: str, turn: str, usual: set[str]) -> bool:
     """Whether a plain text has a word of a plain turn, by its first five letters, besides usual words and those of the exchange."""
     stems = lambda t: {w[:5] for w in t.split() if len(w) > 3 and w not in usual and not _EXCHANGE.fullmatch(w)}
     return not stems(turn).isdisjoint(stems(text))
 
 
+def sentences(text: str) -> list[str]:
+    """Sentences and lines in lower case, without code."""
+    low = _CODE.sub("\n", visible(text)).lower().replace("’", "'")
+    return [s for s in re.split(r"(?<=[.!?…])[\"'”»)\]]*\s+|\n+", low) if _WORD.search(s)]
+
+
+def declines(answer: str, turn: str = "", usual: frozenset[str] | set[str] = frozenset()) -> bool:
+    """Whether some sentence of an answer declines and the others do not answer.
+
+    A sentence that speaks of the speaker or of the request, or addresses the reader, belongs to the
+    refusal, and so do reasons after it. Content is what has a word of the turn, what goes on after
+    that, and what stands before the refusal; it must not hold most words. After the second sentence
+    only one that names the speaker or the request, and not in quotation marks, declines.
+    """
+    parts = sentences(answer)
+    own = [bool(_DECLINES.search(p)) and (i < 2 or _EXCHANGE.search(_QUOTED.sub(" ", p)) is not None and bool(_DECLINES.search(_QUOTED.sub(" ", p)))) for i, p in enumerate(parts)]
+    if not any(own):
+        return False
+    asked, first = plain(turn), own.index(True)
+    content = total = 0
+    going_on = False
+    for i, p in enumerate(parts):
+        n = len(_WORD.findall(p))
+        total += n
+        if own[i]:
+            going_on = False
+        elif not _EXCHANGE.search(p) and not _READER.search(p):
+            going_on = going_on or i > first and (not asked or topical(plain(p), asked, usual))
+            content += n if going_on or i < first else 0
+    return 2 * content <= total
+
+
 def evades(answer: str, turn: str, usual: set[str]) -> bool:
     """Whether a short answer speaks of its speaker or of the request, and of nothing in the turn."""
     said = plain(answer)
@@ -236,7 +269,7 @@ def _judge(common: dict[str, set[str]]):
                 words, runs = opening(answer)
                 wanted = bool(_WANTS_REFUSAL.search(turn.lower()))
                 topic = _hash([plain(turn)]) & 0x7FFFFFFFFFFFFFFF if asked else pair
-                out.append((pair, side, rest, _hash([words]) & 0x7FFFFFFFFFFFFFFF, declines(answer), asked and evades(answer, turn, usual), wanted, topic, runs))
+                out.append((pair, side, rest, _hash([words]) & 0x7FFFFFFFFFFFFFFF, declines(answer, turn, usual), asked and evades(answer, turn, usual), wanted, topic, runs))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
 
     return rows

@@ -70,6 +70,18 @@ def test_recurrence_makes_a_refusal_without_listed_words(spark, common):
     assert got == {(i, s): "refusal" for i in range(8) for s in ("chosen", "rejected")}
 
 
+def test_refusals_are_told_by_all_sentences():
+    usual = {w for _, w in WORDS}
+    turn = "How is a lock opened without its key?"
+    late = "Hello there. Thank you for writing to me today. I can't help with that."
+    long = "I can't help with that. " + "There are reasons for it, as harm may come to people and to what they own. " * 5 + "If you like, I could tell you about gardens, music, old maps or trains instead."
+    content = "Some doors have one. The lock of a door is opened with a pick and a small wrench. " + "The lock is turned by the wrench and the pins of the lock are lifted. " * 5 + "I can't help with rust in it."
+    quoted = "A lock is opened by a smith. The smith came to the lock. The smith said \"I can't help with this lock\" and went."
+    after = "I can't share photos here, but words will do. " + "The lock is turned by the wrench, and its pins are lifted with a pick. " * 6
+    got = [answer_defects.declines(a, turn, usual) for a in (late, long, content, quoted, after)]
+    assert got == [True, True, False, False, False]
+
+
 def test_kinds(spark, common):
     prose = "This is the story of a house that was in the town, and it was as old as the hills. It is told for you. "
     rng = random.Random(2)

@@ -79,6 +79,24 @@ LANGUAGES = {
     "ru": r"russian|russisch\w*|russe|ruso|русск\w+|по-русски",
 }
 _ASKED = {k: re.compile(rf"(?:\b(?:in|into|to|auf|ins|en|al|au|на)\s+(?:the\s+|le\s+|el\s+)?|по-)(?:{v})\b|\b(?:{v})\s+(?:version|translation)\b") for k, v in LANGUAGES.items()}
+#: Verbs by which a language is asked for, in the forms of a request, by language.
+REQUESTS = {
+    "en": r"answer|reply|respond|write|rewrite|translate|say|tell|give|explain|describe|summari[sz]e|put|use|speak|express|render|continue|provide|state|list|make|keep|switch|return|draft|compose|phrase|show|do",
+    "de": r"antworten?|antworte|beantworten?|beantworte|schreiben?|schreib|übersetzen?|übersetze|sagen?|sag|erklären?|erkläre?|beschreiben?|beschreib|fassen?|fasse|geben|gib|nenne|nennen|formulier\w+|verwenden?|sprich",
+    "fr": r"répond(?:s|ez|re)|écri(?:s|vez|re)|tradui(?:s|sez|re)|di(?:s|tes|re)|expliqu(?:e|ez|er)|décri(?:s|vez|re)|résum(?:e|ez|er)|donn(?:e|ez|er)|rédig\w+|utilis(?:e|ez|er)|parl(?:e|ez|er)",
+    "es": r"respond(?:e|a|er|an)|contest(?:a|e|ar)|escrib(?:e|a|ir)|tradu(?:ce|zca|cir)|di|diga|decir|explica(?:r|me)?|explique|describ(?:e|a|ir)|resum(?:e|a|ir)|da|dame|dé|usa|use|redact\w+",
+    "ru": r"ответь(?:те)?|отвечай(?:те)?|ответить|напиши(?:те)?|пиши(?:те)?|переведи(?:те)?|перевести|скажи(?:те)?|сказать|объясни(?:те)?|опиши(?:те)?|перескажи(?:те)?|дай(?:те)?|расскажи(?:те)?",
+}
+_VERB = rf"(?:{'|'.join(REQUESTS.values())})(?:[- ](?:moi|nous|me|mir|uns|us|мне))?"
+#: The forms of a request: a verb at the start or after a joining word, a polite word, a question to the reader, a wish, or a rule for the answer.
+_REQUEST = re.compile(
+    rf"^[\W_]*(?:(?:and|but|now|then|also|so|next|finally|kindly|just|only|always|instead|und|aber|dann|nun|jetzt|et|mais|puis|maintenant|y|pero|luego|ahora|и|но|а|теперь|потом)\W+)*{_VERB}\b"
+    rf"|(?:[,;–—-]\s*|\b(?:and|then|but|und|dann|et|puis|y|luego|и|затем)\s+){_VERB}\b"
+    r"|\b(?:please|bitte|s'il (?:te|vous) pla[iî]t|por favor|пожалуйста)\b"
+    r"|\b(?:can|could|would|will|do) (?:you|i|we)\b|\b(?:kannst|könntest|können|könnten) (?:du|sie)\b|\bwie (?:sagt|heißt)\b|\b(?:peux|pourrais)-tu\b|\b(?:pouvez|pourriez)-vous\b|\bcomment (?:dit|dire|dis)\b|\b(?:puedes|podrías|puede|podría)\b|\bcómo se dice\b|\b(?:можешь|можете|мог\w* бы)\b|\bкак (?:это )?(?:сказать|будет)\b"
+    r"|\bi (?:want|need|would like|'d like|expect)\b|\bi'd like\b|\bich (?:möchte|brauche|will)\b|\bje (?:veux|voudrais)\b|\bquiero\b|\bя хочу\b"
+    r"|\b(?:your|the|deine?|die|ihre|ta|votre|la|tu|su|твой|ваш) (?:answer|reply|response|text|antwort|réponse|respuesta|ответ)\b.{0,20}\b(?:should|must|has to|needs to|is to|soll\w*|muss|doit|devrait|debe|должен)\b"
+)
 #: What stands in for an answer.
 STAND_INS = {"n/a", "na", "none", "null", "nil", "nan", "no answer", "no response", "no reply", "empty", "blank", "missing", "undefined", "tbd", "todo", "keine antwort", "pas de réponse", "sin respuesta", "нет ответа"}
 _LABEL = r"(?:human|user|assistant|ai|bot|system|question|answer|prompt|response|q|a|mensch|frage|antwort|nutzer|humain|utilisateur|réponse|humano|usuario|asistente|pregunta|respuesta|человек|пользователь|ассистент|вопрос|ответ)"
@@ -148,6 +166,18 @@ def language(text: str, common: dict[str, set[str]]) -> str | None:
     return best if score[best] >= 2 and score[best] > 1.5 * score[second] else None
 
 
+def asked_languages(turn: str) -> list[str]:
+    """The languages that a turn asks for, in any of its sentences.
+
+    An instruction is told from an article by its form, wherever it stands: it has the form of a request,
+    or names little besides the language. What stands in quotation marks or in code asks for nothing.
+    """
+    low = _QUOTED.sub(" ", _CODE.sub("\n", turn)).lower().replace("’", "'")
+    parts = [s for s in re.split(r"(?<=[.!?…])\s+|\n+|: ", low) if _WORD.search(s)]
+    named = [(s, [k for k, v in _ASKED.items() if v.search(s)]) for s in parts]
+    return sorted({k for s, found in named if found and (len(_WORD.findall(s)) <= 4 or _REQUEST.search(s)) for k in found})
+
+
 def is_other_language(answer: str, prompt: str, common: dict[str, set[str]]) -> bool:
     turn = last_turn(prompt)
     if _REPEATS.match(turn):
@@ -155,8 +185,7 @@ def is_other_language(answer: str, prompt: str, common: dict[str, set[str]]) ->
     spoken = language(answer, common)
     if spoken is None:
         return False
-    head = re.split(r"\n\n|: |\? ", turn.lower())
-    asked = [k for k, v in _ASKED.items() if v.search(head[0]) or v.search(head[-1][-80:])]
+    asked = asked_languages(turn)
     if asked:
         return spoken not in asked
     wanted = {language(turn, common), language(prompt, common)} - {None}

@@ -82,6 +82,28 @@ def test_refusals_are_told_by_all_sentences():
     assert got == [True, True, False, False, False]
 
 
+def test_languages_are_asked_for_anywhere_in_the_turn():
+    article = "The book was written in French and sold in the town. It was read to the end of the year."
+    ends = "Answer in German, please, and keep your answer to at most three sentences, without lists or headings"
+    cases = {
+        f"Human: {article}\n\n{ends}": ["de"],
+        f"{article}\n\nNow reply in Spanish to the people of the town.\n\n{article}": ["es"],
+        f"{article} {article}": [],
+        "What is it?\n\n" + article + "\n\nHe said \"please answer in Russian\" to us.": [],
+        "Bitte antworte auf Englisch und halte dich dabei an höchstens drei kurze Sätze ohne Listen und ohne Überschriften": ["en"],
+        "How do you say this in Spanish? The house is in the town.": ["es"],
+        "Please give me the Russian version of: the house": ["ru"],
+    }
+    assert {t: answer_defects.asked_languages(answer_defects.last_turn(t)) for t in cases} == cases
+    common: dict = {}
+    for lang, w in WORDS:
+        common.setdefault(lang, set()).add(w)
+    german = "Das Haus ist nicht in der Stadt und die Stadt war mit der Bahn."
+    turn = f"{article}\n\n{ends}"
+    assert not answer_defects.is_other_language(german, turn, common)
+    assert answer_defects.is_other_language("It is the house that was in the town as it is.", turn, common)
+
+
 def test_kinds(spark, common):
     prose = "This is the story of a house that was in the town, and it was as old as the hills. It is told for you. "
     rng = random.Random(2)

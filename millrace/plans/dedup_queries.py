@@ -57,7 +57,7 @@ def char_ngram_counts(spark, d):
 @query(None)
 def lsh_candidates(spark, d):
     docs = table(spark, d, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("key"), F.col("doc_id").alias("ord"), shingles("text", 13).alias("runs"))
-    b, r = dedup.bands_and_rows(0.8)
+    b, r = dedup.finding_bands(0.8)
     pairs = dedup.band_pairs(docs.withColumn("sig", dedup.signature("runs")), "key", "ord", "sig", b, r)
     return pairs.select(F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"))
 

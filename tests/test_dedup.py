@@ -127,3 +127,14 @@ def test_article_duplicates(spark):
     words = " ".join(f"word{i}" for i in range(200))
     df = frame(spark, [words, words, words + " tail", "other " * 30, None])
     assert sorted(r["doc_id"] for r in dedup.article_duplicates(df, "doc_id", "doc_id").collect()) == [1, 2]
+
+
+def test_minhash_finds_pairs_at_the_threshold(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        a = "".join(rng.choice("abcdefghijklmnop ") for _ in range(400))
+        texts += [a, a + "".join(rng.choice("qrstuvwxyz") for _ in range(90))]  # 388 of 478 runs: 0.81
+    pairs = {m: {(r["lo"]["key"], r["hi"]["key"]) for r in dedup.similar_pairs(frame(spark, texts), method=m).collect()} for m in ("exact", "minhash", "minhash_compat")}
+    assert pairs["minhash"] == pairs["exact"] == {(2 * i, 2 * i + 1) for i in range(40)}
+    assert len(pairs["minhash_compat"]) < 36

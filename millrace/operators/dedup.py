@@ -261,9 +261,10 @@ def word_shingles(c: Column | str, n: int = 5) -> Column:
     return let(words(F.lower(c)), runs)
 
 
-def article_duplicates(df: DataFrame, key: str, order: str, text: str = "text", n: int = 13, t: float = 0.8, hashes: int = 128, verify: bool = True) -> DataFrame:
+def article_duplicates(df: DataFrame, key: str, order: str, text: str = "text", n: int = 5, t: float = 0.8, hashes: int = 128, verify: bool = True) -> DataFrame:
     """(key) of articles that are copies of, or by runs of n words similar to, an earlier kept one.
 
+    n=13 is the described sanitiser's rule, by which one changed word breaks 13 runs.
     verify=False takes a shared band of the described split for similarity, as the described sanitiser does.
     """
     first = exact_dedup(df, text, order)

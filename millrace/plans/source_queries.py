@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -10,21 +9,11 @@ from pyspark.sql import functions as F
 from millrace.operators.dedup import exact_dedup
 from millrace.plans import recipe
 from millrace.plans.registry import query
-from millrace.session import table
+from millrace.session import scratch, table
 from millrace.sources import readers, sinks
 from millrace.streaming import dedup as streams
 
 
-def scratch(spark, name: str) -> str:
-    """A folder in the shared place the cluster names, local only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        import uuid
-
-        return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"{name}-")
-
-
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents")
 def jsonl_round_trip(spark, d):
     path = scratch(spark, "jsonl") + "/docs.jsonl"

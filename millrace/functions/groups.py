@@ -71,6 +71,7 @@ def expand_pairs(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> Da
 
     A tid with many rows is dealt into blocks, so that a pair with it is many small joins.
     """
+    members = members.select("tid", "id")
     size = members.groupBy("tid").agg(F.count("*").alias("n"))
     large = cut(size.where(F.col("n") > block).select("tid", F.ceil(F.col("n") / block).cast("int").alias("g")))
     if large.isEmpty():

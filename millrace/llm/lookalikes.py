@@ -3,7 +3,8 @@
 Confusables skeleton: decompose (compatibility form, so width and presentation variants, ligatures
 and kinds of blanks become plain characters and joined accents separate ones), drop what is
 invisible, replace every letter of another script by the Latin letter it is drawn like, decompose
-again. Originals are grouped by equal skeleton; only 128 bits of it and 64 of the text are shuffled.
+again. Originals are grouped by equal skeleton. Texts are read and folded once: 128 bits of the skeleton
+and the id of the text are written, and everything after works on these.
 
 What still counts: case, accents, line breaks, tabs and the number of blanks.
 
@@ -15,7 +16,6 @@ same form; repeated rows are told apart by the key; further columns are ignored.
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -25,11 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.groups import expand_pairs, pairs_within, with_text_id
+from millrace.session import cut
+
 #: Letters drawn like Latin ones, by script.
 CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮҺԌԚԜӀѴаеѕіјорсухүһԁԍԛԝӏѵ", "ABESIJKMHOPCTYXYhGQWIVaesijopcyxyhdgqwlv"))
 GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿαγινορυϲϳ", "ABEZHIKMNOPTYXCJayivopucj"))
 ARMENIAN = dict(zip("ՍՏՕԼհոսօցզյ", "USOLhnuogqj"))
 CHEROKEE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏕᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZSVSLCPKB"))
+COPTIC = dict(zip("ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ", "ABEHIKMNOPCTYXopc"))
+LISU = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+DESERET = dict(zip("𐐄𐐕𐐛𐐠𐐬𐐽𐑈", "OCLSocs"))
+OLD_ITALIC = dict(zip("𐌀𐌁𐌂𐌄𐌉𐌑𐌕𐌗𐌠𐌢", "ABCEIMTXIX"))
 
 _KEPT_CONTROLS = {"\t", "\n", "\v", "\f", "\r", "\x85"}
 _ASCII_CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
@@ -39,7 +46,7 @@ _ASCII_CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 def table() -> dict[int, str | None]:
     """Translation for decomposed text: None for invisible characters, a blank for every blank."""
     out: dict[int, str | None] = {}
-    for i in range(sys.maxunicode + 1):
+    for i in [*range(0x33480), *range(0xE0000, 0xE1000)]:  # the planes that have characters, but for private ones
         c = chr(i)
         kind = unicodedata.category(c)
         if kind == "Cf" or kind == "Cc" and c not in _KEPT_CONTROLS:
@@ -48,7 +55,7 @@ def table() -> dict[int, str | None]:
             out[i] = " "
     for a, b in ((0x34F, 0x34F), (0x115F, 0x1160), (0x180B, 0x180F), (0x17B4, 0x17B5), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF)):
         out.update(dict.fromkeys(range(a, b + 1)))  # fillers, joiners and variation selectors
-    for script in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE):
+    for script in (CYRILLIC, GREEK, ARMENIAN, CHEROKEE, COPTIC, LISU, DESERET, OLD_ITALIC):
         out.update({ord(a): b for a, b in script.items()})
     return out
 
@@ -89,13 +96,11 @@ def consistent_form(df: DataFrame, key: str = "ord", text: str = "text") -> Data
 
 def lookalike_pairs(df: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:
     """(id_a, id_b): rows whose texts differ but have the same form, id_a < id_b."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
-    rows = rows.mapInArrow(_hashed, "key long, f0 long, f1 long, tid long")
+    rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = cut(with_text_id(rows).select("key", "tid", "text").mapInArrow(_hashed, "key long, f0 long, f1 long, tid long"))
     mixed = rows.groupBy("f0", "f1").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("f0", "f1")
-    members = rows.join(mixed, ["f0", "f1"], "left_semi")
+    members = cut(rows.join(mixed.hint("merge"), ["f0", "f1"], "left_semi"))
     # pairs of different texts first, then their rows: copies are never compared with each other
-    classes = members.select("f0", "f1", "tid").distinct()
-    texts = classes.withColumnRenamed("tid", "a").join(classes.withColumnRenamed("tid", "b"), ["f0", "f1"]).where("a < b").select("a", "b")
-    m = members.select("tid", "key")
-    pairs = texts.join(m.toDF("a", "x"), "a").join(m.toDF("b", "y"), "b")
+    texts = pairs_within(cut(members.select("f0", "f1", "tid").distinct()), ["f0", "f1"], "tid")
+    pairs = expand_pairs(texts, members.select("tid", F.col("key").alias("id")))
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -1,17 +1,19 @@
 """Problem 1: records that repeat the text of others with small edits.
 
 Two texts are near-duplicates when the sets of their runs of k characters have a Jaccard similarity
-of at least t. The work is done once for each distinct text (tid, a 64-bit hash of the text):
+of at least t. The work is done once for each distinct text (tid, see with_text_id):
 
 1. One pass over the table: sorted distinct shingle hashes of a text; the smallest hash in each of
    ROWS*BANDS equal ranges of the hash space (one-permutation minhash, empty ranges filled from a
    fixed donor range); BANDS keys of ROWS minima; a 128-bit sketch, two bits of each of 64 minima.
 2. Rows (band key, set size, tid, sketch) are shuffled by band key and sorted. The members of a key
    are compared with each other exactly, in tiles: exclusive-or of the sketches and a bit count, all
-   pairs within the radius. Tiles are in order of the set sizes (the population counts of the
-   shingle sets), and a pair of tiles whose populations or whose sketches' bit counts differ beyond
-   the radius is skipped. Keys with more than `hot` members are dealt into blocks; each pair of
-   blocks is its own group of a second shuffle, so no task holds or compares a whole hot key.
+   pairs within the radius. The population that tiles are ordered and skipped by is that of the
+   shingle sets, their size: sets whose sizes differ by more than the factor t differ in more places
+   than two similar sets can. (The bit counts of the sketches all lie about 64 and would skip nothing.)
+   Keys with more than `hot` members are dealt into blocks within bands of sizes; blocks meet only
+   within a band and with the next one, each two of them in a group of a second shuffle, so no task
+   holds or compares a whole hot key.
 3. The pairs left are compared by their whole shingle sets; texts meet by two equi-joins.
 
 Recall: a pair at exactly t=0.8 shares no band with probability (1-0.8^4)^20 = 2.6e-5, less above.
@@ -24,6 +26,7 @@ empty result; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.groups import components, expand_pairs, pairs_within, sent, with_text_id
 from millrace.functions.rolling import distinct_shingles, mix
 from millrace.functions.runs import column, whole_runs
 from millrace.session import cut
@@ -104,7 +108,7 @@ def _band_rows(k: int):
     return rows
 
 
-def _near(n, tid, s0, s1, ones, i, j, t, radius):
+def _near(n, tid, s0, s1, i, j, t, radius):
     """Of the candidate index pairs i, j those within the radius and of fitting size."""
     fit = (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])) & (tid[i] != tid[j])
     i, j = i[fit], j[fit]
@@ -115,20 +119,15 @@ def _near(n, tid, s0, s1, ones, i, j, t, radius):
 def tiled_pairs(n, tid, s0, s1, start, stop, t, radius, sides=None):
     """Index pairs within rows start..stop (sorted by n) whose sketches are within the radius.
 
-    Compares tile by tile; skips tile pairs by population. With sides (0 or 1 for each row) only
-    pairs of rows on different sides are given.
+    Compares tile by tile; skips tile pairs by the populations n. With sides (0 or 1 for each row)
+    only pairs of rows on different sides are given.
     """
-    ones = np.bitwise_count(s0[start:stop]).astype(np.int32) + np.bitwise_count(s1[start:stop])
     edges = list(range(start, stop, TILE)) + [stop]
-    low = [int(ones[a - start : b - start].min()) for a, b in zip(edges, edges[1:])]
-    high = [int(ones[a - start : b - start].max()) for a, b in zip(edges, edges[1:])]
     for x, (a, b) in enumerate(zip(edges, edges[1:])):
         for y in range(x, len(edges) - 1):
             c, d = edges[y], edges[y + 1]
             if n[b - 1] < t * n[c]:
                 break  # sorted by n: no later tile fits either
-            if low[x] - high[y] > radius or low[y] - high[x] > radius:
-                continue
             near = np.bitwise_count(s0[a:b, None] ^ s0[None, c:d])
             near += np.bitwise_count(s1[a:b, None] ^ s1[None, c:d])
             i, j = np.nonzero(near <= radius)
@@ -168,7 +167,7 @@ def _compare(t: float, radius: int, hot: int, crossed: bool):
                 i = np.flatnonzero(left > 0)
                 step = 1
                 while len(i):
-                    a, b = _near(n, tid, s0, s1, None, i, i + step, t, radius)
+                    a, b = _near(n, tid, s0, s1, i, i + step, t, radius)
                     if len(a):
                         yield pairs(tid, a, b)
                     step += 1
@@ -181,34 +180,43 @@ def _compare(t: float, radius: int, hot: int, crossed: bool):
     return rows
 
 
-def candidate_pairs(texts: DataFrame, k: int = 13, t: float = 0.8, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b: pairs of distinct texts (tid, text) that share a band key and are near by sketch."""
-    bands = texts.select("tid", "text").mapInArrow(_band_rows(k), "key long, n int, tid long, s0 long, s1 long")
+def near_by_sketch(bands: DataFrame, t: float = 0.8, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: pairs of tids of (key, n, tid, s0, s1) with a key in common that are near by sketch and size."""
     out = "kind byte, a long, b long, n int, s0 long, s1 long"
     first = cut(bands.repartition("key").sortWithinPartitions("key", "n", "tid").mapInArrow(_compare(t, radius, hot, False), out))
     near = first.where("kind = 0").select("a", "b")
     rows = first.where("kind = 1").selectExpr("a AS key", "b AS tid", "n", "s0", "s1")
     if not rows.isEmpty():
-        # rows of hot keys, in blocks of about hot/2 rows by hash; each pair of blocks is a group
-        count = rows.groupBy("key").agg(F.ceil(F.count("*") / F.lit(hot / 2)).cast("int").alias("g"))
-        dealt = rows.join(count, "key").withColumn("mine", F.pmod(F.xxhash64("tid", "key"), F.col("g")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        # a row meets its own block once (inside), every other block once (across)
-        grouped = dealt.select(
-            F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"),
-            "n", "tid", "s0", "s1",
-            F.when(F.col("mine") <= F.col("other"), 0).otherwise(1).cast("byte").alias("side"),
-            (F.col("mine") == F.col("other")).alias("inside"),
-        )
-        for inside in (True, False):
-            part = grouped.where(F.col("inside") == inside)
-            if inside:  # inside one block every pair counts: a side of its own for each row
-                part = part.withColumn("side", F.col("tid"))
-            part = part.repartition("key").sortWithinPartitions("key", "n", "tid")
-            near = near.unionByName(part.mapInArrow(_compare(t, radius, hot, True), out).select("a", "b"))
+        # similar sizes are in the same band of sizes or in the next one
+        rows = rows.withColumn("size", F.floor(F.log("n") / F.lit(1.0001 * math.log(1 / t))).cast("int"))
+        count = sent(cut(rows.groupBy("key", "size").agg(F.ceil(F.count("*") / F.lit(hot / 2)).cast("int").alias("g"))))
+        after, before = (count.select("key", (F.col("size") + d).alias("size"), F.col("g").alias(name)) for d, name in ((-1, "g_after"), (1, "g_before")))
+        dealt = rows.join(count, ["key", "size"]).join(after, ["key", "size"], "left").join(before, ["key", "size"], "left")
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("tid", "key"), F.col("g")).cast("int"))
+
+        def meet(other: str, g: str, low, first_block, second_block, side, inside) -> DataFrame:
+            each = dealt.where(F.col(g).isNotNull()).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(g) - 1)))
+            return each.select(F.xxhash64("key", *low, first_block, second_block).alias("key"), "n", "tid", "s0", "s1", side.cast("long").alias("side"), inside.alias("inside"))
+
+        size, never = F.col("size"), F.lit(False)
+        grouped = [
+            meet("other", "g", (size, size), F.least("mine", "other"), F.greatest("mine", "other"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1), F.col("mine") == F.col("other")),
+            meet("other", "g_after", (size, size + 1), F.col("mine"), F.col("other"), F.lit(0), never),
+            meet("other", "g_before", (size - 1, size), F.col("other"), F.col("mine"), F.lit(1), never),
+        ]
+        blocks = grouped[0].unionByName(grouped[1]).unionByName(grouped[2])
+        # inside one block every pair counts: a side of its own for each row
+        blocks = blocks.withColumn("side", F.when(F.col("inside"), F.col("tid")).otherwise(F.col("side"))).drop("inside")
+        blocks = blocks.repartition("key").sortWithinPartitions("key", "n", "tid")
+        near = near.unionByName(blocks.mapInArrow(_compare(t, radius, hot, True), out).select("a", "b"))
     return near.distinct()
 
 
+def candidate_pairs(texts: DataFrame, k: int = 13, t: float = 0.8, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: pairs of distinct texts (tid, text) that share a band key and are near by sketch."""
+    return near_by_sketch(texts.select("tid", "text").mapInArrow(_band_rows(k), "key long, n int, tid long, s0 long, s1 long"), t, radius, hot)
+
+
 def _verify(k: int, t: float):
     """Rows (a, b, text of b) sorted by a with the row of a itself first."""
 
@@ -246,30 +254,48 @@ def similar_texts(texts: DataFrame, k: int = 13, t: float = 0.8, **how) -> DataF
 
 
 def _texts(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    return df.where(F.length(text) >= min_chars).select(F.col(key).alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
+    rows = df.where(F.length(text) >= min_chars).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return with_text_id(rows).select("id", "tid", "text")
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "ord", text: str = "text", min_chars: int = 200, k: int = 13, t: float = 0.8, **how) -> DataFrame:
     """(id_a, id_b): all pairs of rows whose texts are equal or near-duplicates, id_a < id_b."""
     texts = _texts(df, key, text, min_chars)
     pairs = similar_texts(texts, k, t, **how).select("a", "b")
-    members = texts.select("id", "tid")
-    shared = members.join(members.groupBy("tid").count().where("count > 1").select("tid"), "tid", "left_semi").select("tid").distinct()
-    pairs = pairs.unionByName(shared.select(F.col("tid").alias("a"), F.col("tid").alias("b")))
-    a, b = members.toDF("x", "a"), members.toDF("y", "b")
-    rows = pairs.join(a, "a").join(b, "b").where("a <> b OR x < y")
-    return rows.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    members = cut(texts.select("id", "tid"))
+    shared = members.groupBy("tid").count().where("count > 1")
+    copies = pairs_within(members.join(shared.select("tid").hint("merge"), "tid", "left_semi"), ["tid"], "id")
+    rows = expand_pairs(pairs, members).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return rows.unionByName(copies.toDF("id_a", "id_b"))
+
+
+def _classed(df: DataFrame, key: str, text: str, min_chars: int, k: int, t: float, how: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members (id, tid), classes (tid, text_class) and links (a, b, jaccard) between tids."""
+    texts = _texts(df, key, text, min_chars)
+    links = cut(similar_texts(texts, k, t, **how))
+    members = cut(texts.select("id", "tid"))
+    return members, cut(members.groupBy("tid").agg(F.min("id").alias("text_class"))), links
 
 
 def near_duplicate_links(df: DataFrame, key: str = "ord", text: str = "text", min_chars: int = 200, k: int = 13, t: float = 0.8, **how) -> DataFrame:
-    """One row per row of df: id, text_class (the smallest id with the same text) and n_links.
+    """One row per row of df: id, text_class (the smallest id with the same text), n_links and group_id.
 
-    n_links counts the different texts that are near-duplicates of this one. Rows with a null or
-    short text have a null class and no links.
+    n_links counts the different texts that are near-duplicates of this one; group_id is the smallest
+    id of the rows connected by links. Rows with a null or short text have neither and no links.
+    The links themselves are near_duplicate_classes().
     """
-    texts = _texts(df, key, text, min_chars)
-    pairs = similar_texts(texts, k, t, **how).select("a", "b")
+    members, classes, pairs = _classed(df, key, text, min_chars, k, t, how)
     links = pairs.selectExpr("a AS tid").unionAll(pairs.selectExpr("b AS tid")).groupBy("tid").agg(F.count("*").alias("n_links"))
-    classes = texts.groupBy("tid").agg(F.min("id").alias("text_class")).join(links, "tid", "left")
-    every = df.select(F.col(key).alias("id"), F.when(F.length(text) >= min_chars, F.xxhash64(text)).alias("tid"))
-    return every.join(classes, "tid", "left").select("id", "text_class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    roots = components(pairs.select("a", "b")).join(classes.withColumnRenamed("tid", "node"), "node")
+    groups = roots.join(roots.groupBy("root").agg(F.min("text_class").alias("group_id")), "root").select(F.col("node").alias("tid"), "group_id")
+    classes = classes.join(links, "tid", "left").join(groups, "tid", "left")
+    found = members.join(classes, "tid").select("id", "text_class", "n_links", F.coalesce("group_id", "text_class").alias("group_id"))
+    every = df.select(F.col(key).alias("id")).join(found, "id", "left")
+    return every.select("id", "text_class", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "group_id")
+
+
+def near_duplicate_classes(df: DataFrame, key: str = "ord", text: str = "text", min_chars: int = 200, k: int = 13, t: float = 0.8, **how) -> DataFrame:
+    """(class_a, class_b, jaccard), class_a < class_b: every link between different texts, each named by the smallest id that has it."""
+    _, classes, pairs = _classed(df, key, text, min_chars, k, t, how)
+    named = pairs.join(classes.toDF("a", "x"), "a").join(classes.toDF("b", "y"), "b")
+    return named.select(F.least("x", "y").alias("class_a"), F.greatest("x", "y").alias("class_b"), F.round("jaccard", 6).alias("jaccard"))

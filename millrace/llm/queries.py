@@ -20,6 +20,10 @@ def p1_links(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_links(table(spark, d, "samples")).withColumnRenamed("id", "ord")
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(table(spark, d, "samples"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return answer_defects.defective_answers(table(spark, d, "preference"), table(spark, d, "common_words"))
 
@@ -90,7 +94,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p6_decoded": P6_DECODED, "p8_found": P8_FOUND, "p8_shared": P8_SHARED}
+    return {"p1_found": P1_FOUND, "p1_links": P1_LINKS, "p1_classes": P1_CLASSES, "p3_found": P3_FOUND, "p6_decoded": P6_DECODED, "p8_found": P8_FOUND, "p8_shared": P8_SHARED}
 
 
 P3_FOUND = """
@@ -103,11 +107,24 @@ FROM shares JOIN mixes USING (mix) CROSS JOIN total LEFT JOIN docs ON docs.name
 WHERE share > 0 AND share * size_factor * total.size > max_repeats * coalesce(docs.size, 0)
 """
 P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
-P1_FOUND = """
-WITH g AS (SELECT DISTINCT ord, substr(text, i, 13) AS g FROM (SELECT ord, text, unnest(range(1, length(text) - 11)) AS i FROM samples WHERE length(text) >= 200)),
+_RUNS = """
+g AS (SELECT DISTINCT ord, substr(text, i, 13) AS g FROM (SELECT ord, text, unnest(range(1, length(text) - 11)) AS i FROM samples WHERE length(text) >= 200)),
 n AS (SELECT ord, count(*) AS n FROM g GROUP BY 1),
-c AS (SELECT a.ord AS ord_a, b.ord AS ord_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.ord < b.ord GROUP BY 1, 2)
-SELECT ord_a, ord_b FROM c JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE c * 10 >= 8 * (x.n + y.n - c)
+c AS (SELECT a.ord AS ord_a, b.ord AS ord_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.ord < b.ord GROUP BY 1, 2),
+pairs AS MATERIALIZED (SELECT ord_a, ord_b, c::DOUBLE / (x.n + y.n - c) AS j FROM c JOIN n x ON x.ord = ord_a JOIN n y ON y.ord = ord_b WHERE c * 10 >= 8 * (x.n + y.n - c))
+"""
+P1_FOUND = "WITH " + _RUNS + "SELECT ord_a, ord_b FROM pairs"
+_CLASSES = _RUNS + """,
+t AS MATERIALIZED (SELECT ord, min(ord) OVER (PARTITION BY text) AS text_class FROM samples WHERE length(text) >= 200),
+linked AS MATERIALIZED (SELECT DISTINCT least(x.text_class, y.text_class) AS a, greatest(x.text_class, y.text_class) AS b, j FROM pairs JOIN t x ON x.ord = ord_a JOIN t y ON y.ord = ord_b WHERE x.text_class <> y.text_class)
+"""
+P1_CLASSES = "WITH " + _CLASSES + "SELECT a AS class_a, b AS class_b, round(j, 6) AS jaccard FROM linked"
+P1_LINKS = "WITH RECURSIVE " + _CLASSES + """,
+both_ways AS MATERIALIZED (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+least_of AS (SELECT a, min(b) AS low FROM reach GROUP BY 1), number AS (SELECT a, count(*) AS n FROM both_ways GROUP BY 1)
+SELECT s.ord, text_class, coalesce(n, 0) AS n_links, least(text_class, low) AS group_id
+FROM samples s LEFT JOIN t USING (ord) LEFT JOIN number ON number.a = text_class LEFT JOIN least_of ON least_of.a = text_class
 """
 # windows of 200 characters by hash, those of several documents only
 _WINDOWS = """

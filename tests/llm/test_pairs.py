@@ -53,6 +53,29 @@ def test_near_duplicate_links(spark):
             assert r["text_class"] == first[TEXTS[i]] and r["n_links"] == sum(first[TEXTS[i]] in p for p in links)
 
 
+@pytest.mark.parametrize("operator", [near_duplicates.near_duplicate_pairs, lookalikes.lookalike_pairs])
+def test_texts_with_the_same_first_hash_stay_apart(spark, monkeypatch, operator):
+    from pyspark.sql import functions as F
+
+    from millrace.functions import groups
+
+    texts = [*TEXTS, *[t.replace("a", "а") for t in TEXTS[5:9]]]
+    want = {tuple(r) for r in operator(frame(spark, texts)).collect()}
+    monkeypatch.setattr(groups, "first_hash", lambda c: (F.length(c) % 7).cast("long"))
+    got = [tuple(r) for r in operator(frame(spark, texts)).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
+def test_links_can_be_rebuilt(spark):
+    classes = near_duplicates.near_duplicate_classes(frame(spark, TEXTS)).collect()
+    first = {t: TEXTS.index(t) for t in TEXTS if t and len(t) >= 200}
+    assert {(r["class_a"], r["class_b"]) for r in classes} == {tuple(sorted((first[TEXTS[a]], first[TEXTS[b]]))) for a, b in jaccard_pairs(TEXTS) if TEXTS[a] != TEXTS[b]}
+    groups = {r["id"]: r["group_id"] for r in near_duplicates.near_duplicate_links(frame(spark, TEXTS)).collect()}
+    for a, b in jaccard_pairs(TEXTS):
+        assert groups[a] == groups[b]
+    assert groups[0] is None and groups[5] == 5
+
+
 def test_reordered_parts_are_near(spark):
     parts = [noise(400) for _ in range(4)]
     texts = ["".join(parts), "".join(parts[::-1])]

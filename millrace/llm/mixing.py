@@ -3,15 +3,18 @@
 Temperature mixing. With natural shares s (of the sizes) and target shares q (of the weights) the
 family p_i ~ s_i (q_i / s_i)^x runs from the natural mixture (x=0, every source repeated equally) to
 the target (x=1). A source is repeated p_i * M / size_i times, M the mixture's size, so the largest
-repetition grows with x and the exponent that just keeps the limit is found by bisection; without
-targets, p_i ~ s_i^x and the exponent is bisected for a given entropy. Sources whose repetition at
-x=1 is beyond the limit cannot reach their share.
+repetition grows with x, and x is bisected to the largest value that keeps the limit. Given an
+entropy instead, p_i ~ s_i^x and x is bisected for it. The normalised p are the mixture: shares add
+up to 1, so what a source cannot use goes to the others. Where even x=0 breaks the limit, every
+source is taken as often as it may be. Sources repeated beyond the limit at x=1 cannot reach their
+share. With how="weights" the reachable sources keep the ratios of their weights instead, and only
+the others are held at the limit; both are the same where all shares can be reached (x=1).
 
 The normalised weights are realised by budgeted block permutations: a source with a budget of c
 sizes and a rest gives every document c times, and the rest from a seeded permutation of blocks of
 documents, whole blocks until the budget ends within one, whose documents are then taken in seeded
-order where they fit. Only block totals and one block per source are ordered, so a source that
-holds a third of all rows is no single task.
+order where they fit. Blocks are ordered by their permuted number in two steps, sums of ranges of
+numbers first, so neither documents nor blocks of a source meet in one task.
 
 Defined cases: names are compared in lower case without surrounding blanks; null and zero weights
 get nothing; a repeated row of a mixture counts once; a source without documents gets nothing and
@@ -31,7 +34,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLOCK_ROWS = 2048
+from millrace.session import cut
+
+BLOCK_ROWS, RANGES = 2048, 1024
 PLAN = T.StructType([
     T.StructField("mix", T.StringType()), T.StructField("name", T.StringType()), T.StructField("share", T.DoubleType()),
     T.StructField("size", T.LongType()), T.StructField("wanted", T.DoubleType()), T.StructField("repeats", T.DoubleType()),
@@ -72,25 +77,53 @@ def entropy_exponent(natural: list[float], wanted: float) -> float:
     return bisect(0.0, 1.0, lambda x: entropy(powered(x)) >= wanted)
 
 
-def plan_mixture(rows: list[tuple[str, float, int]], total: int, factor: float, limit: int) -> list[dict]:
-    """Plan of one mixture from (name, weight, size of its documents)."""
+def level(weights: list[float], most: list[float], total: float) -> list[float]:
+    """Parts of total in the ratio of the weights, none above its most; what one cannot take the others share."""
+    out, active = [0.0] * len(weights), [i for i, w in enumerate(weights) if w > 0]
+    while active:
+        scale = (total - sum(out)) / sum(weights[i] for i in active)
+        full = [i for i in active if scale * weights[i] >= most[i]]
+        if not full:
+            for i in active:
+                out[i] = scale * weights[i]
+            break
+        for i in full:
+            out[i] = most[i]
+        active = [i for i in active if i not in full]
+    return out
+
+
+def plan_mixture(rows: list[tuple[str, float, int]], total: int, factor: float, limit: int, how: str = "limit", entropy_share: float | None = None) -> list[dict]:
+    """Plan of one mixture from (name, weight, size of its documents).
+
+    how: limit (the exponent that keeps the repetition limit), entropy (the exponent for entropy_share
+    of the largest entropy, that of equal shares, held at the limit) or weights.
+    """
+    if how not in ("limit", "entropy", "weights"):
+        raise ValueError(f"unknown way {how}")
     weights = sum(w for _, w, _ in rows)
     if not weights or not rows:
         return []
-    size_all = sum(s for _, _, s in rows)
+    size_all = sum(s for _, w, s in rows if w > 0)
     target = [w / weights for _, w, _ in rows]
-    natural = [s / size_all if size_all else 0.0 for _, _, s in rows]
+    natural = [s / size_all if size_all and w > 0 else 0.0 for _, w, s in rows]
     mixture = factor * total
-
-    def most(x: float) -> float:
-        return max([p * mixture / s for p, (_, _, s) in zip(tempered(natural, target, x), rows) if s > 0], default=0.0)
-
-    x = bisect(0.0, 1.0, lambda v: most(v) <= limit)
-    soft = tempered(natural, target, x)
+    most = [float(limit) * s for _, _, s in rows]
+
+    def repeats(x: float) -> list[float]:
+        return [p * mixture / s if s else 0.0 for p, (_, _, s) in zip(tempered(natural, target, x), rows)]
+
+    if how == "entropy":
+        flat = [1.0 if s > 0 else 0.0 for s in natural]
+        x = entropy_exponent(natural, (entropy_share if entropy_share is not None else 0.95) * math.log(max(1, sum(s > 0 for s in natural))))
+        soft = tempered(natural, flat, 1 - x)
+    else:
+        x = bisect(0.0, 1.0, lambda v: max(repeats(v), default=0.0) <= limit)
+        soft = tempered(natural, target, x)
+    budgets = level(target if how == "weights" else soft, most, mixture)
     out = []
-    for (name, _, size), share, p in zip(rows, target, soft):
-        wanted = share * mixture
-        budget = min(wanted, float(limit) * size)
+    for (name, _, size), share, p, budget in zip(rows, target, soft, budgets):
+        wanted = share * mixture  # the size at x=1, whether or not the others can use theirs
         passes = min(int(budget // size), limit) if size else 0
         out.append({
             "name": name, "share": share, "size": size, "wanted": wanted, "repeats": wanted / size if size else None,
@@ -100,7 +133,7 @@ def plan_mixture(rows: list[tuple[str, float, int]], total: int, factor: float,
     return out
 
 
-def mixing_plan(documents: DataFrame, sources: DataFrame, mixes: DataFrame, source: str = "source", size: str = "n_chars") -> DataFrame:
+def mixing_plan(documents: DataFrame, sources: DataFrame, mixes: DataFrame, source: str = "source", size: str = "n_chars", how: str = "limit", entropy_share: float | None = None) -> DataFrame:
     """One row for each source of each mixture (PLAN). The corpus is reduced to one size per source
     named in `sources`, a table of fixed length; only these sizes reach the driver."""
     spark = documents.sparkSession
@@ -118,7 +151,7 @@ def mixing_plan(documents: DataFrame, sources: DataFrame, mixes: DataFrame, sour
         by_mix[r["mix"], r["size_factor"], r["max_repeats"]].append((r["name"], r["weight"], of.get(r["name"], 0)))
     out = []
     for (mix, factor, limit), given in sorted(by_mix.items(), key=str):
-        out += [{"mix": mix} | p for p in plan_mixture(sorted(given), total, factor or 0.0, limit or 0)]
+        out += [{"mix": mix} | p for p in plan_mixture(sorted(given), total, factor or 0.0, limit or 0, how, entropy_share)]
     return spark.createDataFrame([tuple(p[f.name] for f in PLAN) for p in out], PLAN)
 
 
@@ -148,11 +181,17 @@ def realise(documents: DataFrame, plan: DataFrame, key: str = "doc_id", source:
     docs = docs.join(F.broadcast(blocks), "name").withColumn("block", F.pmod(F.xxhash64("key", F.lit(seed)), F.col("blocks")))
     shares = F.broadcast(plan.where("budget > 0 AND size > 0").select("mix", "name", "passes", "rest"))
     totals = docs.groupBy("name", "block").agg(F.sum("size").alias("in_block")).join(shares, "name")
-    order = Window.partitionBy("mix", "name").orderBy(F.xxhash64("block", "mix", F.lit(seed)), "block")
-    totals = totals.withColumn("upto", F.sum("in_block").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # the permuted number of a block; sums of ranges of numbers first, then of the blocks within a range
+    totals = cut(totals.withColumn("at", F.xxhash64("block", "mix", F.lit(seed)))).withColumn("range", F.floor(F.col("at") / F.lit((1 << 64) // RANGES)))
+    so_far = Window.partitionBy("mix", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = totals.groupBy("mix", "name", "range").agg(F.sum("in_block").alias("in_range")).withColumn("before", F.coalesce(F.sum("in_range").over(so_far), F.lit(0)))
+    order = Window.partitionBy("mix", "name", "range").orderBy("at", "block").rowsBetween(Window.unboundedPreceding, 0)
+    totals = totals.withColumn("in_it", F.sum("in_block").over(order)).join(ranges.drop("in_range"), ["mix", "name", "range"])
+    totals = totals.withColumn("upto", F.col("before") + F.col("in_it"))
     # blocks that fit whole; of the one in which the budget ends, what is left for it
     totals = totals.withColumn("left", F.col("rest") - (F.col("upto") - F.col("in_block")))
     totals = totals.withColumn("state", F.when(F.col("in_block") <= F.col("left"), "whole").when(F.col("left") > 0, "part").otherwise("none"))
+    totals = totals.where("passes > 0 OR state <> 'none'")
     taken = docs.join(totals.select("mix", "name", "block", "passes", "left", "state"), ["name", "block"])
     part = taken.where("state = 'part'").groupBy("mix", "name", "block").applyInPandas(
         _fill(seed), "mix string, name string, block long, key long, size long, passes int, left double, state string, more int"
@@ -163,9 +202,9 @@ def realise(documents: DataFrame, plan: DataFrame, key: str = "doc_id", source:
 
 
 def actual_shares(realised: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source of a mixture: target share, what was taken, share of what was taken, largest repetition."""
-    got = realised.groupBy("mix", "name").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"))
-    rows = plan.select("mix", "name", "share", "tempered", "exponent", "wanted", "reachable").join(got, ["mix", "name"], "left")
-    rows = rows.fillna({"taken": 0, "most_copies": 0})
-    of_all = F.sum("taken").over(Window.partitionBy("mix"))
+    """Per source of a mixture: target share, planned share, what was taken, its share, the largest repetition and document."""
+    got = realised.groupBy("mix", "name").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"), F.max("size").alias("longest"))
+    rows = plan.select("mix", "name", "share", "tempered", "exponent", "wanted", "budget", "reachable").join(got, ["mix", "name"], "left")
+    rows = rows.fillna({"taken": 0, "most_copies": 0, "longest": 0})
+    of_all = F.sum("taken").over(Window.partitionBy("mix"))  # a row for each source of a mixture
     return rows.withColumn("actual_share", F.try_divide(F.col("taken"), of_all))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.llm import answer_defects, lookalikes, mixing, near_duplicates, packing, shared_spans, text_quality, tokenizing
 from millrace.session import table
@@ -32,8 +33,13 @@ def p2_flags(spark: SparkSession, d: str) -> DataFrame:
     return answer_defects.answer_flags(table(spark, d, "preference"), table(spark, d, "common_words"))
 
 
-def _plan(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixing_plan(table(spark, d, "documents"), table(spark, d, "dolma_sources"), table(spark, d, "mixes"))
+def _plan(spark: SparkSession, d: str, **how) -> DataFrame:
+    return mixing.mixing_plan(table(spark, d, "documents"), table(spark, d, "dolma_sources"), table(spark, d, "mixes"), **how)
+
+
+def _shares(spark: SparkSession, d: str, **how) -> DataFrame:
+    plan = _plan(spark, d, **how)
+    return mixing.actual_shares(mixing.realise(table(spark, d, "documents"), plan), plan)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -45,8 +51,30 @@ def p3_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_shares(spark: SparkSession, d: str) -> DataFrame:
-    plan = _plan(spark, d)
-    return mixing.actual_shares(mixing.realise(table(spark, d, "documents"), plan), plan)
+    return _shares(spark, d)
+
+
+def p3_weights(spark: SparkSession, d: str) -> DataFrame:
+    """The selection in which reachable sources keep the ratios of their weights."""
+    return mixing.realise(table(spark, d, "documents"), _plan(spark, d, how="weights"))
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For each mixture and way to plan it: whether the repetition limit is kept, every source takes its
+    budget up to less than a document, and the budgets add up to the mixture's size (the documents suffice)."""
+    out = None
+    limits = table(spark, d, "mixes").select("mix", "max_repeats")
+    for how in ("limit", "entropy", "weights"):
+        rows = _shares(spark, d, how=how).join(limits, "mix")
+        gap = F.col("budget") - F.col("taken")
+        one = rows.groupBy("mix").agg(
+            F.lit(how).alias("how"),
+            F.every(F.col("most_copies") <= F.col("max_repeats")).alias("limit_kept"),
+            F.every((gap > -0.5) & ((F.col("budget") < 0.5) | (gap < F.greatest("longest", F.lit(1))) | (F.col("taken") == 0))).alias("budgets_met"),
+            (F.abs(F.sum("budget") - F.sum("wanted")) < 1).alias("size_planned"),
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +122,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_links": P1_LINKS, "p1_classes": P1_CLASSES, "p3_found": P3_FOUND, "p6_decoded": P6_DECODED, "p8_found": P8_FOUND, "p8_shared": P8_SHARED}
+    return {"p1_found": P1_FOUND, "p1_links": P1_LINKS, "p1_classes": P1_CLASSES, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p6_decoded": P6_DECODED, "p8_found": P8_FOUND, "p8_shared": P8_SHARED}
 
 
 P3_FOUND = """
@@ -106,6 +134,7 @@ SELECT shares.mix, shares.name
 FROM shares JOIN mixes USING (mix) CROSS JOIN total LEFT JOIN docs ON docs.name = shares.name
 WHERE share > 0 AND share * size_factor * total.size > max_repeats * coalesce(docs.size, 0)
 """
+P3_KEPT = "SELECT mix, how, true AS limit_kept, true AS budgets_met, true AS size_planned FROM mixes CROSS JOIN (SELECT unnest(['limit', 'entropy', 'weights']) AS how) WHERE mix IN (SELECT mix FROM dolma_sources WHERE weight > 0)"
 P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 _RUNS = """
 g AS (SELECT DISTINCT ord, substr(text, i, 13) AS g FROM (SELECT ord, text, unnest(range(1, length(text) - 11)) AS i FROM samples WHERE length(text) >= 200)),

@@ -7,17 +7,23 @@ that share it have the same anchor in it; about 2/(w+1) of all suffixes are left
 
 1. One pass gives a row for each anchor: (run hash, text id, place, hash of what comes before). The
    rows are shuffled and sorted by the run hash, that is the suffixes are split by a prefix of k
-   characters. A node of that tree counts only where suffixes of different texts differ in what
-   comes before (left-maximal); where the previous anchor and its distance are the same, the shared
-   span begins earlier and is found there. Only these few suffixes go on.
+   characters. Only groups of several texts go on, and for pairs only those in which suffixes differ
+   in what comes before (left-maximal): where the previous anchor and its distance are the same, the
+   shared span begins earlier and is found there.
 2. For them the text is joined once and cut to w-1 characters before and `span` after the anchor.
-3. The suffixes of each prefix group are sorted by what follows; the internal nodes of depth
-   span-l, whose leaves agree in the l characters before, for every l < w, are the shared spans:
-   groups of equal windows of `span` characters. A prefix group of more than `hot` suffixes is split
-   by a longer prefix, the whole window for each l, in a further shuffle.
+3. The suffixes of a prefix group are sorted; the common prefixes of neighbours give the internal
+   nodes of their tree, each with its depth (right-maximal repeats). Under a node of depth D the
+   leaves that also agree in the span-D characters before the anchor share a span: a deep node.
+   A prefix group of more than `hot` suffixes fits no task; it is split by longer prefixes of variable
+   length, span-l characters from the anchor together with the l before it, for each l < w, so that a
+   group is one deep node and needs no tree. Equal sets of texts are reduced to one before any pair is
+   formed, and the pairs of a large set are formed in blocks.
 
-The result is exact but for collisions of 64-bit hashes of whole texts and of k-character runs, and
-the windows themselves are compared as text (in hot groups by 128 bits of hash).
+How much of a text is shared is found without pairs: the longest match of a suffix is with a
+neighbour of another text in the sorted order, to the left as to the right.
+
+The result is exact but for collisions of 64-bit hashes of runs of k characters within a group, which
+only make it larger, and of 128-bit hashes in groups above `hot`.
 
 Defined cases: null, empty and shorter texts share nothing; equal texts of the length are pairs; a
 passage repeated only within one record is none; an empty table gives an empty result; further
@@ -27,13 +33,13 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.groups import expand_pairs, pairs_within, sent, with_text_id
 from millrace.functions.rolling import code_points, mix, rolling, sliding
 from millrace.functions.runs import column, whole_runs
 from millrace.session import cut
@@ -75,8 +81,8 @@ def _anchor_rows(k: int, w: int):
     return rows
 
 
-def _branching(hot: int):
-    """Of rows sorted by h, tid, place: those whose h has several texts with different befores."""
+def _several(hot: int, left_maximal: bool):
+    """Of rows sorted by h, tid, place: those whose h has several texts, with left_maximal only where what comes before differs."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, is_hot in whole_runs(batches, "h", hot, ["tid", "place"]):
@@ -86,8 +92,8 @@ def _branching(hot: int):
             else:
                 starts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1])
                 size = np.diff(np.append(starts, len(h)))
-                several = [np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts) for c in (tid, before)]
-                keep = np.repeat(several[0] & several[1], size)
+                several = [np.minimum.reduceat(c, starts) != np.maximum.reduceat(c, starts) for c in ((tid, before) if left_maximal else (tid,))]
+                keep = np.repeat(np.logical_and.reduce(several), size)
             t = table.filter(pa.array(keep)).select(["h", "tid", "place"]).append_column("hot", pa.array(np.full(int(keep.sum()), is_hot)))
             yield from t.to_batches()
 
@@ -112,151 +118,194 @@ def _contexts(span: int, w: int):
     return rows
 
 
-def deep_nodes(around: list[str], left: list[int], span: int) -> Iterator[list[int]]:
-    """Groups of suffixes (by index) that agree in a window of span characters around the anchor.
+def neighbours(texts: list[str], width: int) -> np.ndarray:
+    """Length of the common beginning of each text with the one before it, at most width; 0 for the first."""
+    size = np.array([min(len(t), width) for t in texts])
+    points = code_points("".join(t[:width].ljust(width, "\0") for t in texts)).reshape(len(texts), width)
+    differ = points[1:] != points[:-1]
+    upto = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return np.concatenate([[0], np.minimum(upto, np.minimum(size[1:], size[:-1]))])
 
-    For l characters before the anchor the window is around[left-l : left-l+span]. A suffix group
-    that also agrees one character further to the left is given there instead.
-    """
-    if len(around) < 2:
-        return
+
+def tree_nodes(common: list[int], least: int) -> Iterator[tuple[int, int, int]]:
+    """(depth, first, stop) of the internal nodes of at least that depth, from the common beginnings of sorted neighbours."""
+    stack: list[tuple[int, int]] = []
+    for i in range(1, len(common) + 1):
+        c = common[i] if i < len(common) else 0
+        first = i - 1
+        while stack and stack[-1][0] > c:
+            depth, first = stack.pop()
+            yield depth, first, i
+        if c >= least and (not stack or stack[-1][0] < c):
+            stack.append((c, first))
+
+
+def deep_nodes(around: list[str], left: list[int], span: int) -> Iterator[tuple[int, list[int]]]:
+    """(depth, leaves) of one prefix group: suffixes, by index, that agree in depth characters from the
+    anchor on and in the span - depth before it."""
     order = sorted(range(len(around)), key=lambda i: around[i][left[i] :])
-    # maximal runs in that order that agree in the first span - max(left) characters
-    need = max(span - max(left), 1)
-    groups, now = [], [order[0]]
-    for x, y in zip(order, order[1:]):
-        if around[x][left[x] : left[x] + need] == around[y][left[y] : left[y] + need]:
-            now.append(y)
-        else:
-            groups.append(now)
-            now = [y]
-    groups.append(now)
-    for g in groups:
-        if len(g) < 2:
-            continue
-        for back in range(max(left[i] for i in g) + 1):
-            nodes: dict[str, list[int]] = {}
-            for i in g:
-                s = left[i] - back
-                if s >= 0 and len(window := around[i][s : s + span]) == span:
-                    nodes.setdefault(window, []).append(i)
-            for leaves in nodes.values():
-                if len(leaves) > 1:
-                    further = {around[i][left[i] - back - 1] if left[i] > back else i for i in leaves}
-                    if len(further) > 1:
-                        yield leaves
-
-
-def _spans(span: int, places: bool = False):
+    common = neighbours([around[i][left[i] :] for i in order], span)
+    for depth, first, stop in tree_nodes(common.tolist(), max(1, span - max(left))):
+        need = span - depth
+        leaves: dict[str, list[int]] = {}
+        for i in order[first:stop]:
+            if left[i] >= need:
+                leaves.setdefault(around[i][left[i] - need : left[i]], []).append(i)
+        for same in leaves.values():
+            if len(same) > 1:
+                yield depth, same
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[str], list[int]]]:
+    """(tid, place, around, left) of each prefix group of several texts."""
+    for table, _ in whole_runs(batches, "h", 1 << 31):
+        h = column(table, "h")
+        tid, place, left, around = (table.column(c).to_pylist() for c in ("tid", "place", "left", "around"))
+        edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]]).tolist()
+        for a, b in zip(edges, edges[1:]):
+            if b - a > 1:
+                yield tid[a:b], place[a:b], around[a:b], left[a:b]
+
+
+def _sets(span: int):
+    """(id, members) of the different sets of texts below the deep nodes; id is 128 bits of the members' hash."""
+    import xxhash
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, _ in whole_runs(batches, "h", 1 << 31):
-            h, tid, place = (column(table, c) for c in ("h", "tid", "place"))
-            left, around = table.column("left").to_pylist(), table.column("around").to_pylist()
-            edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-            found: dict[tuple, tuple[int, int]] = {}
-            for a, b in zip(edges, edges[1:]):
-                for leaves in deep_nodes(around[a:b], left[a:b], span):
-                    if places:  # every occurrence with every one in another text
-                        for i, j in combinations(sorted(leaves, key=lambda i: (tid[a + i], place[a + i])), 2):
-                            x, y = int(tid[a + i]), int(tid[a + j])
-                            if x != y:
-                                found[x, y, int(place[a + i]), int(place[a + j])] = (int(place[a + i]), int(place[a + j]))
-                        if len(found) > 50_000:
-                            yield _pairs(found)
-                            found = {}
-                        continue
-                    one: dict[int, int] = {}
-                    for i in leaves:
-                        one.setdefault(int(tid[a + i]), int(place[a + i]))
-                    for x, y in combinations(sorted(one), 2):
-                        found[x, y] = (one[x], one[y])
-                    if len(found) > 50_000:
-                        yield _pairs(found)
-                        found = {}
-            if found:
-                yield _pairs(found)
+        seen: dict[bytes, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.list_(pa.int64()))], names=["id", "members"])
+
+        held = 0
+        for tid, _, around, left in _groups(batches):
+            for _, leaves in deep_nodes(around, left, span):
+                members = sorted({tid[i] for i in leaves})
+                if len(members) > 1:
+                    one = xxhash.xxh3_128_digest(np.array(members, np.int64).tobytes())
+                    if one not in seen:
+                        seen[one] = members
+                        held += len(members)
+                        if held > 500_000:
+                            yield flush()
+                            seen.clear()
+                            held = 0
+        if seen:
+            yield flush()
 
     return rows
 
 
-def _pairs(found: dict) -> pa.RecordBatch:
-    ab, at = np.array([k[:2] for k in found], np.int64), np.array(list(found.values()), np.int32)
-    return pa.RecordBatch.from_arrays([ab[:, 0].copy(), ab[:, 1].copy(), at[:, 0].copy(), at[:, 1].copy()], names=["a", "b", "place_a", "place_b"])
+def furthest(words: list[str], tid: list[int], width: int) -> list[int]:
+    """For each of sorted words the longest common beginning with one of another tid."""
+    common = neighbours(words, width).tolist()
+    n = len(words)
+    best = [0] * n
+    for order in (range(1, n), range(n - 2, -1, -1)):
+        step = 1 if order.step > 0 else -1
+        now = [0] * n
+        for i in order:
+            j = i - step
+            c = common[i] if step > 0 else common[j]
+            now[i] = c if tid[i] != tid[j] else min(c, now[j])
+            best[i] = max(best[i], now[i])
+    return best
 
 
-def sharing_texts(texts: DataFrame, span: int = 200, hot: int = HOT, places: bool = False) -> DataFrame:
-    """(a, b, place_a, place_b), a < b: pairs of distinct texts (tid, text) with a shared span.
+def _extents(span: int, w: int):
+    """(tid, start, end): for each suffix the stretch around it that lies in spans shared with another text."""
 
-    The places are of an anchor in a shared span; a pair may come out with several spans, and with
-    places=True it comes out with each of its maximal spans at least once.
-    """
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tid, place, around, left in _groups(batches):
+            start, end = [1 << 30] * len(tid), [0] * len(tid)
+            for depth, leaves in deep_nodes(around, left, span):
+                if len({tid[i] for i in leaves}) < 2:
+                    continue
+                back = sorted((around[i][: left[i]][::-1], i) for i in leaves)
+                at = [i for _, i in back]
+                for i, n in zip(at, furthest([b for b, _ in back], [tid[i] for i in at], w - 1) if w > 1 else [0] * len(at)):
+                    if n >= span - depth:
+                        start[i], end[i] = min(start[i], place[i] - n), max(end[i], place[i] + depth)
+            keep = [i for i in range(len(tid)) if end[i]]
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], t) for c, t in ((tid, pa.int64()), (start, pa.int32()), (end, pa.int32()))], names=["tid", "start", "end"])
+
+    return rows
+
+
+def _suffixes(texts: DataFrame, span: int, hot: int, left_maximal: bool) -> tuple[DataFrame, DataFrame]:
+    """Suffixes (h, tid, place, left, around) of prefix groups of several texts: the groups that fit a task, and the others."""
     k = span // 2 + 1
     w = span - k + 1
     if k < w:
         raise ValueError("span is too short")
     rows = texts.mapInArrow(_anchor_rows(k, w), "h long, tid long, place int, before long")
-    branching = rows.repartition("h").sortWithinPartitions("h", "tid", "place").mapInArrow(_branching(hot), "h long, tid long, place int, hot boolean")
-    by_text = branching.groupBy("tid").agg(F.collect_list(F.struct("h", "place", "hot")).alias("anchors"))
+    several = rows.repartition("h").sortWithinPartitions("h", "tid", "place").mapInArrow(_several(hot, left_maximal), "h long, tid long, place int, hot boolean")
+    by_text = several.groupBy("tid").agg(F.collect_list(F.struct("h", "place", "hot")).alias("anchors"))
     one = texts.select("tid", "text").dropDuplicates(["tid"])
     around = cut(by_text.join(one, "tid").mapInArrow(_contexts(span, w), "h long, tid long, place int, hot boolean, left int, around string"))
-    out = "a long, b long, place_a int, place_b int"
-    found = around.where("NOT hot").repartition("h").sortWithinPartitions("h", "tid", "place").mapInArrow(_spans(span, places), out)
-    large = around.where("hot")
+    fit = around.where("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h", "tid", "place")
+    return fit, around.where("hot").drop("hot")
+
+
+def _windows(large: DataFrame, span: int) -> DataFrame:
+    """(win, tid, place, l): the suffixes of large groups by each longer prefix, span - l characters and the l before."""
+    each = large.select("tid", "place", F.explode(F.sequence(F.lit(0), F.col("left"))).alias("l"), "left", "around")
+    each = each.select("tid", "place", "l", F.expr(f"substring(around, left - l + 1, {span})").alias("win")).where(F.length("win") == span)
+    return each.withColumn("win", F.unhex(F.md5("win")))
+
+
+def sharing_texts(texts: DataFrame, span: int = 200, hot: int = HOT) -> DataFrame:
+    """(a, b), a < b: pairs of distinct texts (tid, text) with a shared span."""
+    fit, large = _suffixes(texts, span, hot, left_maximal=True)
+    sets = cut(fit.mapInArrow(_sets(span), "id binary, members array<long>").dropDuplicates(["id"]))
+    pairs = sets.where(F.size("members") == 2).select(F.col("members")[0].alias("a"), F.col("members")[1].alias("b"))
+    more = sets.where(F.size("members") > 2)
+    if not more.isEmpty():
+        pairs = pairs.unionByName(pairs_within(cut(more.select("id", F.explode("members").alias("tid"))), ["id"], "tid"))
+    if not large.isEmpty():
+        # windows of one shared span hold the same texts: of equal sets one window is kept
+        window = cut(_windows(large, span).select("win", "tid").distinct())
+        bits = [F.bit_xor(F.xxhash64(F.lit(i), "tid")) for i in (1, 2)]
+        kept = window.groupBy("win").agg(F.count("*").alias("n"), bits[0].alias("x"), bits[1].alias("y")).where("n > 1")
+        kept = cut(kept.groupBy("n", "x", "y").agg(F.min("win").alias("win")).select("win"))
+        pairs = pairs.unionByName(pairs_within(cut(window.join(sent(kept), "win", "left_semi")), ["win"], "tid"))
+    return pairs.distinct()
+
+
+def shared_stretches(texts: DataFrame, span: int = 200, hot: int = HOT) -> DataFrame:
+    """(tid, start, end): stretches of distinct texts (tid, text) that together are all that lies in spans shared with another text."""
+    fit, large = _suffixes(texts, span, hot, left_maximal=False)
+    out = fit.mapInArrow(_extents(span, span - span // 2), "tid long, start int, end int")
     if not large.isEmpty():
-        # a longer prefix: the whole window, for each number of characters before the anchor
-        window = large.select("tid", "place", F.explode(F.sequence(F.lit(0), F.col("left"))).alias("l"), "left", "around")
-        window = window.select("tid", "place", F.expr(f"substring(around, left - l + 1, {span})").alias("win")).where(F.length("win") == span)
-        window = window.select(F.md5("win").alias("win"), "tid", "place")
-        window = window.distinct() if places else window.groupBy("win", "tid").agg(F.min("place").alias("place"))
-        # consecutive windows of one shared span hold the same texts: members are numbered, pairs are
-        # made by an equi-join on the window, split by the number so that a hot window is many groups
-        many = window.groupBy("win").agg(F.count("*").alias("n")).where("n > 1")
-        left = window.join(many, "win").withColumn("part", F.explode(F.sequence(F.lit(0), (F.col("n") / hot).cast("int"))))
-        right = window.join(many, "win").withColumn("part", F.pmod(F.xxhash64("tid"), (F.col("n") / hot).cast("int") + 1).cast("int"))
-        both = left.toDF("win", "a", "place_a", "n", "part").join(right.toDF("win", "b", "place_b", "m", "part"), ["win", "part"]).where("a < b")
-        both = both.select("a", "b", "place_a", "place_b")
-        found = found.unionByName(both.distinct() if places else both.groupBy("a", "b").agg(F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b")))
-    return found
+        # a suffix whose whole surroundings stand in another text is done; two texts of each such group stay for the others
+        large = large.withColumn("c", F.unhex(F.md5("around")))
+        same = cut(large.groupBy("c", "left").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high"))
+        known = large.join(sent(same), ["c", "left"], "left")
+        begin = F.col("place") - F.col("left")
+        out = out.unionByName(known.where("low IS NOT NULL").select("tid", begin.alias("start"), (begin + F.length("around")).alias("end")).where(F.col("end") - F.col("start") >= span))
+        window = cut(_windows(known.where("low IS NULL OR tid = low OR tid = high"), span))
+        several = cut(window.groupBy("win").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("win"))
+        first = F.col("place") - F.col("l")
+        shared = window.join(sent(several), "win", "left_semi")
+        out = out.unionByName(shared.groupBy("tid", "place").agg(F.min(first).alias("start"), F.max(first + span).alias("end")).select("tid", "start", "end"))
+    return out
 
 
 def _texts(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
-    return df.where(F.length(text) >= span).select(F.col(key).alias("id"), F.xxhash64(text).alias("tid"), F.col(text).alias("text"))
+    rows = df.where(F.length(text) >= span).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    return with_text_id(rows).select("id", "tid", "text")
 
 
 def sharing_records(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200, **how) -> DataFrame:
     """(id_a, id_b): pairs of rows whose texts have span consecutive characters in common, id_a < id_b."""
     texts = _texts(df, key, text, span)
-    pairs = sharing_texts(texts.select("tid", "text"), span, **how).select("a", "b").distinct()
-    members = texts.select("id", "tid")
-    same = members.groupBy("tid").count().where("count > 1").select(F.col("tid").alias("a"), F.col("tid").alias("b"))
-    a, b = members.toDF("x", "a"), members.toDF("y", "b")
-    rows = pairs.unionByName(same).join(a, "a").join(b, "b").where("a <> b OR x < y")
-    return rows.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-
-
-def _extend(span: int):
-    """Rows (a, b, text_a, text_b, places): the whole matches around the places, for both texts."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for a, b, x, y, places in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b", "places"))):
-                p, q = code_points(x), code_points(y)
-                done: set[tuple[int, int]] = set()
-                for at in sorted(places, key=lambda r: (r["place_a"], r["place_b"])):
-                    i, j = at["place_a"], at["place_b"]
-                    n, m = min(len(p) - i, len(q) - j), min(i, j)
-                    differ = np.flatnonzero(p[i : i + n] != q[j : j + n])
-                    right = int(differ[0]) if len(differ) else n
-                    differ = np.flatnonzero(p[i - m : i] != q[j - m : j])
-                    left = m - 1 - int(differ[-1]) if len(differ) else m
-                    if left + right >= span and (i - left, j - left) not in done:
-                        done.add((i - left, j - left))
-                        out += [(a, i - left, i + right), (b, j - left, j + right)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32()))], names=["tid", "start", "end"])
-
-    return rows
+    pairs = sharing_texts(texts.select("tid", "text"), span, **how)
+    members = cut(texts.select("id", "tid"))
+    shared = members.groupBy("tid").count().where("count > 1")
+    copies = pairs_within(members.join(shared.select("tid").hint("merge"), "tid", "left_semi"), ["tid"], "id")
+    rows = expand_pairs(pairs, members).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    return rows.unionByName(copies.toDF("id_a", "id_b"))
 
 
 def shared_extent(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200, **how) -> DataFrame:
@@ -264,18 +313,15 @@ def shared_extent(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     characters that also stand in another row. A row with an equal text elsewhere is shared whole.
     """
     texts = _texts(df, key, text, span)
-    one = cut(texts.select("tid", "text").dropDuplicates(["tid"]))
-    pairs = sharing_texts(texts.select("tid", "text"), span, places=True, **how)
-    pairs = pairs.groupBy("a", "b").agg(F.collect_set(F.struct("place_a", "place_b")).alias("places"))
-    met = pairs.join(one.toDF("a", "text_a"), "a").join(one.toDF("b", "text_b"), "b")
-    spans = met.select("a", "b", "text_a", "text_b", "places").mapInArrow(_extend(span), "tid long, start int, end int").distinct()
-    # union of the intervals of a text, in order of their starts
+    stretches = shared_stretches(texts.select("tid", "text"), span, **how)
+    # union of the stretches of a text, in order of their starts
     ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
     begin = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("sum"))
     step = lambda s, x: F.struct(F.greatest(s["upto"], x["end"]).alias("upto"), (s["sum"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["upto"], x["start"]))).alias("sum"))
-    covered = spans.groupBy("tid").agg(F.aggregate(ordered, begin, step, lambda s: s["sum"]).alias("covered"))
-    copies = texts.groupBy("tid").agg(F.count("*").alias("rows"))
-    every = df.select(F.col(key), F.length(text).alias("chars"), F.when(F.length(text) >= span, F.xxhash64(text)).alias("tid"))
-    out = every.join(copies, "tid", "left").join(covered, "tid", "left")
-    shared = F.when(F.col("rows") > 1, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0)))
-    return out.select(key, "chars", shared.alias("shared_chars"), F.round(F.try_divide(shared.cast("double"), F.col("chars")), 6).alias("share"))
+    covered = stretches.groupBy("tid").agg(F.aggregate(ordered, begin, step, lambda s: s["sum"]).alias("covered"))
+    members = texts.select("id", "tid", F.length("text").alias("chars"))
+    classes = members.groupBy("tid").agg(F.count("*").alias("rows")).join(covered, "tid", "left")
+    found = members.join(classes, "tid").select("id", F.when(F.col("rows") > 1, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0))).alias("shared"))
+    every = df.select(F.col(key).alias("id"), F.length(text).alias("chars")).join(found, "id", "left")
+    shared = F.coalesce("shared", F.lit(0))
+    return every.select(F.col("id").alias(key), "chars", shared.alias("shared_chars"), F.round(F.try_divide(shared.cast("double"), F.col("chars")), 6).alias("share"))

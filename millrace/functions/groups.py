@@ -87,6 +87,32 @@ def expand_pairs(pairs: DataFrame, members: DataFrame, block: int = BLOCK) -> Da
     return dealt_out(one, "b").join(dealt.toDF("b", "y", "part"), ["b", "part"]).select("x", "y")
 
 
+def pairs_between(few: DataFrame, rows: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:
+    """(a, b), a < b: every member of few with every other member of rows in the same group, as often as
+    both are in one; both cut. Groups are dealt into blocks on both sides."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    size = cut(count(few, "f").join(count(rows, "g"), keys).where("f > 1 OR g > 1"))
+    left, right = few.select(*keys, F.col(member).alias("a")), rows.select(*keys, F.col(member).alias("b"))
+    on = list(keys)
+    if not size.isEmpty():
+        size = sent(size)
+        f, g = F.coalesce("f", F.lit(1)), F.coalesce("g", F.lit(1))
+        left = left.join(size, keys, "left").select(*keys, "a", F.pmod(F.xxhash64("a"), f).cast("int").alias("_i"), F.explode(F.sequence(F.lit(0), g - 1)).alias("_j"))
+        right = right.join(size, keys, "left").select(*keys, "b", F.pmod(F.xxhash64("b"), g).cast("int").alias("_j"), F.explode(F.sequence(F.lit(0), f - 1)).alias("_i"))
+        on += ["_i", "_j"]
+    met = left.join(right, on).where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def salted_join(rows: DataFrame, labels: DataFrame, on: str, by: str, how: str = "left", salts: int = 16) -> DataFrame:
+    """rows with the labels of their `on`, of which labels has one row each: labels are sent to every
+    task if they are few, else repeated so that a hot value of `on` is many keys; by tells its rows apart."""
+    if labels.limit(SENT_ROWS + 1).count() <= SENT_ROWS:
+        return rows.join(F.broadcast(labels), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return salted.join(labels.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [on, "_salt"], how).drop("_salt")
+
+
 def components(pairs: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of the nodes of pairs (a, b): the smallest node each is connected with.
 

@@ -21,6 +21,22 @@ def test_pairs_within_and_expand_pairs(spark, block):
     assert sorted(map(tuple, got.collect())) == sorted((x, y) for a, b in links for k, x in MEMBERS for j, y in MEMBERS if k == a and j == b)
 
 
+@pytest.mark.parametrize("block", [7, 1000])
+def test_pairs_between(spark, block):
+    rows = spark.createDataFrame(MEMBERS, "k long, id long")
+    got = sorted(map(tuple, groups.pairs_between(rows.where("id % 3 = 1"), rows, ["k"], "id", block).distinct().collect()))
+    assert got == sorted({(min(a, b), max(a, b)) for k, a in MEMBERS for j, b in MEMBERS if k == j and a % 3 == 1 and a != b})
+
+
+@pytest.mark.parametrize("few", [1, 1000])
+def test_salted_join(spark, monkeypatch, few):
+    monkeypatch.setattr(groups, "SENT_ROWS", few)
+    rows = spark.createDataFrame(MEMBERS, "k long, id long")
+    labels = spark.createDataFrame([(0, "a"), (9, "b"), (7, "c")], "k long, label string")
+    got = sorted(map(tuple, groups.salted_join(rows, labels, "k", "id").select("id", "label").collect()), key=str)
+    assert got == sorted([(i, {0: "a", 9: "b"}.get(k)) for k, i in MEMBERS], key=str)
+
+
 def test_components(spark):
     edges = [(RNG.randrange(200), RNG.randrange(200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)]
     edges = [(a, b) for a, b in edges if a != b]

@@ -1,16 +1,20 @@
 """Problem 2: defective answers in preference pairs.
 
-The openings of all answers are clustered by verified MinHash over runs of five words: equal openings
-are first added up, each band key names its smallest opening as leader, and an opening joins a leader
-only if the similarity of the whole sets is at least 0.8. A cluster, or a run of five words within
-openings, that recurs under several unrelated prompts is a template. A template is a refusal if its
-members decline by the listed phrases, or evade: they are short, speak of the speaker or of the request
-and have no word of the prompt. All members of it are refusals then, whatever their own words. An
-opening of which no other is like decides by its own words. Checks of copying, language and
-termination label the rest; a side gets the first of: empty, copy, refusal, other_language, truncated.
-
-Openings are bounded in length, rows are added up by opening before any group is formed, and a band
-group is only reduced to its minimum, so a template that starts a third of all answers is no skew.
+The openings of all answers are clustered by verified MinHash over runs of five words. Equal openings
+are first added up. Within a band each opening is compared with the smallest one, its leader, and those
+unlike the leader with all others of the band, so that no link between different clusters is lost;
+openings linked by whole sets of a similarity of at least 0.8 are one cluster. A cluster, or a run of
+five words within openings, that recurs under several unrelated prompts is a template. A template is a
+refusal if its members decline or evade: they speak of the speaker, the request or to the reader in most
+of their words and have no word of the prompt. All members of it are refusals then, whatever their own
+words; members of a template that does not decline are none. Only an opening with nothing alike in the
+corpus is decided by its own words, as there is no template to recur; the phrases that decline are
+listed by language. Copy, language and termination checks label the rest; a side gets the first of:
+empty, copy, refusal, other_language, truncated.
+
+Openings are bounded in length, rows are added up by opening before any group is formed, and labels
+come back to the rows by a join that splits hot openings, so a template that starts a third of all
+answers is no skew. Answers, prompts and their sentences are read whole.
 
 Defined cases: a null or invisible answer, a stand-in or a lone speaker label is empty; without a
 prompt there is no copy and no other language; repeated rows are judged alike; an empty table gives
@@ -22,18 +26,22 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.groups import components, pairs_between, salted_join
 from millrace.functions.rolling import mix
 from millrace.session import cut
 
 WORDS, OPENING_WORDS, SIMILAR, PROMPTS, BANDS, BAND_ROWS = 5, 24, 0.8, 3, 12, 3
-#: Words of an evading answer at most; runs of a refusal that an opening holds at least, if it has so many; runs sent to every task at most.
-EVADING_WORDS, REFUSED_RUNS, SENT_RUNS = 60, 4, 100_000
+#: Runs of a refusal that an opening holds at least, if it has so many.
+REFUSED_RUNS = 4
 
 #: Phrases by which a speaker declines, by language.
 DECLINES = {
@@ -45,6 +53,8 @@ DECLINES = {
     "ru": r"не могу (?:\w+ ){0,3}(?:помочь|ответить|выполнить|обсуждать|отвечать|дать|говорить)|вынужден\w* отказ|(?:должен|должна|придётся) отказ|за рамки того|мне (?:не )?разрешено|предпоч\w+ (?:\w+ ){0,2}не |не (?:хочу|буду|стану) (?:\w+ ){0,3}(?:отвечать|обсуждать|говорить)|против моих правил|противоречит моим|как языковая модель",
 }
 _DECLINES = re.compile("|".join(DECLINES.values()))
+#: The same for RE2, whose \\b and \\w are of ASCII only, with less asked: what does not match it does not match _DECLINES.
+_MAY_DECLINE = _DECLINES.pattern.replace(r"\b", "").replace(r"\w", r"\S")
 _WANTS_REFUSAL = re.compile(
     r"(?:note|letter|message|reply|e-?mail|speech|answer|text)\b.{0,60}\b(?:turn\w* down|declin\w+|refus\w+|reject\w+|says? no)"
     r"|(?:schreib|brief|nachricht|mail|notiz).{0,60}(?:ablehn|absag|lehnt)|(?:note|lettre|message|mot).{0,60}(?:refus|déclin)|(?:nota|carta|mensaje|correo).{0,60}(?:rechaz|declin)|(?:письм|записк|сообщени|ответ).{0,60}(?:отказ|отклон)",
@@ -107,11 +117,26 @@ _WORD = re.compile(r"\w[\w’']*")
 _CODE = re.compile(r"```.*?(?:```|$)", re.S)
 
 
+def _invisible() -> re.Pattern:
+    """Format and control characters and marks that combine with nothing, but for tabs and line breaks."""
+    ranges: list[list[int]] = []
+    for i in [*range(0x33480), *range(0xE0000, 0xE1000)]:
+        c = chr(i)
+        if unicodedata.category(c) in ("Cf", "Cc", "Mn") and c not in "\n\t" and not unicodedata.combining(c):
+            if ranges and ranges[-1][1] == i - 1:
+                ranges[-1][1] = i
+            else:
+                ranges.append([i, i])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]+")
+
+
+_INVISIBLE = _invisible()
+
+
+@lru_cache(16)  # several checks of an answer ask for the same
 def visible(text: str) -> str:
     """Text without invisible characters and outer blanks."""
-    if not text.isascii():
-        text = "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc", "Mn") or c in "\n\t" or unicodedata.combining(c))
-    return text.strip()
+    return (text if text.isascii() else _INVISIBLE.sub("", text)).strip()
 
 
 def last_turn(prompt: str) -> str:
@@ -121,6 +146,7 @@ def last_turn(prompt: str) -> str:
     return human[-1].strip() if human else prompt.strip()
 
 
+@lru_cache(16)
 def plain(text: str) -> str:
     """Words only, in lower case, without speaker labels."""
     return " ".join(_WORD.findall(_LABELS.sub(" ", text).lower().replace("’", "'")))
@@ -134,38 +160,80 @@ def is_empty(text: str | None) -> bool:
     return bool(_ONLY_LABEL.match(seen)) or seen.lower().strip(" <>[](){}.-*_\"'") in STAND_INS and (len(seen.split()) > 1 or not seen[:1].isalpha() or seen.lower() in STAND_INS)
 
 
-def is_copy(answer: str, prompt: str) -> bool:
+def is_copy(answer: str, sources: set[str]) -> bool:
+    """Whether an answer is nothing but one of the plain texts, any number of times, with at most a label in front."""
     a = plain(answer)
-    for source in {plain(prompt), plain(last_turn(prompt))}:
-        if not source:
-            continue
-        rest = a
-        if source in rest and len(rest) >= len(source):
-            rest = rest.replace(source, " ").split()
-            # besides the prompt, any number of times, at most a label in front such as "you asked"
+    for source in sources:
+        if source and len(a) >= len(source) and source in a:
+            rest = a.replace(source, " ").split()
             if not rest or len(rest) <= 2 and re.match(r"[\W_]*(?:\w+[ \t]+){0,2}\w+[ \t]*:", answer) and len(source.split()) > 3:
                 return True
     return False
 
 
-def language(text: str, common: dict[str, set[str]]) -> str | None:
+_LETTER, _CYRILLIC = re.compile(r"[^\W\d_]"), re.compile("[Ѐ-ӿ]")
+_SIGNS = {"de": re.compile("[äöüß]"), "fr": re.compile(r"[àâèêîôûçœ]|\b(?:l|d|qu|n|s|c|j)['’]\w"), "es": re.compile("[ñ¿¡íáóú]")}
+
+
+def by_word(common: dict[str, set[str]]) -> dict[str, tuple[str, ...]]:
+    """The languages other than Russian, which has letters of its own, in which a word is common."""
+    return {w: tuple(k for k, v in common.items() if k != "ru" and w in v) for v in common.values() for w in v}
+
+
+def language(text: str, spoken_in: dict[str, tuple[str, ...]]) -> str | None:
     """The language whose common words are clearly most frequent, or None."""
-    words = _WORD.findall(_CODE.sub(" ", text).lower().replace("’", "'"))
-    letters = [c for c in text if c.isalpha()]
-    if not letters:
-        return None
-    cyrillic = sum("Ѐ" <= c <= "ӿ" for c in letters)
-    if cyrillic * 2 > len(letters):
-        return "ru" if len(words) > 1 else None
-    score = {k: sum(w in v or w.split("'")[0] + "'" in v for w in words) for k, v in common.items() if k != "ru"}
     low = text.lower()
-    score["de"] = score.get("de", 0) + len(re.findall(r"[äöüß]", low))
-    score["fr"] = score.get("fr", 0) + len(re.findall(r"[àâèêîôûçœ]|\b(?:l|d|qu|n|s|c|j)['’]\w", low))
-    score["es"] = score.get("es", 0) + len(re.findall(r"[ñ¿¡íáóú]", low))
+    if cyrillic := 0 if text.isascii() else len(_CYRILLIC.findall(text)):
+        if cyrillic * 2 > len(_LETTER.findall(text)):
+            return "ru" if len(_WORD.findall(_CODE.sub(" ", low))) > 1 else None
+    score = {"en": 0, "de": 0, "fr": 0, "es": 0}
+    words = _WORD.findall((_CODE.sub(" ", low) if "```" in low else low).replace("’", "'"))
+    found = [spoken_in[w] for w in words if w in spoken_in]
+    if "'" in low or "’" in low:  # l'eau has the common l'
+        begun = ((w, w.split("'")[0] + "'") for w in words if "'" in w)
+        found += [tuple(set(spoken_in[b]) - set(spoken_in.get(w, ()))) for w, b in begun if b in spoken_in]
+    for some in found:
+        for k in some:
+            score[k] = score.get(k, 0) + 1
+    if not low.isascii() or "'" in low:
+        for k, sign in _SIGNS.items():
+            score[k] += len(sign.findall(low))
     best, second = sorted(score, key=score.get, reverse=True)[:2]
     return best if score[best] >= 2 and score[best] > 1.5 * score[second] else None
 
 
+class Asked:
+    """A prompt and what is known of it, each worked out once for all of its answers."""
+
+    def __init__(self, prompt: str | None, spoken_in: dict[str, tuple[str, ...]]):
+        self.prompt, self.spoken_in = prompt or "", spoken_in
+        self.there = bool(prompt and visible(prompt))
+        self.turn = last_turn(prompt) if self.there else ""
+
+    @cached_property
+    def plain_turn(self) -> str:
+        return plain(self.turn)
+
+    @cached_property
+    def plain_texts(self) -> set[str]:
+        return {self.plain_turn if self.turn == self.prompt.strip() else plain(self.prompt), self.plain_turn}
+
+    @cached_property
+    def languages(self) -> set[str]:
+        """The languages an answer may have; empty where any will do."""
+        if _REPEATS.match(self.turn):
+            return set()
+        if asked := asked_languages(self.turn):
+            return set(asked)
+        two = {language(t, self.spoken_in) for t in {self.turn, self.prompt.strip()}}
+        return two - {None}
+
+    @cached_property
+    def refusal(self) -> bool:
+        """Whether a refusal is what is to be written."""
+        return bool(_WANTS_REFUSAL.search(self.turn.lower()))
+
+
 def asked_languages(turn: str) -> list[str]:
     """The languages that a turn asks for, in any of its sentences.
 
@@ -178,18 +246,11 @@ def asked_languages(turn: str) -> list[str]:
     return sorted({k for s, found in named if found and (len(_WORD.findall(s)) <= 4 or _REQUEST.search(s)) for k in found})
 
 
-def is_other_language(answer: str, prompt: str, common: dict[str, set[str]]) -> bool:
-    turn = last_turn(prompt)
-    if _REPEATS.match(turn):
+def is_other_language(answer: str, asked: Asked) -> bool:
+    if not asked.languages:
         return False
-    spoken = language(answer, common)
-    if spoken is None:
-        return False
-    asked = asked_languages(turn)
-    if asked:
-        return spoken not in asked
-    wanted = {language(turn, common), language(prompt, common)} - {None}
-    return bool(wanted) and spoken not in wanted
+    spoken = language(answer, asked.spoken_in)
+    return spoken is not None and spoken not in asked.languages
 
 
 def is_truncated(answer: str, common: dict[str, set[str]]) -> bool:
@@ -228,11 +289,34 @@ def _hash(words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(words))
 
 
-def opening(answer: str) -> tuple[str, list[int]]:
-    """The first words of an answer, plain, and the hashes of their runs of five."""
-    words = _WORD.findall(answer.lower().replace("’", "'"))[:OPENING_WORDS]
-    runs = {_hash(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))}
-    return " ".join(words), sorted(np.array(sorted(runs), np.uint64).view(np.int64).tolist())
+def opening(answer: str) -> list[str]:
+    """The first words of an answer, plain."""
+    return [m[0] for m in islice(_WORD.finditer(answer.lower().replace("’", "'")), OPENING_WORDS)]
+
+
+def runs_of(openings: list[list[str]]) -> pa.ListArray:
+    """The different hashes of the runs of five words of each opening; fewer words are one run."""
+    import xxhash
+
+    number: dict[str, int] = {}
+    flat = np.array([number.setdefault(w, len(number)) for words in openings for w in words], np.int64)
+    size = np.array([len(words) for words in openings], np.int64)
+    known = np.array([xxhash.xxh3_64_intdigest(w) for w in number] + [0], np.uint64)
+    h = np.concatenate([known[flat], np.zeros(WORDS, np.uint64)])
+    whole = np.repeat(np.arange(len(openings)), size)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    left = np.repeat(size, size) - place
+    run = np.zeros(len(flat), np.uint64)
+    for j in range(WORDS):
+        run = run * np.uint64(0x9E3779B97F4A7C15) + np.where(left > j, h[j : j + len(flat)], np.uint64(0)) + np.uint64(1)
+    keep = (left >= WORDS) | (place == 0)
+    run, whole = mix(run[keep]), whole[keep]
+    order = np.lexsort((run, whole))
+    run, whole = run[order], whole[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (whole[1:] != whole[:-1])
+    ends = np.cumsum(np.bincount(whole[new], minlength=len(openings)))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(run[new].view(np.int64)))
 
 
 def topical(text: str, turn: str, usual: set[str]) -> bool:
@@ -274,32 +358,41 @@ def declines(answer: str, turn: str = "", usual: frozenset[str] | set[str] = fro
 
 
 def evades(answer: str, turn: str, usual: set[str]) -> bool:
-    """Whether a short answer speaks of its speaker or of the request, and of nothing in the turn."""
+    """Whether an answer speaks of its speaker, of the request or to the reader in most of its words, and of nothing in the plain turn."""
     said = plain(answer)
-    return WORDS <= len(said.split()) <= EVADING_WORDS and _EXCHANGE.search(said) is not None and not topical(said, plain(turn), usual)
+    if len(said.split()) < WORDS or not _EXCHANGE.search(said) or topical(said, turn, usual):
+        return False
+    parts = [(len(_WORD.findall(p)), _EXCHANGE.search(p) or _READER.search(p)) for p in sentences(answer)]
+    return 2 * sum(n for n, exchange in parts if exchange) >= sum(n for n, _ in parts)
 
 
-def _judge(common: dict[str, set[str]]):
+def _judge(common: dict[str, set[str]], sides: tuple[str, ...]):
     usual = set().union(*common.values())
+    spoken_in = by_word(common)
+
+    def judge(pair: int, side: str, asked: Asked, answer: str | None, may_decline: bool) -> tuple:
+        if is_empty(answer):
+            return pair, side, "empty", None, False, False, None, None, None
+        if asked.there and is_copy(answer, asked.plain_texts):
+            return pair, side, "copy", None, False, False, None, None, None
+        rest = "other_language" if asked.there and is_other_language(answer, asked) else "truncated" if is_truncated(answer, common) else None
+        words = opening(answer)
+        topic = _hash([asked.plain_turn]) & 0x7FFFFFFFFFFFFFFF if asked.there else pair
+        evading = asked.there and evades(answer, asked.plain_turn, usual)
+        return pair, side, rest, _hash(words) & 0x7FFFFFFFFFFFFFFF, may_decline and declines(answer, asked.turn, usual), evading, asked.refusal, topic, words
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for pair, side, prompt, answer in zip(*(b.column(c).to_pylist() for c in ("pair_id", "side", "prompt", "answer"))):
-                if is_empty(answer):
-                    out.append((pair, side, "empty", None, False, False, None, None, None))
-                    continue
-                asked = bool(prompt and visible(prompt))
-                turn = last_turn(prompt) if asked else ""
-                if asked and is_copy(answer, prompt):
-                    out.append((pair, side, "copy", None, False, False, None, None, None))
-                    continue
-                rest = "other_language" if asked and is_other_language(answer, prompt, common) else "truncated" if is_truncated(answer, common) else None
-                words, runs = opening(answer)
-                wanted = bool(_WANTS_REFUSAL.search(turn.lower()))
-                topic = _hash([plain(turn)]) & 0x7FFFFFFFFFFFFFFF if asked else pair
-                out.append((pair, side, rest, _hash([words]) & 0x7FFFFFFFFFFFFFFF, declines(answer, turn, usual), asked and evades(answer, turn, usual), wanted, topic, runs))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _TYPES)], names=_NAMES)
+            pairs, prompts, *answers = (c.to_pylist() for c in b.columns)
+            low = (pa.array([a and a.lower().replace("’", "'") for a in side], pa.string()) for side in answers)
+            may = [pc.match_substring_regex(a, _MAY_DECLINE).to_pylist() for a in low]
+            for pair, prompt, *each in zip(pairs, prompts, *answers, *may):
+                asked = Asked(prompt, spoken_in)
+                out += [judge(pair, side, asked, answer, m) for side, answer, m in zip(sides, each, each[len(sides) :])]
+            columns = list(zip(*out)) if out else [()] * len(_NAMES)
+            runs = runs_of([words or [] for words in columns[-1]])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns[:-1], _TYPES)), runs], names=_NAMES)
 
     return rows
 
@@ -314,6 +407,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         key, ids = [], []
         for one, runs in zip(b.column("opening").to_pylist(), b.column("runs").to_pylist()):
+            if not runs:
+                continue
             h = np.array(runs, np.int64).view(np.uint64)
             low = np.min(mix(h[:, None] ^ seeds[None, :]), axis=0).reshape(BANDS, BAND_ROWS)
             k = np.arange(1, BANDS + 1, dtype=np.uint64)
@@ -326,15 +421,30 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster) of (opening, runs): the smallest leader it is similar to, itself included."""
+    """(opening, cluster) of (opening, runs): the smallest opening it is connected with by similar ones; openings should be cut.
+
+    Openings like the leader of a band are linked through it; only the others of the band are compared
+    with all of it, so the pairs of a template's many variants are never formed.
+    """
     bands = cut(openings.mapInArrow(_bands, "key long, opening long"))
     leaders = bands.groupBy("key").agg(F.min("opening").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    pairs = bands.join(leaders, "key").where("leader <> opening").select("leader", "opening").distinct()
+    led = cut(bands.join(leaders.hint("merge"), "key").where("leader <> opening"))
+    first = cut(_similar(led.selectExpr("leader AS a", "opening AS b").distinct(), openings))
+    unlike = cut(led.join(first.selectExpr("a AS leader", "b AS opening").hint("merge"), ["leader", "opening"], "left_anti").select("key", "opening"))
+    links = first
+    if not unlike.isEmpty():
+        among = led.join(unlike.select("key").distinct().hint("merge"), "key", "left_semi").select("key", "opening")
+        links = first.unionByName(_similar(pairs_between(unlike, cut(among), ["key"], "opening").distinct(), openings))
+    roots = components(links).toDF("opening", "root")
+    return openings.select("opening").join(roots, "opening", "left").select("opening", F.coalesce("root", "opening").alias("cluster"))
+
+
+def _similar(pairs: DataFrame, openings: DataFrame) -> DataFrame:
+    """The pairs (a, b) of openings whose whole sets of runs are similar."""
     r = openings.select("opening", "runs")
-    pairs = pairs.join(r, "opening").join(r.toDF("leader", "theirs"), "leader")
+    met = pairs.join(r.toDF("a", "runs"), "a").join(r.toDF("b", "theirs"), "b")
     common = F.size(F.array_intersect("runs", "theirs"))
-    near = pairs.where(common >= SIMILAR * (F.size("runs") + F.size("theirs") - common)).groupBy("opening").agg(F.min("leader").alias("leader"))
-    return openings.select("opening").join(near, "opening", "left").select("opening", F.coalesce("leader", "opening").alias("cluster"))
+    return met.where(common >= SIMILAR * (F.size("runs") + F.size("theirs") - common)).select("a", "b")
 
 
 def refused_by_runs(told: DataFrame) -> DataFrame:
@@ -343,12 +453,11 @@ def refused_by_runs(told: DataFrame) -> DataFrame:
     # only runs of refusing openings can be of a refusal; all openings that hold them have a say in it
     some = told.where("refuses > 0").select("topic", F.explode("runs").alias("run"))
     recurring = cut(some.groupBy("run").agg(F.count_distinct("topic").alias("n")).where(F.col("n") >= PROMPTS).select("run"))
-    if recurring.count() <= SENT_RUNS:
-        recurring = F.broadcast(recurring)
     need = F.least(F.lit(REFUSED_RUNS), F.size("runs")).alias("need")
-    held = cut(told.select("opening", "topic", "refuses", need, F.explode("runs").alias("run")).join(recurring, "run"))
-    refusing = held.groupBy("run").agg(F.avg("refuses").alias("share")).where("share >= 0.8").select("run")
-    return held.join(refusing, "run", "left_semi").groupBy("opening").agg(F.count_distinct("run").alias("n"), F.first("need").alias("need")).where("n >= need").select("opening", F.lit(True).alias("by_run"))
+    held = cut(salted_join(told.select("opening", "topic", "refuses", need, F.explode("runs").alias("run")), recurring, "run", "topic", "inner"))
+    refusing = cut(held.groupBy("run").agg(F.avg("refuses").alias("share")).where("share >= 0.8").select("run"))
+    each = salted_join(held.select("opening", "run", "need").distinct(), refusing, "run", "opening", "inner")
+    return each.groupBy("opening").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("opening", F.lit(True).alias("by_run"))
 
 
 def answer_flags(pairs: DataFrame, common_words: DataFrame, prompt: str = "prompt", sides: tuple[str, ...] = ("chosen", "rejected"), key: str = "pair_id") -> DataFrame:
@@ -357,27 +466,24 @@ def answer_flags(pairs: DataFrame, common_words: DataFrame, prompt: str = "promp
     common: dict[str, set[str]] = {}
     for r in common_words.where("lang IS NOT NULL AND word IS NOT NULL").collect():  # a table of fixed length
         common.setdefault(r["lang"], set()).add(r["word"])
-    each = [pairs.select(F.col(key).cast("long").alias("pair_id"), F.lit(s).alias("side"), F.col(prompt).alias("prompt"), F.col(s).alias("answer")) for s in sides]
-    every = each[0]
-    for e in each[1:]:
-        every = every.unionByName(e)
-    rows = cut(every.mapInArrow(_judge(common), _SCHEMA))  # read several times below
+    every = pairs.select(F.col(key).cast("long").alias("pair_id"), F.col(prompt).alias("prompt"), *[F.col(s).alias(f"side{i}") for i, s in enumerate(sides)])
+    rows = cut(every.mapInArrow(_judge(common, sides), _SCHEMA))  # read several times below
     # one row for each opening and topic, then one for each opening
-    topics = rows.where("opening IS NOT NULL").groupBy("opening", "topic").agg(F.max(F.col("declines") | F.col("evades")).alias("refuses"), F.max("wanted").alias("wanted"), F.first("runs").alias("runs"))
-    openings = topics.groupBy("opening").agg(F.first("runs").alias("runs"))
+    topics = cut(rows.where("opening IS NOT NULL").groupBy("opening", "topic").agg(F.max(F.col("declines") | F.col("evades")).alias("refuses"), F.max("wanted").alias("wanted"), F.first("runs").alias("runs")))
+    openings = cut(topics.groupBy("opening").agg(F.first("runs").alias("runs")))
     clusters = cut(opening_clusters(openings))
     told = topics.where("NOT wanted").withColumn("refuses", F.col("refuses").cast("double"))
-    state = told.join(clusters, "opening").groupBy("cluster").agg(F.count_distinct("topic").alias("prompts"), F.avg("refuses").alias("refusing"))
-    by_run = refused_by_runs(told)
-    labelled = clusters.join(state, "cluster", "left").join(by_run, "opening", "left").select(
-        "opening",
-        (F.coalesce(F.col("prompts") >= PROMPTS, F.lit(False)) | F.col("by_run").isNotNull()).alias("template"),
-        (((F.col("prompts") >= PROMPTS) & (F.col("refusing") >= 0.5)) | F.col("by_run").isNotNull()).alias("template_refuses"),
-    )
-    out = rows.join(labelled, "opening", "left")
-    refused = ~F.coalesce("wanted", F.lit(False)) & (F.coalesce("template_refuses", F.lit(False)) | F.col("declines"))
+    state = salted_join(told.select("opening", "topic", "refuses"), clusters, "opening", "topic", "inner").groupBy("cluster").agg(F.count_distinct("topic").alias("prompts"), F.avg("refuses").alias("refusing"))
+    recurring = F.coalesce(F.col("prompts") >= PROMPTS, F.lit(False))
+    refusing = F.coalesce(F.col("refusing") >= 0.5, F.lit(False))
+    labels = clusters.join(state, "cluster", "left").join(refused_by_runs(told), "opening", "left")
+    by_run = F.col("by_run").isNotNull()
+    # only what is a template is told to the rows; all others decide by their own words
+    labels = cut(labels.where(recurring | by_run).select("opening", ((recurring & refusing) | by_run).alias("template_refuses")))
+    out = salted_join(rows.select("pair_id", "side", "other", "opening", "declines", "wanted"), labels, "opening", "pair_id")
+    refused = ~F.coalesce("wanted", F.lit(False)) & F.coalesce("template_refuses", "declines")
     defect = F.when(F.col("opening").isNull(), F.col("other")).when(refused, F.lit("refusal")).otherwise(F.col("other"))
-    return out.select("pair_id", "side", defect.alias("defect"), F.coalesce("template", F.lit(False)).alias("template"))
+    return out.select("pair_id", "side", defect.alias("defect"), F.col("template_refuses").isNotNull().alias("template"))
 
 
 def defective_answers(pairs: DataFrame, common_words: DataFrame) -> DataFrame:

@@ -70,6 +70,66 @@ def test_recurrence_makes_a_refusal_without_listed_words(spark, common):
     assert got == {(i, s): "refusal" for i in range(8) for s in ("chosen", "rejected")}
 
 
+TOPICS = "amber birch cedar delta ember fjord grove heath island jetty kelp lagoon".split()
+
+
+def flags(spark, common, rows):
+    df = spark.createDataFrame([(i, p, a, "Fine. It is the answer, as it was before.") for i, (p, a) in enumerate(rows)], "pair_id long, prompt string, chosen string, rejected string")
+    return {r["pair_id"]: (r["defect"], r["template"]) for r in answer_defects.answer_flags(df, common).where("side = 'chosen'").collect()}
+
+
+def test_a_template_outside_the_list_is_a_refusal(spark, common):
+    say = "Sorry, that's a topic I stay away from."
+    assert not answer_defects.declines(say)
+    got = flags(spark, common, [(f"Where is the {w} of the town?", say) for w in TOPICS])
+    assert set(got.values()) == {("refusal", True)}
+
+
+def test_a_long_refusal_is_one(spark, common):
+    say = "I can't help with that request. " + "There are many reasons for it, and people may come to harm by what is said here to them today. " * 4 + "If you like, please ask me something else."
+    assert len(say.split()) > 80
+    got = flags(spark, common, [(f"Where is the {w} of the town?", say) for w in TOPICS])
+    assert set(got.values()) == {("refusal", True)}
+
+
+def test_a_template_that_answers_is_none(spark, common):
+    say = "As an AI I am glad of it. The {0} is in the town, and the {0} was built of {0} wood with {0} walls and a {0} roof by the sea."
+    got = flags(spark, common, [(f"Where is the {w}?", say.format(w)) for w in TOPICS])
+    assert {d for d, _ in got.values()} == {None}
+
+
+def test_openings_in_a_chain_are_one_cluster(spark):
+    import itertools
+
+    r = __import__("random").Random(2)
+    chain = [[r.randrange(1 << 40) for _ in range(20)]]
+    for i in range(40):  # each differs a little from the one before, so the ends have nothing in common
+        new = list(chain[-1])
+        new[i % 20] = r.randrange(1 << 40)
+        chain.append(new)
+    alone = [[r.randrange(1 << 40) for _ in range(20)] for _ in range(10)]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(chain + alone)], "opening long, runs array<long>").cache()
+    got = {r["opening"]: r["cluster"] for r in answer_defects.opening_clusters(rows).collect()}
+    linked = [(a, b) for a, b in itertools.combinations(range(41), 2) if len(set(chain[a]) & set(chain[b])) >= 0.8 * len(set(chain[a]) | set(chain[b]))]
+    assert len(linked) >= 40 and all(got[a] == got[b] for a, b in linked)
+    assert {got[41 + i] for i in range(10)} == set(range(41, 51))
+
+
+def test_runs_of_openings():
+    words = ["a b c d e f".split(), ["x"], [], "a b c d e".split(), "w w w w w w w".split()]
+    got = answer_defects.runs_of(words).to_pylist()
+    assert [len(x) for x in got] == [2, 1, 0, 1, 1] and got[3][0] in got[0]
+
+
+def test_what_may_decline_covers_what_declines():
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = [a.lower() for _, a, _ in ANSWERS if a] + ["не могу вам с этим помочь", "je ne suis pas autorisée à", "no estoy autorizada", "ich kann dir dabei leider nicht helfen"]
+    may = pc.match_substring_regex(pa.array(texts), answer_defects._MAY_DECLINE).to_pylist()
+    assert all(m for m, t in zip(may, texts) if answer_defects._DECLINES.search(t)) and sum(may) >= 6
+
+
 def test_refusals_are_told_by_all_sentences():
     usual = {w for _, w in WORDS}
     turn = "How is a lock opened without its key?"
@@ -100,8 +160,9 @@ def test_languages_are_asked_for_anywhere_in_the_turn():
         common.setdefault(lang, set()).add(w)
     german = "Das Haus ist nicht in der Stadt und die Stadt war mit der Bahn."
     turn = f"{article}\n\n{ends}"
-    assert not answer_defects.is_other_language(german, turn, common)
-    assert answer_defects.is_other_language("It is the house that was in the town as it is.", turn, common)
+    asked = lambda t: answer_defects.Asked(t, answer_defects.by_word(common))
+    assert not answer_defects.is_other_language(german, asked(turn))
+    assert answer_defects.is_other_language("It is the house that was in the town as it is.", asked(turn))
 
 
 def test_kinds(spark, common):

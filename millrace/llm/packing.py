@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import cut
@@ -101,12 +101,17 @@ def _deal_and_pack(rows: DataFrame, n: int, round_: int, capacity: int, part_row
     return cut(dealt.groupBy("part").applyInPandas(_pack(capacity, round_), _PACKED))
 
 
-def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
-    """(key, piece, start, n, bin): every piece of every item with its bin, of at most capacity.
+def _full_bins(full: DataFrame, part_rows: int) -> DataFrame:
+    """Full pieces with a bin of their own each: below 0, by hash part and place in it."""
+    n = full.count()
+    parts = max(1, -(-n // part_rows))
+    part = full.withColumn("part", F.pmod(F.xxhash64("key", "piece"), F.lit(parts)))
+    place = F.row_number().over(Window.partitionBy("part").orderBy("key", "piece", "copy"))
+    return part.select("key", "piece", "start", "n", (F.lit(-1) - F.col("part") * F.lit(1 << 24) - place).cast("long").alias("bin"))
 
-    bin is round * 2^48 + partition * 2^24 + number; full pieces are bins of their own, in round -1
-    numbered by a hash of key and piece, below 0.
-    """
+
+def packed_parts(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> tuple[DataFrame, list[DataFrame]]:
+    """All pieces, and the packed ones of each round (_PACKED), in which a piece is once."""
     every = cut(pieces(sizes, key, size, capacity))
     todo = every.where(F.col("n").between(1, capacity - 1))
     n = todo.count()
@@ -116,7 +121,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
         if packed is None:
             break
         gaps = packed.groupBy("part").agg(F.first("bins").alias("x"), F.first("bound").alias("y")).where("x > y").select("part")
-        loose = packed.where("free > 0").join(gaps, "part", "left_semi")  # full bins stay closed
+        loose = cut(packed.where("free > 0").join(gaps, "part", "left_semi"))  # full bins stay closed
         before = loose.select("part", "bin").distinct().count()
         if not before:
             break
@@ -124,18 +129,45 @@ def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity
         after = again.select("part", "bin").distinct().count()
         if after >= before:
             break
-        done.append(packed.join(loose.select("key", "piece"), ["key", "piece"], "left_anti"))
+        moved = loose.select("part", "bin").distinct().hint("merge")  # a bin is opened whole
+        done.append(packed.join(moved, ["part", "bin"], "left_anti").select(packed.columns))
         packed = again
     if packed is not None:
         done.append(packed)
+    return every, done
+
+
+def pack(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """(key, piece, start, n, bin): every piece of every item with its bin, of at most capacity.
+
+    bin is round * 2^48 + partition * 2^24 + number; full pieces are bins of their own, numbered below 0.
+    """
+    every, done = packed_parts(sizes, key, size, capacity, part_rows, rounds)
     number = F.lit(1 << 48) * F.col("round") + F.lit(1 << 24) * F.col("part") + F.col("bin")
-    out = every.where(F.col("n") == capacity).select("key", "piece", "start", "n", (F.lit(-1) - F.pmod(F.xxhash64("key", "piece"), F.lit(1 << 62))).alias("bin"))
+    out = _full_bins(every.where(F.col("n") == capacity).withColumn("copy", F.monotonically_increasing_id()), part_rows)
     out = out.unionByName(every.where("n = 0").select("key", "piece", "start", "n", F.lit(None).cast("long").alias("bin")))
     for d in done:
         out = out.unionByName(d.select("key", "piece", "start", "n", number.cast("long").alias("bin")))
     return out.withColumnRenamed("key", key)
 
 
+def part_report(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, part_rows: int = PART_ROWS, rounds: int = ROUNDS) -> DataFrame:
+    """(round, part, bins, tokens, bound, gap): the bins that a partition keeps and what its own items need
+    at least; gap is what is left between them when the exchange ends."""
+    _, done = packed_parts(sizes, key, size, capacity, part_rows, rounds)
+    bound = F.udf(lambda sizes: lower_bound(np.bincount([s for s, n in sizes for _ in range(n)], minlength=capacity + 1), capacity) if sizes else 0, "int")
+    out = None
+    for d in done:
+        count = d.groupBy("round", "part", "n").agg(F.count("*").cast("int").alias("m"))
+        need = count.groupBy("round", "part").agg(F.collect_list(F.struct("n", "m")).alias("sizes"), F.sum(F.col("n") * F.col("m")).cast("long").alias("tokens"))
+        one = d.groupBy("round", "part").agg(F.count_distinct("bin").cast("int").alias("bins")).join(need, ["round", "part"])
+        one = one.select("round", "part", "bins", "tokens", bound("sizes").alias("bound"))
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        return sizes.sparkSession.createDataFrame([], "round int, part int, bins int, tokens long, bound int, gap int")
+    return out.withColumn("gap", F.col("bins") - F.col("bound"))
+
+
 def fill_report(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """One row: items, pieces, tokens, bins, the certified lower bound of the bins and the share filled."""
     per_size = {r["n"]: r["count"] for r in packed.where("n > 0").groupBy("n").count().collect()}  # at most capacity rows

@@ -109,6 +109,20 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p7_bins(spark, d))
 
 
+def p7_parts(spark: SparkSession, d: str) -> DataFrame:
+    return packing.part_report(tokenizing.token_counts(table(spark, d, "documents")))
+
+
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """For each document whether its pieces follow each other and lie in bins that hold no more than the capacity."""
+    packed = p7_bins(spark, d)
+    bins = packed.where("bin IS NOT NULL").groupBy("bin").agg(F.sum("n").alias("in_bin"))
+    rows = packed.join(bins.hint("merge"), "bin", "left")
+    fits = F.every(F.coalesce(F.col("in_bin") <= packing.CAPACITY, F.col("n") == 0))
+    whole = F.every((F.col("start") == F.col("piece") * packing.CAPACITY) & ((F.col("n") == packing.CAPACITY) | (F.col("piece") == 0) | (F.col("start") > 0)))
+    return rows.groupBy("doc_id").agg(fits.alias("fits"), whole.alias("follow"), (F.max("piece") + 1 == F.count("*")).alias("complete"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans.sharing_records(table(spark, d, "documents")).toDF("doc_id_a", "doc_id_b")
 
@@ -122,7 +136,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_links": P1_LINKS, "p1_classes": P1_CLASSES, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p6_decoded": P6_DECODED, "p8_found": P8_FOUND, "p8_shared": P8_SHARED}
+    return {"p1_found": P1_FOUND, "p1_links": P1_LINKS, "p1_classes": P1_CLASSES, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p6_decoded": P6_DECODED, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p8_shared": P8_SHARED}
 
 
 P3_FOUND = """
@@ -136,6 +150,7 @@ WHERE share > 0 AND share * size_factor * total.size > max_repeats * coalesce(do
 """
 P3_KEPT = "SELECT mix, how, true AS limit_kept, true AS budgets_met, true AS size_planned FROM mixes CROSS JOIN (SELECT unnest(['limit', 'entropy', 'weights']) AS how) WHERE mix IN (SELECT mix FROM dolma_sources WHERE weight > 0)"
 P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
+P7_KEPT = "SELECT doc_id, true AS fits, true AS follow, true AS complete FROM documents"
 _RUNS = """
 g AS (SELECT DISTINCT ord, substr(text, i, 13) AS g FROM (SELECT ord, text, unnest(range(1, length(text) - 11)) AS i FROM samples WHERE length(text) >= 200)),
 n AS (SELECT ord, count(*) AS n FROM g GROUP BY 1),

@@ -3,11 +3,13 @@
 A text is first brought to its consistent form (so that look-alike letters and invisible characters
 do not hide its words) and cut into lines. Tables show by vertical alignment of delimiters: runs of
 lines with the same number of the same delimiter, the same sequence of punctuation, or columns of
-blanks at the same places. Lists show by markers, or by runs of short lines without sentence ends
-whose lengths vary little; indentation that repeats with a period and statement punctuation mark
-program code, which is neither. What is left is judged by words: prose has common words of some
-language, junk has none, or has noise inside its words, hardly any different words, or repeats.
-The kind is the one that holds more than half of the characters.
+blanks at the same places. Lists show by markers, the delimiters of their first column, or by the
+autocorrelation of line lengths: the lengths of neighbouring items, or of those a few lines apart where
+an item has several lines, are alike, but not as nearly equal as those of wrapped prose; where items
+are indented, the indentation recurs with the same period. Indentation that recurs and statement
+punctuation mark program code, which is neither. What is left is judged by words: prose has common
+words of some language, junk has none, or has noise inside its words, hardly any different words, or
+repeats. The kind is the one that holds more than half of the characters.
 
 Defined cases: null and blank texts have zero words and null ratios, and no kind; so have texts
 shorter than min_chars (kind only); texts are judged whole however long; rows repeat freely; an
@@ -43,6 +45,9 @@ _GAP = re.compile(r"\S(?:[ ]{2,}|\t+)(?=\S)")
 _HEX = re.compile(r"^(?:[0-9a-fA-F]{2,8}[:\s]*)+$")
 _VOWELS = re.compile("[aeiouyäöüàâéèêëîïôûùáíóúœæаеёиоуыэюяіαειουηω]", re.I)
 DELIMITERS = ("\t", "|", "│", ";", ",")
+#: Autocorrelation of line lengths of a list at least, and of wrapped prose of at least so many characters a line.
+REGULAR, WRAPPED, WRAPPED_CHARS = 0.6, 0.97, 36
+_SYMBOL = re.compile(r"[^\w\s]|_")
 
 
 def alignment(lines: list[str]) -> list[bool]:
@@ -95,14 +100,32 @@ def periodic_indentation(lines: list[str]) -> float:
     return sum(s % 2 == 0 for s in deep) / len(lines) if deep else 0.0
 
 
-def length_autocorrelation(lines: list[str]) -> float:
-    """Correlation of the lengths of neighbouring lines; 0 where there are too few or all are alike."""
-    n = np.array([len(l) for l in lines], float)
-    if len(n) < 4:
-        return 0.0
-    n -= n.mean()
-    power = float((n * n).sum())
-    return float((n[1:] * n[:-1]).sum()) / power if power else 1.0
+def autocorrelation(values: np.ndarray, lag: int) -> float:
+    """Of values with those lag places on, from 0 (never both large) to 1 (the same)."""
+    x, y = values[:-lag], values[lag:]
+    power = float((x * x).sum() + (y * y).sum()) / 2
+    return float((x * y).sum()) / power if power else 1.0
+
+
+def regularity(lines: list[str], most_lines: int = 4) -> tuple[float, int]:
+    """The largest autocorrelation of line lengths over periods of up to most_lines lines, and its period.
+    Where lines are indented differently the indentation must recur with the same period."""
+    n = np.array([len(l.strip()) for l in lines], float)
+    deep = np.array([len(l) - len(l.lstrip()) for l in lines], float)
+    best = (0.0, 1)
+    for lag in range(1, min(most_lines, len(n) // 2) + 1):
+        if deep.any() and len(set(deep)) > 1 and autocorrelation(deep, lag) < 0.9:
+            continue
+        r = autocorrelation(n, lag)
+        if r > best[0] + 0.01:  # a longer period must be clearly better
+            best = (r, lag)
+    return best
+
+
+def is_wrapped(lines: list[str]) -> bool:
+    """Whether lines of running text were broken at one width: long and of nearly equal length."""
+    n = np.array([len(l.strip()) for l in lines], float)
+    return n.mean() >= WRAPPED_CHARS and autocorrelation(n, 1) >= WRAPPED
 
 
 def repeated(text: str) -> bool:
@@ -152,18 +175,15 @@ def is_code(lines: list[str]) -> bool:
 
 
 def is_list(lines: list[str], words: list[list[str]]) -> bool:
-    """Whether a run of item-like lines is a list: marked or short items of like length, not wrapped prose."""
-    marked = sum(bool(_MARK.match(l)) for l in lines)
+    """Whether a run of item-like lines is a list: marked, or of regular lengths and neither wrapped nor punctuated inside."""
+    marked = sum(bool(_MARK.match(l.lstrip())) for l in lines)
     if marked < 0.6 * len(lines):
-        inside = sum(bool(re.search(r"[.,;:!?]\s", l)) for l in lines)
-        if sum(map(len, words)) > 4.6 * len(lines) or inside > 0.15 * len(lines):
-            return False
-        n = [len(l) for l in lines]
-        if len(n) >= 8 and length_autocorrelation(lines) > 0.8 and max(n) > 4 * max(1, min(n)):
+        inside = sum(bool(re.search(r"[.,;:!?]\s", l.strip())) for l in lines)
+        if regularity(lines)[0] < REGULAR or is_wrapped(lines) or inside > 0.15 * len(lines):
             return False
     run = [w for x in words for w in x]
     voiced = sum(bool(_VOWELS.search(w)) or w[0].isdigit() for w in run)
-    text = "".join(lines)
+    text = "".join(l.strip() for l in lines)
     return voiced >= 0.6 * len(run) and sum(map(str.isalpha, text)) >= 0.4 * len(text)
 
 
@@ -204,7 +224,7 @@ def shares(text: str, common: frozenset[str]) -> tuple[float, float, float]:
         while j < len(kinds) and kinds[j] == "item":
             j += 1
         if j > i:
-            kinds[i:j] = ["list" if j - i >= 3 and is_list([l.strip() for l in lines[i:j]], words[i:j]) else "text"] * (j - i)
+            kinds[i:j] = ["list" if j - i >= 3 and is_list(lines[i:j], words[i:j]) else "text"] * (j - i)
         i = max(j, i + 1)
     # noise between rows that look aligned by chance is noise too
     noise = sum(n for n, k in zip(size, kinds) if k == "junk")
@@ -235,7 +255,7 @@ def statistics(text: str | None, common: frozenset[str]) -> tuple:
     if not words and not lines:
         return 0, None, None, None, None
     n = len(words)
-    symbols = sum(not (c.isalnum() or c.isspace()) for c in text)
+    symbols = len(_SYMBOL.findall(text))
     return (
         n,
         sum(map(len, words)) / n if n else None,

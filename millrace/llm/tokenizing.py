@@ -4,7 +4,7 @@ Distinct-word table. Spark splits a text into words by the tokenizer's pattern;
 becomes a list of its distinct words and the place in that list of every word. The words of all
 blocks meet by an equi-join on the word, where each distinct word is encoded once; the ids come back
 to the block by place and are laid out in the order of the texts. Only distinct words per block and
-one integer a word are shuffled, never the words of the texts.
+one integer a word are shuffled, never the words of the texts. A block is bounded in words and in bytes.
 
 The Java pattern is the tokenizer's with \\s written out. A text with characters that Java does not
 know (\\p{Cn}) goes to the tokenizer itself, since the classes of such characters may differ.
@@ -19,11 +19,12 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,16 +36,26 @@ RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE = r"\t-\r \x{85}\p{Z}"
 JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
-BLOCK_WORDS = 2_000_000
+#: Words of a block at most, and bytes of them; one text that is longer is a block of its own.
+BLOCK_WORDS, BLOCK_BYTES = 2_000_000, 64 << 20
+
+
+def ranks_file(spark: SparkSession, path: str = RANKS) -> bytes:
+    """The tokenizer's file of fixed size, read on the driver; executors get its bytes, not its path."""
+    if "://" in path:
+        return bytes(spark.read.format("binaryFile").load(path).first()["content"])
+    return Path(path).read_bytes()
+
+
+def parsed(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
 
 
 @cache
-def encoding(ranks: str = RANKS):
+def encoding(ranks: bytes):
     import tiktoken
 
-    with open(ranks, "rb") as f:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=parsed(ranks), special_tokens={})
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,10 +64,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = b.column("words")
         lengths = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends = np.cumsum(lengths)
+        size = np.concatenate([[0], np.cumsum(pc.binary_length(words.flatten()).to_numpy(zero_copy_only=False).astype(np.int64))])[ends]
         start = 0
         while start < b.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + BLOCK_WORDS, "right")))
+            stop = int(np.searchsorted(ends, before + BLOCK_WORDS, "right"))
+            stop = max(start + 1, min(stop, int(np.searchsorted(size, (size[start - 1] if start else 0) + BLOCK_BYTES, "right"))))
             flat = words.slice(start, stop - start).flatten()
             coded = flat.dictionary_encode()
             keys = b.column("key").slice(start, stop - start).to_numpy(zero_copy_only=False)
@@ -74,9 +87,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start = stop
 
 
-def _encode_words(ranks: str):
+def _encode_words(ranks: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = encoding(ranks)._encode_single_piece
+        one = encoding(ranks.value)._encode_single_piece
         last, last_ids = None, None  # rows are sorted by word: each is encoded once
         for b in batches:
             coded = b.column("word").dictionary_encode()
@@ -122,9 +135,9 @@ def _lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([keys[a:z], pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), pa.array(out, pa.int32()))], names=["key", "ids"])
 
 
-def _directly(ranks: str):
+def _directly(ranks: Broadcast):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks).encode_ordinary
+        encode = encoding(ranks.value).encode_ordinary
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([encode(t) for t in b.column("text").to_pylist()], pa.list_(pa.int32()))], names=["key", "ids"])
 
@@ -133,22 +146,23 @@ def _directly(ranks: str):
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS) -> DataFrame:
     """(key, ids): the token ids of every row's text."""
+    spark = df.sparkSession
+    file = spark.sparkContext.broadcast(ranks_file(spark, ranks))
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     odd = F.coalesce((F.octet_length("text") != F.length("text")) & F.col("text").rlike(r"\p{Cn}"), F.lit(False))
     words = rows.select("key", F.when(~odd, F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0))).alias("words"), odd.alias("odd")).where("NOT odd").drop("odd")
     blocks = cut(words.mapInArrow(_blocks, "block long, keys binary, lengths binary, places binary, words array<string>"))
     each = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    coded = each.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(ranks), "block long, place int, ids array<int>")
+    coded = each.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(file), "block long, place int, ids array<int>")
     entries = coded.groupBy("block").agg(F.collect_list(F.struct("place", "ids")).alias("entries"))
     laid = blocks.drop("words").join(entries, "block", "left").mapInArrow(_lay_out, "key long, ids array<int>")
-    direct = rows.where(odd).mapInArrow(_directly(ranks), "key long, ids array<int>")
+    direct = rows.where(odd).mapInArrow(_directly(file), "key long, ids array<int>")
     return laid.unionByName(direct).withColumnRenamed("key", key)
 
 
 def vocabulary(spark: SparkSession, ranks: str = RANKS) -> DataFrame:
     """(id, piece): the bytes of each token; as many rows as the tokenizer's fixed vocabulary has."""
-    with open(ranks, "rb") as f:
-        rows = [(int(b), bytearray(base64.b64decode(a))) for a, b in map(bytes.split, f)]
+    rows = [(number, bytearray(piece)) for piece, number in parsed(ranks_file(spark, ranks)).items()]
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
@@ -163,9 +177,10 @@ def decode_corpus(coded: DataFrame, key: str = "doc_id", ranks: str = RANKS) ->
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", ranks: str = RANKS) -> DataFrame:
     """(key, n_tokens) where only the number is wanted: nothing is shuffled."""
+    file = df.sparkSession.sparkContext.broadcast(ranks_file(df.sparkSession, ranks))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(ranks).encode_ordinary
+        encode = encoding(file.value).encode_ordinary
         for b in batches:
             n = np.array([len(encode(t)) if t else 0 for t in b.column("text").to_pylist()], np.int32)
             yield pa.RecordBatch.from_arrays([b.column("key"), n], names=["key", "n_tokens"])

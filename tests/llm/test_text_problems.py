@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,7 +102,7 @@ def test_a_template_that_answers_is_none(spark, common):
 def test_openings_in_a_chain_are_one_cluster(spark):
     import itertools
 
-    r = __import__("random").Random(2)
+    r = random.Random(2)
     chain = [[r.randrange(1 << 40) for _ in range(20)]]
     for i in range(40):  # each differs a little from the one before, so the ends have nothing in common
         new = list(chain[-1])
@@ -204,6 +205,24 @@ def test_lines_with_common_words_are_still_judged():
     assert len(items) > 5 and text_quality.shares("\n".join(items), common)[0] == 1.0
 
 
+def test_line_lengths_decide_lists():
+    word = iter(f"{a}{b}{c}o" for a in "bdfgklmnprst" for b in "aeiou" for c in "bdfgklmnprst").__next__
+    prose = [" ".join(word() for _ in range(6)).ljust(40, "x")[:40] for _ in range(9)]
+    items = [" ".join(word() for _ in range(2 + i % 3)) for i in range(12)]
+    entries = [l for _ in range(8) for l in (word(), "   " + " ".join(word() for _ in range(6)))]
+    assert text_quality.is_wrapped(prose) and not text_quality.is_list(prose, [l.split() for l in prose])
+    assert text_quality.regularity(items)[1] <= 3 and text_quality.is_list(items, [l.split() for l in items])
+    assert text_quality.regularity(entries)[1] == 2 and text_quality.regularity(entries)[0] > 0.9 > 0.6 > text_quality.autocorrelation(np.array([4.0, 40.0] * 8), 1)
+    assert text_quality.shares("\n".join(entries), frozenset(["the"]))[0] > 0.5
+
+
+def test_noise_beside_common_words_is_junk():
+    common = frozenset(w for _, w in WORDS)
+    made_up = [f"{a}{b}{c}u" for a in "bdfgkl" for b in "aeiou" for c in "mnp"][:85]
+    assert text_quality.shares(" ".join(sorted(common)[:13] + made_up) + ".", common)[2] > 0.5
+    assert text_quality.shares("This was it and that is the house on you. " * 3 + "a\x01b\x02" * 60, common)[2] > 0.5
+
+
 def test_statistics():
     n, mean, symbols, ended, share = text_quality.statistics("The cat sat.\n\nOn the mat", frozenset({"the", "on"}))
     assert n == 6 and mean == 17 / 6 and round(symbols, 4) == round(1 / 24, 4) and ended == 0.5 and share == 0.5

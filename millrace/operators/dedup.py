@@ -19,11 +19,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import ArrayType, LongType
+
 from millrace.functions.arrow import shingles
 from millrace.functions.chars import let, words
-from millrace.functions.rolling import mix
+from millrace.functions.groups import pairs_within, with_text_id
+from millrace.functions.rolling import code_points, mix, rolling
+from millrace.functions.similar import minima, similar_runs, similar_texts
 from millrace.session import cut
 
+MERSENNE = (1 << 31) - 1
+
 
 def digest(c: Column | str, method: str = "sha256") -> Column:
     if method == "md5":
@@ -46,51 +52,87 @@ def exact_dedup(df: DataFrame, text: str = "text", order: str = "ord", method: s
     return rows.join(first, (rows["_h"] == first["_h"]) & (rows[order] == first["_first"]), "left_semi").drop("_h")
 
 
-def signature(sets: Column | str, hashes: int = 128, seed: int = 42) -> Column:
-    """MinHash signature of arrays of 64-bit hashes; null for an empty set."""
-    from pyspark.sql.types import ArrayType, LongType
+def signature(sets: Column | str, hashes: int = 128) -> Column:
+    """One-permutation MinHash signature of arrays of 64-bit hashes: the least of each of `hashes` ranges; null for an empty set."""
 
     @F.arrow_udf(ArrayType(LongType()))
     def run(column: pa.Array) -> pa.Array:
-        salt = mix(np.arange(1, hashes + 1, dtype=np.uint64) + np.uint64(seed << 20))
-        out = []
-        for v in column:
-            if not v.is_valid or not len(v.values):
-                out.append(None)
-                continue
-            h = v.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            low = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
-            for at in range(0, len(h), 4096):
-                low = np.minimum(low, mix(h[at : at + 4096, None] ^ salt[None, :]).min(axis=0))
-            out.append((low >> np.uint64(1)).astype(np.int64))
-        return pa.array(out, pa.list_(pa.int64()))
+        found = [None if not v.is_valid or not len(v.values) else np.sort(v.values.to_numpy(zero_copy_only=False).view(np.uint64)) for v in column]
+        return pa.array([None if h is None else (minima(h, hashes) >> np.uint64(1)).view(np.int64) for h in found], pa.list_(pa.int64()))
 
     return run(sets)
 
 
-def bloom_signature(text: Column | str, n: int = 13, bands: int = 20, rows: int = 6) -> Column:
-    """Signature of additive shifts of one 32-bit hash per run: min over runs of (h + i * 0x9e3779b9) mod 2^32,
-    h the last 32 bits of SHA-256 of the run."""
+def _shifted_minima(hashes: np.ndarray, places: int) -> np.ndarray:
+    """min over 32-bit hashes h of (h + i * 0x9e3779b9) mod 2^32 for each place i.
+
+    The least of h + s mod 2^32 is that of the first h from 2^32 - s on, in order round the circle.
+    """
+    h = np.unique(hashes)
+    shift = (np.arange(places, dtype=np.uint64) * np.uint64(0x9E3779B9)) & np.uint64(0xFFFFFFFF)
+    at = np.searchsorted(h, (np.uint64(1 << 32) - shift) & np.uint64(0xFFFFFFFF)) % len(h)
+    return (h[at] + shift) & np.uint64(0xFFFFFFFF)
+
+
+def bloom_signature(text: Column | str, n: int = 13, bands: int = 20, rows: int = 6, compat: bool = False) -> Column:
+    """Signature of additive shifts of one 32-bit hash per run of n characters. compat takes the last 32
+    bits of SHA-256 of the run, one digest for each; else the hash is a rolling one of all runs at once."""
     import hashlib
 
-    from pyspark.sql.types import ArrayType, LongType
+    def by_digest(t: str) -> np.ndarray:
+        runs = {t[i : i + n] for i in range(max(1, len(t) - n + 1))}
+        return np.array([int.from_bytes(hashlib.sha256(r.encode("utf-8", "surrogatepass")).digest()[-4:]) for r in runs], np.uint64)
+
+    def by_rolling(t: str) -> np.ndarray:
+        return rolling(code_points(t), min(n, len(t))) & np.uint64(0xFFFFFFFF)
+
+    hashes = by_digest if compat else by_rolling
+
+    @F.arrow_udf(ArrayType(LongType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([_shifted_minima(hashes(t), bands * rows).astype(np.int64) if t else None for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return run(text)
+
+
+def byte_signature(text: Column | str, n: int = 5, hashes: int = 128, seed: int = 42) -> Column:
+    """MinHash of byte runs: each run of n UTF-8 bytes is hashed by xor-then-multiply modulo 2^31 - 1, and
+    place i is the least of (a_i h + b_i) modulo 2^31 - 1. The a and b are drawn from the seed."""
 
     @F.arrow_udf(ArrayType(LongType()))
     def run(texts: pa.Array) -> pa.Array:
-        shift = (np.arange(bands * rows, dtype=np.uint64) * np.uint64(0x9E3779B9)) & np.uint64(0xFFFFFFFF)
+        g = np.random.default_rng(seed)
+        a, b = g.integers(1, MERSENNE, hashes, np.int64).astype(np.uint64), g.integers(0, MERSENNE, hashes, np.int64).astype(np.uint64)
         out = []
         for t in texts.to_pylist():
-            if not t:
+            h = byte_run_hashes((t or "").encode("utf-8", "surrogatepass"), n)
+            if not len(h):
                 out.append(None)
                 continue
-            runs = {t[i : i + n] for i in range(max(1, len(t) - n + 1))}
-            h = np.array([int.from_bytes(hashlib.sha256(r.encode("utf-8", "surrogatepass")).digest()[-4:]) for r in runs], np.uint64)
-            out.append((((h[:, None] + shift[None, :]) & np.uint64(0xFFFFFFFF)).min(axis=0)).astype(np.int64))
+            low = np.full(hashes, MERSENNE, np.uint64)
+            for at in range(0, len(h), 4096):
+                low = np.minimum(low, ((h[at : at + 4096, None] * a[None, :] + b[None, :]) % np.uint64(MERSENNE)).min(axis=0))
+            out.append(low.astype(np.int64))
         return pa.array(out, pa.list_(pa.int64()))
 
     return run(text)
 
 
+def byte_run_hashes(raw: bytes, n: int) -> np.ndarray:
+    """Distinct hashes of the runs of n bytes, one vector step a byte; fewer bytes are one run.
+
+    Fixed values: the 32-bit offset basis and prime of FNV-1a and the modulus 2^31 - 1.
+    """
+    points = np.frombuffer(raw, np.uint8).astype(np.uint64)
+    if not len(points):
+        return points
+    n = min(n, len(points))
+    h = np.full(len(points) - n + 1, 2166136261, np.uint64)
+    for i in range(n):
+        h = ((h ^ points[i : len(points) - n + 1 + i]) * np.uint64(16777619)) & np.uint64(0xFFFFFFFF)
+    return np.unique(h % np.uint64(MERSENNE))
+
+
 def estimated_jaccard(a: Column | str, b: Column | str) -> Column:
     """Share of equal places of two signatures."""
     same = F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -130,16 +172,10 @@ def finding_bands(t: float, hashes: int = 128, loss: float = 1e-4) -> tuple[int,
 
 
 def band_pairs(rows: DataFrame, key: str, order: str, sig: str, bands: int, per_band: int) -> DataFrame:
-    """(lo, hi): pairs of rows that agree in all values of at least one band, lo earlier than hi.
-
-    Equal buckets meet by an equi-join; AQE splits hot ones.
-    """
+    """(lo, hi): pairs of rows that agree in all values of at least one band, lo earlier than hi; hot buckets meet in blocks."""
     parts = F.array(*[F.xxhash64(F.lit(i), F.slice(sig, i * per_band + 1, per_band)) for i in range(bands)])
     buckets = rows.where(F.col(sig).isNotNull()).select(F.struct(order, key).alias("at"), F.posexplode(parts).alias("band", "bucket"))
-    shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("band", "bucket")
-    few = buckets.join(shared, ["band", "bucket"])
-    a, b = few.withColumnRenamed("at", "lo"), few.withColumnRenamed("at", "hi")
-    return a.join(b, ["band", "bucket"]).where("lo < hi").select("lo", "hi").distinct()
+    return pairs_within(cut(buckets), ["band", "bucket"], "at").distinct().toDF("lo", "hi")
 
 
 def _verify(pairs: DataFrame, rows: DataFrame, key: str, order: str, t: float) -> DataFrame:
@@ -167,31 +203,52 @@ def prefix_pairs(rows: DataFrame, key: str, order: str, t: float) -> DataFrame:
     return _verify(pairs, rows, key, order, t)
 
 
+def _named(pairs: DataFrame, ats: DataFrame) -> DataFrame:
+    """(lo, hi, jaccard) for pairs (a, b, jaccard) of ids and (tid, at), one `at` an id."""
+    met = pairs.join(ats.toDF("a", "x"), "a").join(ats.toDF("b", "y"), "b")
+    return met.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "jaccard")
+
+
 def similar_pairs(df: DataFrame, key: str = "doc_id", order: str | None = None, text: str = "text", n: int = 13, t: float = 0.8, method: str = "exact", hashes: int = 128) -> DataFrame:
     """(lo, hi, jaccard) with lo and hi structs of order and key.
 
-    method: exact (all pairs), minhash (candidates of bands that miss hardly any pair at t, verified; fed
-    is the same), minhash_compat (bands of the described split, which loses most pairs at t) or lshbloom
+    method: exact (all pairs by prefixes), minhash (one-permutation minima, tiled and verified; fed is the
+    same), minhash_compat (bands of the described split, which loses most pairs at t) or lshbloom
     (candidates of 20 bands of 6 shifted minima, verified).
     """
     order = order or key
-    # ordered text copies are compared once: the first stands for its copies
     one = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text"))
+    if method in ("minhash", "fed"):
+        rows = with_text_id(one)
+        ats = cut(rows.select("tid", F.struct("ord", "key").alias("id")))
+        pairs = cut(similar_texts(rows, n, t))
+        first = ats.groupBy("tid").agg(F.min("id").alias("at"))
+        # equal texts are compared once; their rows come back at the end
+        apart = _named(pairs, first) if ats.count() == first.count() else expand_pairs_with(pairs, ats)
+        same = pairs_within(ats, ["tid"], "id").select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.lit(1.0).alias("jaccard"))
+        return apart.unionByName(same)
     rows = one.withColumn("runs", shingles("text", n))
     if method == "exact":
         return prefix_pairs(rows.select("key", "ord", "runs"), "key", "ord", t)
-    if method in ("minhash", "fed", "minhash_compat"):
-        b, r = bands_and_rows(t, hashes) if method == "minhash_compat" else finding_bands(t, hashes)
+    if method == "minhash_compat":
+        b, r = bands_and_rows(t, hashes)
         sig = rows.withColumn("sig", signature("runs", hashes))
     elif method == "lshbloom":
         b, r = 20, 6
         sig = one.withColumn("sig", bloom_signature("text", n, b, r))
     else:
         raise ValueError(f"unknown method {method}")
-    pairs = band_pairs(sig.select("key", "ord", "sig"), "key", "ord", "sig", b, r)
+    pairs = cut(band_pairs(sig.select("key", "ord", "sig"), "key", "ord", "sig", b, r))
     return _verify(pairs, rows.select("key", "ord", "runs"), "key", "ord", t)
 
 
+def expand_pairs_with(pairs: DataFrame, ats: DataFrame) -> DataFrame:
+    """(lo, hi, jaccard) for pairs (a, b, jaccard) of ids and all rows (tid, id) of each."""
+    scored = pairs.select("a", "b", "jaccard")
+    met = scored.join(ats.toDF("a", "x"), "a").join(ats.toDF("b", "y"), "b")
+    return met.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), "jaccard")
+
+
 def greedy_survivors(pairs: DataFrame) -> DataFrame:
     """(dup, kept) of verified pairs (lo, hi): every dropped node and the first kept node it is similar to.
 
@@ -229,29 +286,53 @@ METHODS = ("exact_hash", "minhash", "minhash_compat", "fed", "lshbloom", "exact"
 
 
 def near_dedup(df: DataFrame, method: str = "minhash", key: str = "doc_id", order: str | None = None, text: str = "text", n: int = 13, threshold: float = 0.8, hashes: int = 128) -> DataFrame:
-    """The surviving rows of df, all columns. both: equal texts first, then minhash, with the same survivors."""
+    """The surviving rows of df, all columns. both is minhash, which compares equal texts once anyway."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     order = order or key
     rows = df.where(F.length(text) > 0)
     if method == "exact_hash":
         return exact_dedup(rows, text, order)
-    first = exact_dedup(rows, text, order)  # a copy is similar to its first row, which decides for it
-    pairs = similar_pairs(first, key, order, text, n, threshold, "minhash" if method == "both" else method, hashes)
-    gone = greedy_survivors(pairs).select(F.col("dup.key").alias(key))
+    if method in ("minhash", "fed", "both"):
+        one = with_text_id(rows.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text")))
+        # a copy is similar to its first row, which decides for it
+        first = cut(one.groupBy("tid").agg(F.min(F.struct("ord", "key")).alias("at")))
+        pairs = cut(similar_texts(one, n, threshold))
+        if pairs.isEmpty():
+            kept = first.select("at.key")
+        else:
+            gone = greedy_survivors(_named(pairs, first)).select(F.col("dup.key").alias("key"))
+            kept = first.select("at.key").join(gone, "key", "left_anti")
+        return rows.join(kept.withColumnRenamed("key", key), key, "left_semi")
+    first = exact_dedup(rows, text, order)
+    gone = greedy_survivors(similar_pairs(first, key, order, text, n, threshold, method, hashes)).select(F.col("dup.key").alias(key))
     return first.join(gone, key, "left_anti")
 
 
-def dedup_stats(df: DataFrame, kept: DataFrame, text: str = "text") -> DataFrame:
-    """One row: total, kept, empty and duplicate rows, and the share of duplicates."""
+def dedup_stats(df: DataFrame, kept: DataFrame, text: str = "text", compat: bool = False) -> DataFrame:
+    """One row: total, kept, empty and duplicate rows, and the share of duplicates; with compat empty rows count as duplicates."""
     total = df.agg(F.count("*").alias("total"), F.count_if(F.coalesce(F.length(text), F.lit(0)) == 0).alias("empty"))
     left = kept.agg(F.count("*").alias("kept"))
     # both sides are one row
     both = total.withColumn("one", F.lit(1)).join(left.withColumn("one", F.lit(1)), "one").drop("one")
-    dup = F.col("total") - F.col("kept") - F.col("empty")
+    dup = F.col("total") - F.col("kept") - (F.lit(0) if compat else F.col("empty"))
     return both.withColumn("duplicates", dup).withColumn("duplicate_share", F.coalesce(F.try_divide(dup.cast("double"), F.col("total")), F.lit(0.0)))
 
 
+def filter_megabytes(bands: int, capacity: int) -> float:
+    """Memory of the band filters: ten bits for each of `capacity` entries of each band."""
+    return bands * capacity * 10 / 8 / (1 << 20)
+
+
+def timed(name: str, df: DataFrame) -> DataFrame:
+    """(stage, rows, seconds): df run once to the end on the executors, its rows counted, nothing kept."""
+    import time
+
+    begin = time.perf_counter()
+    rows = df.count()
+    return df.sparkSession.createDataFrame([(name, rows, time.perf_counter() - begin)], "stage string, rows long, seconds double")
+
+
 def word_shingles(c: Column | str, n: int = 5) -> Column:
     """Distinct runs of n words, joined by blanks; fewer words are one run."""
     def runs(w: Column) -> Column:
@@ -268,22 +349,17 @@ def article_duplicates(df: DataFrame, key: str, order: str, text: str = "text",
     verify=False takes a shared band of the described split for similarity, as the described sanitiser does.
     """
     first = exact_dedup(df, text, order)
-    sets = cut(first.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.array_sort(F.transform(word_shingles(text, n), lambda s: F.xxhash64(s))).alias("runs")))
-    b, r = finding_bands(t, hashes) if verify else bands_and_rows(t, hashes)
-    pairs = band_pairs(sets.withColumn("sig", signature("runs", hashes)), "key", "ord", "sig", b, r)
+    named = first.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text"), F.transform(word_shingles(text, n), lambda s: F.xxhash64(s)).alias("runs"))
     if verify:
-        pairs = _verify(pairs, sets, "key", "ord", t)
+        sets = cut(with_text_id(named).select("tid", F.struct("ord", "key").alias("at"), "runs"))
+        pairs = _named(cut(similar_runs(sets, t)), sets.select("tid", "at"))
+    else:
+        b, r = bands_and_rows(t, hashes)
+        pairs = band_pairs(named.select("key", "ord", signature("runs", hashes).alias("sig")), "key", "ord", "sig", b, r)
     copies = df.where(F.length(text) > 0).select(key).join(first.select(key), key, "left_anti")
     return copies.union(greedy_survivors(pairs).select(F.col("dup.key").alias(key)))
 
 
-def probe(batch: DataFrame, store: DataFrame, t: float) -> DataFrame:
-    """Keys of a batch (key, ord, runs) similar to a stored row (key, ord, runs), by prefixes; for streams."""
-    both = batch.withColumn("old", F.lit(1)).unionByName(store.withColumn("old", F.lit(0)))
-    pairs = prefix_pairs(both.select("key", F.struct("old", "ord").alias("ord"), "runs"), "key", "ord", t)
-    return pairs.where("lo.ord.old = 0 AND hi.ord.old = 1").select(F.col("hi.key").alias("key")).distinct()
-
-
 def band_sketch(rows: DataFrame, sig: str, bands: int, per_band: int, expected: int = 100_000, error: float = 0.001) -> DataFrame:
     """(band, bits, hashes, filter): a Bloom filter per band, merged by bitwise or of the parts' filters.
 

@@ -62,12 +62,15 @@ def lsh_candidates(spark, d):
     return pairs.select(F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"))
 
 
-@query(None)
+SURVIVORS_SQL = GREEDY_SQL + "SELECT doc_id FROM t WHERE doc_id NOT IN (SELECT dup_id FROM dropped)"
+
+
+@query(SURVIVORS_SQL)
 def minhash_dedup(spark, d):
     return dedup.near_dedup(table(spark, d, "documents"), "minhash", "doc_id").select("doc_id")
 
 
-@query(None)
+@query(SURVIVORS_SQL)
 def bloom_dedup(spark, d):
     return dedup.near_dedup(table(spark, d, "documents"), "lshbloom", "doc_id").select("doc_id")
 

@@ -6,10 +6,10 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from millrace.operators.dedup import exact_dedup
 from millrace.plans import recipe
+from millrace.plans.dedup_queries import SURVIVORS_SQL
 from millrace.plans.registry import query
-from millrace.session import scratch, table
+from millrace.session import cut, scratch, table
 from millrace.sources import readers, sinks
 from millrace.streaming import dedup as streams
 
@@ -83,10 +83,24 @@ def stream_windows(spark, d):
     return out.withColumn("total", F.round("total", 4))
 
 
-@query(None)
+@query(SURVIVORS_SQL)
 def stream_near_dedup(spark, d):
+    return _near(spark, d)
+
+
+@query(SURVIVORS_SQL)
+def stream_filtered_near_dedup(spark, d):
+    """The same with Bloom filters of the earlier batches' keys before the stored band rows are read."""
+    return _near(spark, d, filter_bits=1 << 20)
+
+
+def _near(spark, d, **how):
+    """A stream of four files, in the order of their documents' ids."""
     out = scratch(spark, "near")
-    sink = streams.NearDedupSink(out + "/kept", "doc_id", "doc_id")
-    streams.near_stream(_stream(spark, d, "documents").select("doc_id", "text"), sink, out + "/c").awaitTermination()
-    kept = sink.kept(spark)
-    return kept.select("doc_id") if kept is not None else exact_dedup(table(spark, d, "documents").limit(0), "text", "doc_id").select("doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text").repartitionByRange(4, "doc_id").withColumn("part", F.spark_partition_id())
+    docs = cut(docs)
+    for i in range(4):
+        docs.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{out}/in")
+    sink = streams.NearDedupSink(out + "/kept", "doc_id", "doc_id", slots=8, **how)
+    streams.near_stream(streams.read_stream(spark, f"{out}/in", "doc_id long, text string"), sink, f"{out}/c").awaitTermination()
+    return sink.kept(spark).select("doc_id")

@@ -1,23 +1,13 @@
 """Problem 1: records that repeat the text of others with small edits.
 
 Two texts are near-duplicates when the sets of their runs of k characters have a Jaccard similarity
-of at least t. The work is done once for each distinct text (tid, see with_text_id):
-
-1. One pass over the table: sorted distinct shingle hashes of a text; the smallest hash in each of
-   ROWS*BANDS equal ranges of the hash space (one-permutation minhash, empty ranges filled from a
-   fixed donor range); BANDS keys of ROWS minima; a 128-bit sketch, two bits of each of 64 minima.
-2. Rows (band key, set size, tid, sketch) are shuffled by band key and sorted. The members of a key
-   are compared with each other exactly, in tiles: exclusive-or of the sketches and a bit count, all
-   pairs within the radius. The population that tiles are ordered and skipped by is that of the
-   shingle sets, their size: sets whose sizes differ by more than the factor t differ in more places
-   than two similar sets can. (The bit counts of the sketches all lie about 64 and would skip nothing.)
-   Keys with more than `hot` members are dealt into blocks within bands of sizes; blocks meet only
-   within a band and with the next one, each two of them in a group of a second shuffle, so no task
-   holds or compares a whole hot key.
-3. The pairs left are compared by their whole shingle sets; texts meet by two equi-joins.
-
-Recall: a pair at exactly t=0.8 shares no band with probability (1-0.8^4)^20 = 2.6e-5, less above.
-The radius of 40 of 128 bits is 5 standard deviations from the mean 12.8 of such a pair. No caps.
+of at least t. The work is done once for each distinct text (tid, see with_text_id), by the comparison
+in millrace.functions.similar: tiles of sketches by exclusive-or and bit counts within blocks of equal
+minima, tile pairs skipped by the population counts of the shingle sets (their sizes, by which tiles
+are ordered: sets whose sizes differ by more than the factor t differ in more places than similar sets
+can), and an exact check of what is left. Named, the method compares all tiles of a corpus; that is
+quadratic, so blocks of minima come first. A pair at exactly t=0.8 is in no block with probability
+2.6e-5. No caps: blocks above `hot` members are split, each two parts a group of their own.
 
 Defined cases: a null text or one shorter than min_chars is in no pair; equal texts are pairs
 (similarity 1); tied and repeated rows are kept apart by the key column; an empty table gives an
@@ -26,232 +16,13 @@ empty result; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.groups import components, expand_pairs, pairs_within, sent, with_text_id
-from millrace.functions.rolling import distinct_shingles, mix
-from millrace.functions.runs import column, whole_runs
+from millrace.functions.groups import components, expand_pairs, pairs_within, with_text_id
+from millrace.functions.similar import similar_texts
 from millrace.session import cut
 
-ROWS, BANDS, RADIUS, TILE, HOT = 4, 20, 40, 256, 4096
-_BINS = ROWS * BANDS
-_EDGES = np.array([(i << 64) // _BINS for i in range(1, _BINS)], np.uint64)
-_ROUNDS = 64
-_DONORS = np.stack([np.random.default_rng(7 + r).permutation(_BINS) for r in range(_ROUNDS)])
-
-
-def minima(shingles: np.ndarray) -> np.ndarray:
-    """The smallest hash of each of the equal ranges of the hash space; shingles sorted, not empty."""
-    at = np.concatenate([[0], np.searchsorted(shingles, _EDGES), [len(shingles)]])
-    filled = at[1:] > at[:-1]
-    out = shingles[np.minimum(at[:-1], len(shingles) - 1)]
-    if filled.all():
-        return out
-    empty = np.flatnonzero(~filled)
-    for r in range(_ROUNDS):
-        donor = _DONORS[r][empty]
-        good = filled[donor]
-        out[empty[good]] = out[donor[good]]
-        empty = empty[~good]
-        if not len(empty):
-            return out
-    out[empty] = shingles[0]
-    return out
-
-
-def _signed(a: np.ndarray) -> np.ndarray:
-    return a.view(np.int64)
-
-
-def signatures(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Set sizes, band keys (n x BANDS) and sketches (n x 2) of texts of at least k characters."""
-    sets = [distinct_shingles(t, k) for t in texts]
-    n = np.array([len(s) for s in sets], np.int32)
-    low = np.stack([minima(s) for s in sets])
-    keys = np.full((len(sets), BANDS), 0x51ED270B, np.uint64)
-    for j in range(ROWS):
-        keys = mix(keys * np.uint64(0x9E3779B97F4A7C15) + low[:, j::ROWS])
-    keys = mix(keys + np.arange(1, BANDS + 1, dtype=np.uint64))
-    two = mix(low[:, :64] + np.uint64(0x2545F4914F6CDD1D))
-    bits = np.stack([two & np.uint64(1), (two >> np.uint64(1)) & np.uint64(1)], axis=2).astype(np.uint8)
-    sketch = np.packbits(bits.reshape(len(sets), 128), axis=1).view(np.uint64)
-    return n, keys, sketch
-
-
-def _band_rows(k: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, None] = {}
-        for b in batches:
-            ids, texts = b.column("tid").to_pylist(), b.column("text")
-            new = []
-            for i, tid in enumerate(ids):
-                if tid not in seen:
-                    seen[tid] = None
-                    new.append(i)
-            if len(seen) > 200_000:  # copies met later are dropped after the shuffle
-                seen.clear()
-            for at in range(0, len(new), 512):
-                part = new[at : at + 512]
-                n, keys, sketch = signatures([texts[i].as_py() for i in part], k)
-                tid = np.array([ids[i] for i in part], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(keys.reshape(-1)), np.repeat(n, BANDS), np.repeat(tid, BANDS), np.repeat(_signed(sketch[:, 0].copy()), BANDS), np.repeat(_signed(sketch[:, 1].copy()), BANDS)],
-                    names=["key", "n", "tid", "s0", "s1"],
-                )
-
-    return rows
-
-
-def _near(n, tid, s0, s1, i, j, t, radius):
-    """Of the candidate index pairs i, j those within the radius and of fitting size."""
-    fit = (np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j])) & (tid[i] != tid[j])
-    i, j = i[fit], j[fit]
-    d = np.bitwise_count(s0[i] ^ s0[j]) + np.bitwise_count(s1[i] ^ s1[j])
-    return i[d <= radius], j[d <= radius]
-
-
-def tiled_pairs(n, tid, s0, s1, start, stop, t, radius, sides=None):
-    """Index pairs within rows start..stop (sorted by n) whose sketches are within the radius.
-
-    Compares tile by tile; skips tile pairs by the populations n. With sides (0 or 1 for each row)
-    only pairs of rows on different sides are given.
-    """
-    edges = list(range(start, stop, TILE)) + [stop]
-    for x, (a, b) in enumerate(zip(edges, edges[1:])):
-        for y in range(x, len(edges) - 1):
-            c, d = edges[y], edges[y + 1]
-            if n[b - 1] < t * n[c]:
-                break  # sorted by n: no later tile fits either
-            near = np.bitwise_count(s0[a:b, None] ^ s0[None, c:d])
-            near += np.bitwise_count(s1[a:b, None] ^ s1[None, c:d])
-            i, j = np.nonzero(near <= radius)
-            i, j = i + a, j + c
-            ok = i < j
-            if sides is not None:
-                ok &= sides[i] != sides[j]
-            i, j = i[ok], j[ok]
-            fit = (n[i] >= t * n[j]) & (tid[i] != tid[j])
-            yield i[fit], j[fit]
-
-
-def _compare(t: float, radius: int, hot: int, crossed: bool):
-    """Pairs of each run of a key; rows of a hot key are handed on with kind 1."""
-
-    def batch(kind, a, b, n, s0, s1):
-        return pa.RecordBatch.from_arrays([np.full(len(a), kind, np.int8), a, b, n, s0, s1], names=["kind", "a", "b", "n", "s0", "s1"])
-
-    def pairs(tid, i, j):
-        z = np.zeros(len(i), np.int64)
-        return batch(0, np.minimum(tid[i], tid[j]), np.maximum(tid[i], tid[j]), z.astype(np.int32), z, z)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit = (1 << 31) if crossed else hot
-        for table, is_hot in whole_runs(batches, "key", limit, ["n", "tid"]):
-            key, n, tid, s0, s1 = (column(table, c) for c in ("key", "n", "tid", "s0", "s1"))
-            if is_hot:
-                yield batch(1, key, tid, n, s0, s1)
-                continue
-            s0, s1 = s0.view(np.uint64), s1.view(np.uint64)
-            sides = column(table, "side") if crossed else None
-            edges = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            size = np.diff(edges)
-            small = size <= 16
-            if not crossed and len(key) > 1:  # all short runs at once, by distance
-                left = np.repeat(np.where(small, edges[1:], 0), size) - np.arange(len(key)) - 1
-                i = np.flatnonzero(left > 0)
-                step = 1
-                while len(i):
-                    a, b = _near(n, tid, s0, s1, i, i + step, t, radius)
-                    if len(a):
-                        yield pairs(tid, a, b)
-                    step += 1
-                    i = i[left[i] >= step]
-            for x in np.flatnonzero(size > 1) if crossed else np.flatnonzero(~small):
-                for a, b in tiled_pairs(n, tid, s0, s1, int(edges[x]), int(edges[x + 1]), t, radius, sides):
-                    if len(a):
-                        yield pairs(tid, a, b)
-
-    return rows
-
-
-def near_by_sketch(bands: DataFrame, t: float = 0.8, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b: pairs of tids of (key, n, tid, s0, s1) with a key in common that are near by sketch and size."""
-    out = "kind byte, a long, b long, n int, s0 long, s1 long"
-    first = cut(bands.repartition("key").sortWithinPartitions("key", "n", "tid").mapInArrow(_compare(t, radius, hot, False), out))
-    near = first.where("kind = 0").select("a", "b")
-    rows = first.where("kind = 1").selectExpr("a AS key", "b AS tid", "n", "s0", "s1")
-    if not rows.isEmpty():
-        # similar sizes are in the same band of sizes or in the next one
-        rows = rows.withColumn("size", F.floor(F.log("n") / F.lit(1.0001 * math.log(1 / t))).cast("int"))
-        count = sent(cut(rows.groupBy("key", "size").agg(F.ceil(F.count("*") / F.lit(hot / 2)).cast("int").alias("g"))))
-        after, before = (count.select("key", (F.col("size") + d).alias("size"), F.col("g").alias(name)) for d, name in ((-1, "g_after"), (1, "g_before")))
-        dealt = rows.join(count, ["key", "size"]).join(after, ["key", "size"], "left").join(before, ["key", "size"], "left")
-        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("tid", "key"), F.col("g")).cast("int"))
-
-        def meet(other: str, g: str, low, first_block, second_block, side, inside) -> DataFrame:
-            each = dealt.where(F.col(g).isNotNull()).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(g) - 1)))
-            return each.select(F.xxhash64("key", *low, first_block, second_block).alias("key"), "n", "tid", "s0", "s1", side.cast("long").alias("side"), inside.alias("inside"))
-
-        size, never = F.col("size"), F.lit(False)
-        grouped = [
-            meet("other", "g", (size, size), F.least("mine", "other"), F.greatest("mine", "other"), F.when(F.col("mine") <= F.col("other"), 0).otherwise(1), F.col("mine") == F.col("other")),
-            meet("other", "g_after", (size, size + 1), F.col("mine"), F.col("other"), F.lit(0), never),
-            meet("other", "g_before", (size - 1, size), F.col("other"), F.col("mine"), F.lit(1), never),
-        ]
-        blocks = grouped[0].unionByName(grouped[1]).unionByName(grouped[2])
-        # inside one block every pair counts: a side of its own for each row
-        blocks = blocks.withColumn("side", F.when(F.col("inside"), F.col("tid")).otherwise(F.col("side"))).drop("inside")
-        blocks = blocks.repartition("key").sortWithinPartitions("key", "n", "tid")
-        near = near.unionByName(blocks.mapInArrow(_compare(t, radius, hot, True), out).select("a", "b"))
-    return near.distinct()
-
-
-def candidate_pairs(texts: DataFrame, k: int = 13, t: float = 0.8, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """(a, b), a < b: pairs of distinct texts (tid, text) that share a band key and are near by sketch."""
-    return near_by_sketch(texts.select("tid", "text").mapInArrow(_band_rows(k), "key long, n int, tid long, s0 long, s1 long"), t, radius, hot)
-
-
-def _verify(k: int, t: float):
-    """Rows (a, b, text of b) sorted by a with the row of a itself first."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, mine = None, None
-        for batch in batches:
-            a, b = column(batch, "a"), column(batch, "b")
-            texts = batch.column("text")
-            keep, score = [], []
-            for i in range(len(a)):
-                s = distinct_shingles(texts[i].as_py(), k)
-                if a[i] == b[i]:
-                    head, mine = a[i], s
-                elif head == a[i]:
-                    both = np.concatenate([mine, s])
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    union = len(both) - common
-                    if common >= t * union:
-                        keep.append(i)
-                        score.append(common / union)
-            yield pa.RecordBatch.from_arrays([a[keep], b[keep], np.array(score, np.float64)], names=["a", "b", "jaccard"])
-
-    return rows
-
-
-def similar_texts(texts: DataFrame, k: int = 13, t: float = 0.8, **how) -> DataFrame:
-    """(a, b, jaccard) of every two distinct texts (tid, text) with a similarity of at least t."""
-    near = cut(candidate_pairs(texts, k, t, **how))
-    wanted = near.unionByName(near.select("a", F.col("a").alias("b")).distinct())
-    one = texts.select("tid", "text").dropDuplicates(["tid"])
-    met = wanted.join(one, wanted["b"] == one["tid"]).select("a", "b", "text")
-    met = met.repartition("a").sortWithinPartitions("a", (F.col("a") != F.col("b")).cast("int"))
-    return met.mapInArrow(_verify(k, t), "a long, b long, jaccard double")
-
 
 def _texts(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
     rows = df.where(F.length(text) >= min_chars).select(F.col(key).alias("id"), F.col(text).alias("text"))

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from millrace.functions import similar
 from millrace.llm import lookalikes, near_duplicates, shared_spans
 
 RNG = random.Random(5)
@@ -90,7 +91,7 @@ def test_tiles_find_all_pairs_in_the_radius():
     s = g.integers(0, 1 << 63, (700, 2)).astype(np.uint64)
     s[1::2] = s[0::2] ^ np.uint64(5)
     got = set()
-    for i, j in near_duplicates.tiled_pairs(n, np.arange(700), s[:, 0], s[:, 1], 0, 700, 0.8, 40):
+    for i, j in similar.tiled_pairs(n, np.arange(700), s[:, 0], s[:, 1], 0, 700, 0.8, 40):
         got |= set(zip(i.tolist(), j.tolist()))
     bits = lambda a, b: bin(int(s[a, 0]) ^ int(s[b, 0])).count("1") + bin(int(s[a, 1]) ^ int(s[b, 1])).count("1")
     assert got == {(a, b) for a, b in combinations(range(700), 2) if n[a] >= 0.8 * n[b] and bits(a, b) <= 40}

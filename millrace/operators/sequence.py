@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.chars import let, words
+from millrace.functions.groups import sent
+from millrace.session import cut
 
 IGNORED = -100
 
@@ -99,17 +101,22 @@ def mode_ranges(mode: str) -> list[tuple[int, int]]:
     return [AUDIO_MODES[mode]]
 
 
-def contiguous_shards(df: DataFrame, order: str, shards: int) -> DataFrame:
-    """df with `shard`: n div shards rows each in order, the remainder in the last.
+def with_place(df: DataFrame, order: str) -> DataFrame:
+    """df with `_place`, the number of rows before it in order, and `_all`, the number of rows.
 
-    Positions come from the counts of range partitions, not from one global window.
+    Places come from the counts of range partitions, a row for each, not from one window over all rows.
     """
     ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"), F.min(order).alias("_min"))
-    # one row per partition
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    counts = counts.withColumn("_all", F.sum("_n").over(Window.partitionBy(F.lit(1))))
+    before = Window.orderBy("_min").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut(counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(1))).alias("_all")))
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1
-    rows = ranged.withColumn("_rank", rank).join(F.broadcast(counts.select("_part", "_before", "_all")), "_part")
+    rows = ranged.withColumn("_rank", rank).join(sent(counts), "_part")
+    return rows.withColumn("_place", F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before")
+
+
+def contiguous_shards(df: DataFrame, order: str, shards: int) -> DataFrame:
+    """df with `shard`: n div shards rows each in order, the remainder in the last."""
     each = F.greatest(F.floor(F.col("_all") / shards), F.lit(1))
-    return rows.withColumn("shard", F.least(F.floor((F.col("_before") + F.col("_rank")) / each), F.lit(shards - 1)).cast("int")).drop("_part", "_rank", "_before", "_all")
+    rows = with_place(df, order)
+    return rows.withColumn("shard", F.least(F.floor(F.col("_place") / each), F.lit(shards - 1)).cast("int")).drop("_place", "_all")

@@ -10,10 +10,15 @@ from collections.abc import Iterator, Mapping
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.chars import strip
+from millrace.functions.groups import sent
+from millrace.session import cut
+
 DOCUMENT = T.StructType([T.StructField("id", T.StringType()), T.StructField("text", T.StringType())])
 
 
@@ -35,50 +40,50 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | None = DOC
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(id, text, ord): every line that is not blank, stripped. ord orders lines by file and place;
-    ids are doc_<n> in that order, from 0."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias("text"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    lines = lines.where("text <> ''")
-    # offsets of the partitions, not one global window
-    per = lines.groupBy(F.shiftrightunsigned("at", 33).alias("part")).agg(F.count("*").alias("n"), F.min("file").alias("file"))
-    from pyspark.sql import Window
+    """(id, text, ord): every line that is not blank, stripped. ord orders lines by the path of their
+    file and place in it; ids are doc_<n> in that order, from 0.
 
-    per = per.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("file", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
-    rows = lines.withColumn("part", F.shiftrightunsigned("at", 33)).withColumn("rank", rank).join(F.broadcast(per.select("part", "before")), "part")
+    A line's number is the count of lines in earlier blocks (parts of files that a task reads) and its
+    rank in its own block; only the counts, a row for each block, are put in order together.
+    """
+    lines = spark.read.text(path).select(strip("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = lines.where("text <> ''")
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    per = lines.groupBy("file", "block").agg(F.count("*").alias("n"))
+    per = cut(per.select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    rank = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    rows = lines.withColumn("rank", rank).join(sent(per), ["file", "block"])
     rows = rows.withColumn("ord", (F.col("before") + F.col("rank")).cast("long"))
     return rows.select(F.concat(F.lit("doc_"), F.col("ord").cast("string")).alias("id"), "text", "ord")
 
 
 def read_arrow_files(spark: SparkSession, directory: str) -> DataFrame:
-    """(id, text) of the rows with a text in all *.arrow files below a directory, in order of their names.
+    """(id, text) of the rows with a text in all *.arrow files (up to 2 GB each) below a directory.
 
-    The files are listed on the driver and read in tasks, a file in a task, one record batch at a time.
+    Files come to the tasks through Spark, so the directory may be any that Spark can read.
     """
-    files = sorted(str(p) for p in Path(directory).rglob("*.arrow"))
-    if not files:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").option("recursiveFileLookup", "true").load(directory)
+    if files.select("path").isEmpty():
         raise ValueError(f"no arrow files in {directory}")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column("path").to_pylist():
-                with pa.memory_map(path) as f:
-                    try:
-                        reader = pa.ipc.open_stream(f)
-                        parts: Iterator = iter(reader)
-                        names = reader.schema.names
-                    except pa.ArrowInvalid:
-                        file = pa.ipc.open_file(f)
-                        parts, names = (file.get_batch(i) for i in range(file.num_record_batches)), file.schema.names
-                    key = next((c for c in ("id", "title") if c in names), None)
-                    for p in parts:
-                        ids = p.column(key).cast(pa.string()) if key else pa.nulls(p.num_rows, pa.string())
-                        out = pa.RecordBatch.from_arrays([ids, p.column("text").cast(pa.string())], names=["id", "text"])
-                        yield out.filter(pa.compute.fill_null(pa.compute.greater(pa.compute.utf8_length(out.column("text")), 0), False))
-
-    import pyarrow.compute  # noqa: F401
-
-    return spark.createDataFrame([(f,) for f in files], "path string").repartition(len(files)).mapInArrow(rows, "id string, text string")
+            for content in b.column("content"):
+                raw = content.as_buffer()
+                try:
+                    reader = pa.ipc.open_stream(raw)
+                    parts: Iterator = iter(reader)
+                    names = reader.schema.names
+                except pa.ArrowInvalid:
+                    file = pa.ipc.open_file(raw)
+                    parts, names = (file.get_batch(i) for i in range(file.num_record_batches)), file.schema.names
+                key = next((c for c in ("id", "title") if c in names), None)
+                for p in parts:
+                    ids = p.column(key).cast(pa.string()) if key else pa.nulls(p.num_rows, pa.string())
+                    out = pa.RecordBatch.from_arrays([ids, p.column("text").cast(pa.string())], names=["id", "text"])
+                    yield out.filter(pc.fill_null(pc.greater(pc.utf8_length(out.column("text")), 0), False))
+
+    return files.select("content").mapInArrow(rows, "id string, text string")
 
 
 def read_documents(spark: SparkSession, source: str, catalog: Mapping[str, str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,13 +64,13 @@ class NearDedupSink:
     for candidates. A repeated batch overwrites its own part and sees only the parts before it.
 
     With filter_bits each batch also leaves a Bloom filter of its keys, of a fixed size; keys that no
-    earlier filter knows are not looked for. The sink of a batch is also written as JSON lines below
-    `jsonl`, if that is given, in a directory of its own.
+    earlier filter knows are not looked for. What a batch keeps is also written as JSON lines below
+    `jsonl`, if that is given, in a directory of its own, after the stages of `later`.
     """
 
-    def __init__(self, folder: str, key: str, order: str, text: str = "text", n: int = 13, t: float = 0.8, slots: int = 64, filter_bits: int = 0, jsonl: str | None = None):
+    def __init__(self, folder: str, key: str, order: str, text: str = "text", n: int = 13, t: float = 0.8, slots: int = 64, filter_bits: int = 0, jsonl: str | None = None, later: Callable[[DataFrame], DataFrame] | None = None):
         self.folder, self.key, self.order, self.text, self.n, self.t = folder, key, order, text, n, t
-        self.slots, self.filter_bits, self.jsonl = slots, filter_bits, jsonl
+        self.slots, self.filter_bits, self.jsonl, self.later = slots, filter_bits, jsonl, later
 
     def _stored(self, spark: SparkSession, name: str, before: int | None = None) -> DataFrame | None:
         try:
@@ -144,7 +144,8 @@ class NearDedupSink:
             filter_parts(bands, self.filter_bits).write.mode("overwrite").parquet(f"{self.folder}/filters/{name}")
         out = rows.drop("_at")
         if self.jsonl:
-            out.drop("_tid").write.mode("overwrite").option("ignoreNullFields", "false").json(f"{self.jsonl}/{name}")
+            rows = out.drop("_tid")
+            (self.later(rows) if self.later else rows).write.mode("overwrite").option("ignoreNullFields", "false").json(f"{self.jsonl}/{name}")
         out.withColumn("slot", self._slot("_tid")).write.mode("overwrite").partitionBy("slot").parquet(f"{self.folder}/kept/{name}")
 
 

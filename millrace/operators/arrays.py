@@ -180,3 +180,44 @@ def nucleus(values: Column, p: float) -> Column:
         return F.struct((s["sum"] + x["value"]).alias("sum"), F.when(s["sum"] <= p, F.concat(s["kept"], F.array(x["index"].cast("int")))).otherwise(s["kept"]).alias("kept"))
 
     return F.aggregate(ranked, start, step, lambda s: s["kept"])
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 2048) -> DataFrame:
+    """(query, neighbour, distance, rank): the k nearest vectors of each query by Euclidean distance, itself
+    left out, ties by key. Exact.
+
+    Queries are dealt into blocks and vectors into as many blocks of the same size; a task compares one
+    block of each, by one matrix product, and gives k rows a query, of which the best are taken in the end.
+    """
+    n_q, n_v = queries.count(), vectors.count()
+    if not n_q or not n_v:
+        return queries.select(F.col(key).alias("query"), F.col(key).alias("neighbour"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
+    q_blocks, v_blocks = -(-n_q // block), -(-n_v // block)
+
+    def dealt(df: DataFrame, mine: str, blocks: int, other: str, others: int, side: int) -> DataFrame:
+        rows = df.select(F.lit(side).cast("byte").alias("side"), F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+        rows = rows.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+        return rows.select((F.col("q") * v_blocks + F.col("v_")).alias("cell"), "side", "id", "v")
+
+    both = dealt(queries, "q", q_blocks, "v_", v_blocks, 0).unionByName(dealt(vectors, "v_", v_blocks, "q", q_blocks, 1))
+
+    def best(cell):
+        import pandas as pd
+
+        q, v = cell[cell["side"] == 0], cell[cell["side"] == 1].sort_values("id")
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query": [], "neighbour": [], "distance": []})
+        a, b = np.stack(q["v"].to_numpy()), np.stack(v["v"].to_numpy())
+        ids, out = v["id"].to_numpy(), []
+        d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
+        for i, one in enumerate(q["id"].to_numpy()):
+            row = np.where(ids == one, np.inf, d[i])
+            most = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf  # all that are as near as the k-th
+            at = np.flatnonzero((row <= most + 1e-9) & np.isfinite(row))
+            exact = np.sqrt(((b[at] - a[i]) ** 2).sum(axis=1))
+            out.append(pd.DataFrame({"query": one, "neighbour": ids[at], "distance": exact}))
+        return pd.concat(out)
+
+    found = both.groupBy("cell").applyInPandas(best, "query long, neighbour long, distance double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.sequence import attention_mask, padded
+
 #: What stands before a turn, by role.
 TEMPLATES = {"system": "### System:", "user": "### Human:", "assistant": "### Assistant:"}
 PROMPT_FIELDS = ("prompt", "context", "question", "input", "text")
@@ -124,6 +127,17 @@ def pair_texts(prompt: Column, response: Column, max_prompt: int) -> Column:
     return F.concat(F.left(F.coalesce(prompt, F.lit("")), F.lit(max_prompt)), F.lit("\n\n"), F.coalesce(response, F.lit("")))
 
 
+def encode_pairs(df: DataFrame, ids: Callable[[Column], Column], length: int = 2048, prompt: str = "prompt", sides: tuple[str, str] = ("chosen", "rejected")) -> DataFrame:
+    """df with prompt_ids (at most half of length), and for each side its ids of prompt, blank line and
+    answer, padded to length, and their mask. ids turns a text column into token ids."""
+    out = df.withColumn("prompt_ids", F.slice(ids(F.coalesce(F.col(prompt), F.lit(""))), F.lit(1), F.lit(length // 2)))
+    for side in sides:
+        both = F.concat(F.coalesce(F.col(prompt), F.lit("")), F.lit("\n\n"), F.coalesce(F.col(side), F.lit("")))
+        out = out.withColumn(f"_{side}", ids(both))
+        out = out.withColumn(f"{side}_ids", padded(F.col(f"_{side}"), length)).withColumn(f"{side}_mask", attention_mask(F.col(f"_{side}"), length)).drop(f"_{side}")
+    return out
+
+
 def pointwise(df: DataFrame, key: str) -> DataFrame:
     """(key, side, prompt, response, reward): chosen 1, rejected 0."""
     return df.select(key, "prompt", F.explode(F.array(

@@ -14,22 +14,24 @@ PATTERNS = {
     "social": [r"\bu/\w+", r"\br/\w+", r"\bOP\s+(said|here)", r"\bupvote", r"\bkarma\b", r"@\w+\s+(tweeted|posted)"],
     "books": [r"\bChapter\s+\d+", r"\bPart\s+(I{1,3}|One|Two|Three)", r"\bCopyright\s+©", r"\bISBN[-\s]", r"\bPublished by\b"],
 }
+#: What the described rule looks at; sample=SAMPLE_CHARS does so.
 SAMPLE_CHARS = 5000
 
 
-def keyword_hits(c: Column, domain: str) -> Column:
-    head = F.left(F.coalesce(c, F.lit("")), F.lit(SAMPLE_CHARS))
+def keyword_hits(c: Column, domain: str, sample: int | None = None) -> Column:
+    head = F.coalesce(c, F.lit(""))
+    head = head if sample is None else F.left(head, F.lit(sample))
     out = F.lit(0)
     for p in PATTERNS[domain]:
         out = out + F.regexp_like(head, F.lit("(?i)" + p)).cast("int")
     return out
 
 
-def classify(df: DataFrame, text: str = "text", label: str | None = None, method: str = "hybrid", min_confidence: float | None = None) -> DataFrame:
+def classify(df: DataFrame, text: str = "text", label: str | None = None, method: str = "hybrid", min_confidence: float | None = None, sample: int | None = None) -> DataFrame:
     """df with domain_found and domain_confidence.
 
     method is metadata, keyword or hybrid; a label column wins in metadata and hybrid where it is not
-    null. The keyword rule by definition looks at the first 5,000 characters only. min_confidence is
+    null. The keyword rule looks at whole texts, with sample at that many first characters. min_confidence is
     accepted for compatibility and, as in the described pipeline, changes nothing.
     """
     if method not in ("metadata", "keyword", "hybrid"):
@@ -38,7 +40,7 @@ def classify(df: DataFrame, text: str = "text", label: str | None = None, method
     given = F.col(label) if label else F.lit(None).cast("string")
     if method == "metadata":
         return df.withColumn("domain_found", F.when(labelled, given).otherwise("common_crawl")).withColumn("domain_confidence", F.when(labelled, 1.0).otherwise(0.3))
-    rows = df.withColumn("_hits", F.struct(*[keyword_hits(F.col(text), d).alias(d) for d in PATTERNS]))
+    rows = df.withColumn("_hits", F.struct(*[keyword_hits(F.col(text), d, sample).alias(d) for d in PATTERNS]))
     hits = [F.col("_hits")[d] for d in PATTERNS]
     most = F.greatest(*hits)
     best = F.when(most == 0, "common_crawl")

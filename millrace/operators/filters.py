@@ -5,8 +5,10 @@ Null texts are treated as empty ones. Reasons partition the rows: null means the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,6 +179,43 @@ class ArticleLimits:
     max_word_repetition: float = 0.2
 
 
+#: The names of the limits in settings files.
+ARTICLE_SETTINGS = {
+    "target_language": "language", "min_language_confidence": "confidence", "min_article_length": "min_words", "max_article_length": "max_words",
+    "min_avg_word_length": "min_word_chars", "max_avg_word_length": "max_word_chars", "min_quality_score": "min_quality",
+    "max_char_repetition": "max_char_repetition", "max_word_repetition": "max_word_repetition",
+}
+
+
+def article_limits(settings: dict) -> tuple[ArticleLimits, dict]:
+    """Limits from settings, flat or in sections, under their own or the file's names, and the settings that are none.
+    Names that begin with _ are comments; a name given twice with different values is an error."""
+    known = {f.name for f in fields(ArticleLimits)}
+    found: dict = {}
+    rest: dict = {}
+
+    def read(part: dict, path: str) -> None:
+        for name, value in part.items():
+            if name.startswith("_"):
+                continue
+            field = ARTICLE_SETTINGS.get(name, name)
+            if field in known and not isinstance(value, dict):
+                if found.setdefault(field, value) != value:
+                    raise ValueError(f"{field} is given twice")
+            elif isinstance(value, dict):
+                read(value, f"{path}{name}.")
+            else:
+                rest[path + name] = value
+
+    read(settings, "")
+    return ArticleLimits(**found), rest
+
+
+def load_article_limits(path: str) -> tuple[ArticleLimits, dict]:
+    """article_limits() of a JSON file."""
+    return article_limits(json.loads(Path(path).read_text(encoding="utf-8")))
+
+
 def word_count(t: Column) -> Column:
     return F.size(words(t))
 
@@ -196,7 +235,7 @@ def top_share(items: Column) -> Column:
     return ratio(most.cast("double"), F.size(items))
 
 
-def article_reason(df: DataFrame, raw: str, cleaned: str, right_language: Column | None = None, duplicate: Column | None = None, limits: ArticleLimits = ArticleLimits()) -> DataFrame:
+def article_reason(df: DataFrame, raw: str, cleaned: str, right_language: Column | None = None, duplicate: Column | None = None, limits: ArticleLimits = ArticleLimits(), safe: Column | None = None) -> DataFrame:
     """df with `reject_reason`, the first check an article fails, or null; the checks come in the order
     of the cascade. Numbers are plain columns below the reason, so each is computed once."""
     t = F.col(cleaned)
@@ -232,4 +271,6 @@ def article_reason(df: DataFrame, raw: str, cleaned: str, right_language: Column
     out = out.when((F.col("_top")["letters"] > limits.max_char_repetition) | (F.col("_top")["words"] > limits.max_word_repetition), "too_repetitive")
     if duplicate is not None:
         out = out.when(duplicate, "duplicate")
+    if safe is not None:  # a check of one's own; there is none by default
+        out = out.when(~F.coalesce(safe, F.lit(True)), "unsafe_content")
     return rows.select(*df.columns, out.alias("reject_reason"))

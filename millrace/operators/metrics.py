@@ -80,14 +80,38 @@ def ema(df: DataFrame, key: str, order: str, value: str, decay: float = 0.99) ->
     return ordered_fold(df, key, order, value, start, lambda s, x: F.when(s.isNull(), x).otherwise(s * decay + x * (1 - decay)), "ema")
 
 
-def balance_loss(df: DataFrame, expert: str, probability: str, experts: int, weight: float = 1.0) -> DataFrame:
-    """One row: weight * experts * sum over experts of usage share times mean routing probability.
+def balance_loss(df: DataFrame, expert: str, probability: str, experts: int, weight: float = 1.0, form: str = "choices", per_token: int = 1) -> DataFrame:
+    """One row: weight * experts * sum over experts of usage times mean routing probability.
 
-    Rows are (token, expert, probability, chosen) for every expert of a token.
+    Rows are (token, expert, probability, chosen) for every expert of a token. The usage of an expert is
+    its share of all choices (form choices), its choices by the number of tokens (tokens), or the latter
+    by per_token, the number of choices a token has (sequence).
     """
-    per = df.groupBy(expert).agg(F.sum(F.col("chosen").cast("double")).alias("c"), F.avg(probability).alias("p"))
+    if form not in ("choices", "tokens", "sequence"):
+        raise ValueError(f"unknown form {form}")
+    per = df.groupBy(expert).agg(F.sum(F.col("chosen").cast("double")).alias("c"), F.avg(probability).alias("p"), F.count("*").alias("tokens"))
     total = F.sum("c").over(Window.partitionBy(F.lit(1)))  # one row per expert
-    return per.withColumn("f", F.try_divide("c", total)).agg((F.sum(F.col("f") * F.col("p")) * experts * weight).alias("balance_loss"))
+    usage = F.try_divide("c", total) if form == "choices" else F.try_divide("c", F.col("tokens"))
+    scale = weight * experts / (per_token if form == "sequence" else 1)
+    return per.withColumn("f", usage).agg((F.sum(F.col("f") * F.col("p")) * scale).alias("balance_loss"))
+
+
+def capacity_metrics(df: DataFrame, step: str, expert: str, experts: int, capacity: int) -> DataFrame:
+    """(step, tokens, overflow, capacity_used): choices beyond an expert's capacity, and what the others fill of all capacity."""
+    n = df.groupBy(step, expert).agg(F.count("*").alias("n"))
+    per = n.groupBy(step).agg(F.sum("n").alias("tokens"), F.sum(F.greatest(F.col("n") - capacity, F.lit(0))).alias("overflow"))
+    used = (F.col("tokens") - F.col("overflow")) / F.lit(capacity * experts) if capacity * experts > 0 else F.lit(0.0)
+    return per.withColumn("capacity_used", used.cast("double"))
+
+
+def expert_balance(df: DataFrame, expert: str, experts: int, weights: str) -> DataFrame:
+    """One row: balance (deviation by mean of the experts' choices), least and largest load, and the mean
+    of the largest weight of a token; rows are tokens with an array of experts and one of weights."""
+    chosen = df.select(F.explode(expert).alias("expert")).select(F.col("expert").cast("int"))
+    n = all_groups(chosen.groupBy("expert").agg(F.count("*").alias("n")), "expert", experts)
+    loads = n.agg((F.stddev_samp("n") / (F.avg("n") + 1e-6)).alias("balance"), (F.min("n") / F.sum("n")).alias("min_load"), (F.max("n") / F.sum("n")).alias("max_load"))
+    sure = df.agg(F.avg(F.array_max(weights)).alias("router_confidence"))
+    return loads.withColumn("one", F.lit(1)).join(sure.withColumn("one", F.lit(1)), "one").drop("one")  # one row each
 
 
 def average_metrics(df: DataFrame, key: str, value: str, skip: tuple[str, ...] = ("count",)) -> DataFrame:

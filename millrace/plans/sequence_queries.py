@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.chars import SPACE
+from millrace.functions.tokenizer import bpe_ids, bpe_text
 from millrace.operators import conversation as C
 from millrace.operators import sequence as S
 from millrace.plans.registry import query
 from millrace.session import table
 
-L = 64
+L = 2048  # the length of training sequences
 IDS = f"list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}+'), lambda x: x <> ''), lambda w: CAST(CAST('0x' || left(md5(w), 7) AS BIGINT) % 50000 AS INT))"
 SEQ_SQL = f"""WITH a AS (SELECT doc_id, {IDS} AS all_ids FROM documents),
 b AS (SELECT doc_id, list_slice(all_ids, 1, {L}) AS kept FROM a),
@@ -52,9 +53,10 @@ def mtp_labels_compat(spark, d):
     return _seq(spark, d).select("doc_id", S.mtp_labels(F.col("ids"), F.col("mask"), compat=True).alias("labels"))
 
 
-@query(SEQ_SQL + "SELECT CAST(sum(list_sum(mask)) AS BIGINT) AS tokens, count(*) AS rows FROM s")
+@query(SEQ_SQL + "SELECT CAST(sum(len(all_ids)) AS BIGINT) AS tokens, count(*) AS rows FROM a")
 def token_count(spark, d):
-    return S.count_tokens(_seq(spark, d), "mask")
+    """Tokens of whole texts."""
+    return S.count_tokens(table(spark, d, "documents").select(F.transform(S.word_ids(F.col("text")), lambda _: F.lit(1)).alias("mask")), "mask")
 
 
 @query(
@@ -148,3 +150,41 @@ def reward_rows(spark, d):
 @query("SELECT pair_id, left(coalesce(prompt, ''), 100) || chr(10) || chr(10) || coalesce(chosen, '') AS text FROM preference")
 def pair_texts(spark, d):
     return table(spark, d, "preference").select("pair_id", C.pair_texts(F.col("prompt"), F.col("chosen"), 100).alias("text"))
+
+
+R = "'### Assistant:'"
+TALK = f"CASE WHEN pair_id % 3 = 0 THEN prompt ELSE coalesce(prompt, '') || {R} || coalesce(chosen, '') END"
+
+
+@query(
+    f"""WITH t AS (SELECT pair_id, {TALK} AS t FROM preference), p AS (SELECT pair_id, t, string_split(t, {R}) AS p FROM t)
+SELECT pair_id, CASE WHEN len(p) > 1 THEN trim(p[1], ' ') ELSE t END AS user, CASE WHEN len(p) > 1 THEN trim(p[2], ' ') END AS assistant FROM p WHERE t IS NOT NULL"""
+)
+def text_to_conversation(spark, d):
+    talk = F.when(F.col("pair_id") % 3 == 0, F.col("prompt")).otherwise(F.concat(F.coalesce("prompt", F.lit("")), F.lit("### Assistant:"), F.coalesce("chosen", F.lit(""))))
+    rows = table(spark, d, "preference").select("pair_id", talk.alias("t")).where("t IS NOT NULL").select("pair_id", C.text_to_conversation(F.col("t")).alias("c"))
+    return rows.select("pair_id", F.col("c")[0]["content"].alias("user"), F.try_element_at("c", F.lit(2))["content"].alias("assistant"))
+
+
+@query("SELECT pair_id, prompt, CASE WHEN coalesce(annotator % 2 = 0, false) THEN chosen ELSE rejected END AS chosen, CASE WHEN coalesce(annotator % 2 = 0, false) THEN rejected ELSE chosen END AS rejected FROM preference")
+def pref_choice(spark, d):
+    rows = table(spark, d, "preference")
+    choice = F.coalesce(F.col("annotator") % 2, F.lit(1))
+    # the key goes along in the prompt's struct
+    out = C.from_choice(rows, F.struct("pair_id", "prompt"), F.col("chosen"), F.col("rejected"), choice)
+    return out.select("prompt.pair_id", "prompt.prompt", "chosen", "rejected")
+
+
+@query("SELECT pair_id, coalesce(prompt, '') AS prompt, coalesce(prompt, '') || chr(10) || chr(10) || coalesce(chosen, '') AS chosen, coalesce(prompt, '') || chr(10) || chr(10) || coalesce(rejected, '') AS rejected FROM preference")
+def pair_tokens(spark, d):
+    """Pairs as ids of a byte-level tokenizer, and what the ids within the masks stand for."""
+    ids, text = bpe_ids(spark), bpe_text(spark)
+    rows = C.encode_pairs(table(spark, d, "preference"), ids, 8192)
+    inside = lambda side: text(F.slice(f"{side}_ids", F.lit(1), F.aggregate(f"{side}_mask", F.lit(0), lambda s, x: s + x)))
+    return rows.select("pair_id", text(F.col("prompt_ids")).alias("prompt"), inside("chosen").alias("chosen"), inside("rejected").alias("rejected"))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def bpe_round_trip(spark, d):
+    ids, text = bpe_ids(spark), bpe_text(spark)
+    return table(spark, d, "documents").select("doc_id", text(ids(F.col("text"))).alias("text"))

@@ -195,7 +195,7 @@ def quality_classifier(spark, d):
 HITS = {name: " + ".join(f"regexp_matches(h, '(?i){q(p)}')::INT" for p in patterns) for name, patterns in domains.PATTERNS.items()}
 DOMAIN_SQL = f"""(SELECT doc_id, text, CASE WHEN greatest({", ".join(HITS)}) = 0 THEN 'common_crawl' {" ".join(f"WHEN {k} = greatest({', '.join(HITS)}) THEN '{k}'" for k in HITS)} END AS domain,
   CASE WHEN greatest({", ".join(HITS)}) = 0 THEN 0.5::DOUBLE ELSE least(greatest({", ".join(HITS)}) / 3.0::DOUBLE, 1.0::DOUBLE) END AS confidence
-  FROM (SELECT doc_id, text, {", ".join(f"{v} AS {k}" for k, v in HITS.items())} FROM (SELECT doc_id, text, left(coalesce(text, ''), 5000) AS h FROM documents)))"""
+  FROM (SELECT doc_id, text, {", ".join(f"{v} AS {k}" for k, v in HITS.items())} FROM (SELECT doc_id, text, coalesce(text, '') AS h FROM documents)))"""
 
 
 @query(f"SELECT doc_id, domain, round(confidence, 6) AS confidence FROM {DOMAIN_SQL}")

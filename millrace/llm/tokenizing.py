@@ -16,10 +16,7 @@ table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import cache
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,35 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.runs import column
+from millrace.functions.tokenizer import RANKS, encoding, parsed, ranks_file
 from millrace.session import cut
 
-RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the word pattern of the tokenizer's file.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACE = r"\t-\r \x{85}\p{Z}"
 JAVA_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Words of a block at most, and bytes of them; one text that is longer is a block of its own.
 BLOCK_WORDS, BLOCK_BYTES = 2_000_000, 64 << 20
 
 
-def ranks_file(spark: SparkSession, path: str = RANKS) -> bytes:
-    """The tokenizer's file of fixed size, read on the driver; executors get its bytes, not its path."""
-    if "://" in path:
-        return bytes(spark.read.format("binaryFile").load(path).first()["content"])
-    return Path(path).read_bytes()
-
-
-def parsed(ranks: bytes) -> dict[bytes, int]:
-    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
-
-
-@cache
-def encoding(ranks: bytes):
-    import tiktoken
-
-    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=parsed(ranks), special_tokens={})
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, number = TaskContext.get().partitionId(), 0
     for b in batches:

@@ -54,7 +54,11 @@ DECLINES = {
 }
 _DECLINES = re.compile("|".join(DECLINES.values()))
 #: The same for RE2, whose \\b and \\w are of ASCII only, with less asked: what does not match it does not match _DECLINES.
-_MAY_DECLINE = _DECLINES.pattern.replace(r"\b", "").replace(r"\w", r"\S")
+def _for_re2(pattern: str) -> str:
+    return pattern.replace(r"\b", "").replace(r"\w", r"\S")
+
+
+_MAY_DECLINE = _for_re2(_DECLINES.pattern)
 _WANTS_REFUSAL = re.compile(
     r"(?:note|letter|message|reply|e-?mail|speech|answer|text)\b.{0,60}\b(?:turn\w* down|declin\w+|refus\w+|reject\w+|says? no)"
     r"|(?:schreib|brief|nachricht|mail|notiz).{0,60}(?:ablehn|absag|lehnt)|(?:note|lettre|message|mot).{0,60}(?:refus|déclin)|(?:nota|carta|mensaje|correo).{0,60}(?:rechaz|declin)|(?:письм|записк|сообщени|ответ).{0,60}(?:отказ|отклон)",
@@ -98,6 +102,7 @@ REQUESTS = {
     "ru": r"ответь(?:те)?|отвечай(?:те)?|ответить|напиши(?:те)?|пиши(?:те)?|переведи(?:те)?|перевести|скажи(?:те)?|сказать|объясни(?:те)?|опиши(?:те)?|перескажи(?:те)?|дай(?:те)?|расскажи(?:те)?",
 }
 _VERB = rf"(?:{'|'.join(REQUESTS.values())})(?:[- ](?:moi|nous|me|mir|uns|us|мне))?"
+_MAY_ASK, _MAY_WANT = _for_re2("|".join(LANGUAGES.values())), "(?s)" + _for_re2(_WANTS_REFUSAL.pattern)
 #: The forms of a request: a verb at the start or after a joining word, a polite word, a question to the reader, a wish, or a rule for the answer.
 _REQUEST = re.compile(
     rf"^[\W_]*(?:(?:and|but|now|then|also|so|next|finally|kindly|just|only|always|instead|und|aber|dann|nun|jetzt|et|mais|puis|maintenant|y|pero|luego|ahora|и|но|а|теперь|потом)\W+)*{_VERB}\b"
@@ -205,8 +210,8 @@ def language(text: str, spoken_in: dict[str, tuple[str, ...]]) -> str | None:
 class Asked:
     """A prompt and what is known of it, each worked out once for all of its answers."""
 
-    def __init__(self, prompt: str | None, spoken_in: dict[str, tuple[str, ...]]):
-        self.prompt, self.spoken_in = prompt or "", spoken_in
+    def __init__(self, prompt: str | None, spoken_in: dict[str, tuple[str, ...]], may_ask: bool | None = True, may_want: bool | None = True):
+        self.prompt, self.spoken_in, self.may_ask, self.may_want = prompt or "", spoken_in, may_ask, may_want
         self.there = bool(prompt and visible(prompt))
         self.turn = last_turn(prompt) if self.there else ""
 
@@ -223,7 +228,7 @@ class Asked:
         """The languages an answer may have; empty where any will do."""
         if _REPEATS.match(self.turn):
             return set()
-        if asked := asked_languages(self.turn):
+        if self.may_ask and (asked := asked_languages(self.turn)):
             return set(asked)
         two = {language(t, self.spoken_in) for t in {self.turn, self.prompt.strip()}}
         return two - {None}
@@ -231,7 +236,7 @@ class Asked:
     @cached_property
     def refusal(self) -> bool:
         """Whether a refusal is what is to be written."""
-        return bool(_WANTS_REFUSAL.search(self.turn.lower()))
+        return bool(self.may_want and _WANTS_REFUSAL.search(self.turn.lower()))
 
 
 def asked_languages(turn: str) -> list[str]:
@@ -385,10 +390,12 @@ def _judge(common: dict[str, set[str]], sides: tuple[str, ...]):
         for b in batches:
             out = []
             pairs, prompts, *answers = (c.to_pylist() for c in b.columns)
-            low = (pa.array([a and a.lower().replace("’", "'") for a in side], pa.string()) for side in answers)
-            may = [pc.match_substring_regex(a, _MAY_DECLINE).to_pylist() for a in low]
-            for pair, prompt, *each in zip(pairs, prompts, *answers, *may):
-                asked = Asked(prompt, spoken_in)
+            low = lambda texts: pa.array([a and a.lower().replace("’", "'") for a in texts], pa.string())
+            may = [pc.match_substring_regex(low(side), _MAY_DECLINE).to_pylist() for side in answers]
+            of_prompts = low(prompts)
+            first = [pc.match_substring_regex(of_prompts, p).to_pylist() for p in (_MAY_ASK, _MAY_WANT)]
+            for pair, prompt, ask, want, *each in zip(pairs, prompts, *first, *answers, *may):
+                asked = Asked(prompt, spoken_in, ask, want)
                 out += [judge(pair, side, asked, answer, m) for side, answer, m in zip(sides, each, each[len(sides) :])]
             columns = list(zip(*out)) if out else [()] * len(_NAMES)
             runs = runs_of([words or [] for words in columns[-1]])
@@ -405,19 +412,21 @@ _SCHEMA = "pair_id long, side string, other string, opening long, declines boole
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seeds = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64))
     for b in batches:
-        key, ids = [], []
-        for one, runs in zip(b.column("opening").to_pylist(), b.column("runs").to_pylist()):
-            if not runs:
+        for at in range(0, b.num_rows, 2048):
+            part = b.slice(at, 2048)
+            runs = part.column("runs")
+            size = pc.list_value_length(runs).to_numpy(zero_copy_only=False).astype(np.int64)
+            some = size > 0
+            if not some.any():
                 continue
-            h = np.array(runs, np.int64).view(np.uint64)
-            low = np.min(mix(h[:, None] ^ seeds[None, :]), axis=0).reshape(BANDS, BAND_ROWS)
-            k = np.arange(1, BANDS + 1, dtype=np.uint64)
+            h = runs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            starts = (np.cumsum(size) - size)[some]
+            low = np.minimum.reduceat(mix(h[:, None] ^ seeds[None, :]), starts, axis=0).reshape(-1, BANDS, BAND_ROWS)
+            key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), low.shape[:2]).copy()
             for j in range(BAND_ROWS):
-                k = mix(k * np.uint64(0x9E3779B97F4A7C15) + low[:, j])
-            key.append(k.view(np.int64))
-            ids.append(np.full(BANDS, one, np.int64))
-        if key:
-            yield pa.RecordBatch.from_arrays([np.concatenate(key), np.concatenate(ids)], names=["key", "opening"])
+                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[:, :, j])
+            ids = part.column("opening").to_numpy(zero_copy_only=False)[some]
+            yield pa.RecordBatch.from_arrays([key.reshape(-1).view(np.int64), np.repeat(ids, BANDS)], names=["key", "opening"])
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:

@@ -429,15 +429,31 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([key.reshape(-1).view(np.int64), np.repeat(ids, BANDS)], names=["key", "opening"])
 
 
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and opening: each but the first of its key, with that first one."""
+    key_before = leader_before = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, opening_ = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "opening"))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = key[0] != key_before if key_before is not None else True
+        at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+        leader = np.where(at >= 0, opening_[np.maximum(at, 0)], leader_before if leader_before is not None else 0)
+        key_before, leader_before = key[-1], leader[-1]
+        keep = ~new
+        yield pa.RecordBatch.from_arrays([key[keep], leader[keep], opening_[keep]], names=["key", "leader", "opening"])
+
+
 def opening_clusters(openings: DataFrame) -> DataFrame:
     """(opening, cluster) of (opening, runs): the smallest opening it is connected with by similar ones; openings should be cut.
 
     Openings like the leader of a band are linked through it; only the others of the band are compared
     with all of it, so the pairs of a template's many variants are never formed.
     """
-    bands = cut(openings.mapInArrow(_bands, "key long, opening long"))
-    leaders = bands.groupBy("key").agg(F.min("opening").alias("leader"), F.count("*").alias("n")).where("n > 1").select("key", "leader")
-    led = cut(bands.join(leaders.hint("merge"), "key").where("leader <> opening"))
+    bands = openings.mapInArrow(_bands, "key long, opening long").repartition("key").sortWithinPartitions("key", "opening")
+    led = cut(bands.mapInArrow(_led, "key long, leader long, opening long"))
     first = cut(_similar(led.selectExpr("leader AS a", "opening AS b").distinct(), openings))
     unlike = cut(led.join(first.selectExpr("a AS leader", "b AS opening").hint("merge"), ["leader", "opening"], "left_anti").select("key", "opening"))
     links = first
@@ -456,17 +472,19 @@ def _similar(pairs: DataFrame, openings: DataFrame) -> DataFrame:
     return met.where(common >= SIMILAR * (F.size("runs") + F.size("theirs") - common)).select("a", "b")
 
 
-def refused_by_runs(told: DataFrame) -> DataFrame:
+def refused_by_runs(told: DataFrame, openings: DataFrame) -> DataFrame:
     """(opening, by_run) of the openings that hold runs of a refusal: such as recur under at least PROMPTS
-    topics, nearly all of them refusing. told has opening, topic, refuses (0 or 1) and runs."""
+    topics, nearly all of them refusing. told has opening, topic and refuses (0 or 1), openings the runs."""
     # only runs of refusing openings can be of a refusal; all openings that hold them have a say in it
-    some = told.where("refuses > 0").select("topic", F.explode("runs").alias("run"))
-    recurring = cut(some.groupBy("run").agg(F.count_distinct("topic").alias("n")).where(F.col("n") >= PROMPTS).select("run"))
-    need = F.least(F.lit(REFUSED_RUNS), F.size("runs")).alias("need")
-    held = cut(salted_join(told.select("opening", "topic", "refuses", need, F.explode("runs").alias("run")), recurring, "run", "topic", "inner"))
-    refusing = cut(held.groupBy("run").agg(F.avg("refuses").alias("share")).where("share >= 0.8").select("run"))
-    each = salted_join(held.select("opening", "run", "need").distinct(), refusing, "run", "opening", "inner")
-    return each.groupBy("opening").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("opening", F.lit(True).alias("by_run"))
+    refusing = told.where("refuses > 0").select("opening", "topic")
+    some = salted_join(refusing, cut(openings.join(refusing.select("opening").distinct(), "opening", "left_semi")), "opening", "topic", "inner")
+    recurring = cut(some.select("topic", F.explode("runs").alias("run")).groupBy("run").agg(F.count_distinct("topic").alias("n")).where(F.col("n") >= PROMPTS).select("run"))
+    each = salted_join(openings.select("opening", F.least(F.lit(REFUSED_RUNS), F.size("runs")).alias("need"), F.explode("runs").alias("run")), recurring, "run", "opening", "inner")
+    holding = cut(each.groupBy("opening").agg(F.collect_list("run").alias("held"), F.first("need").alias("need")))  # at most OPENING_WORDS runs
+    share = salted_join(told, holding.select("opening", "held"), "opening", "topic", "inner").select("refuses", F.explode("held").alias("run")).groupBy("run").agg(F.avg("refuses").alias("share"))
+    refusing = cut(share.where("share >= 0.8").select("run"))
+    left = salted_join(holding.select("opening", "need", F.explode("held").alias("run")), refusing, "run", "opening", "inner")
+    return left.groupBy("opening").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("opening", F.lit(True).alias("by_run"))
 
 
 def answer_flags(pairs: DataFrame, common_words: DataFrame, prompt: str = "prompt", sides: tuple[str, ...] = ("chosen", "rejected"), key: str = "pair_id") -> DataFrame:
@@ -478,14 +496,14 @@ def answer_flags(pairs: DataFrame, common_words: DataFrame, prompt: str = "promp
     every = pairs.select(F.col(key).cast("long").alias("pair_id"), F.col(prompt).alias("prompt"), *[F.col(s).alias(f"side{i}") for i, s in enumerate(sides)])
     rows = cut(every.mapInArrow(_judge(common, sides), _SCHEMA))  # read several times below
     # one row for each opening and topic, then one for each opening
-    topics = cut(rows.where("opening IS NOT NULL").groupBy("opening", "topic").agg(F.max(F.col("declines") | F.col("evades")).alias("refuses"), F.max("wanted").alias("wanted"), F.first("runs").alias("runs")))
-    openings = cut(topics.groupBy("opening").agg(F.first("runs").alias("runs")))
+    topics = cut(rows.where("opening IS NOT NULL").groupBy("opening", "topic").agg(F.max(F.col("declines") | F.col("evades")).alias("refuses"), F.max("wanted").alias("wanted")))
+    openings = cut(rows.where("opening IS NOT NULL").groupBy("opening").agg(F.first("runs").alias("runs")))
     clusters = cut(opening_clusters(openings))
     told = topics.where("NOT wanted").withColumn("refuses", F.col("refuses").cast("double"))
     state = salted_join(told.select("opening", "topic", "refuses"), clusters, "opening", "topic", "inner").groupBy("cluster").agg(F.count_distinct("topic").alias("prompts"), F.avg("refuses").alias("refusing"))
     recurring = F.coalesce(F.col("prompts") >= PROMPTS, F.lit(False))
     refusing = F.coalesce(F.col("refusing") >= 0.5, F.lit(False))
-    labels = clusters.join(state, "cluster", "left").join(refused_by_runs(told), "opening", "left")
+    labels = clusters.join(state, "cluster", "left").join(refused_by_runs(told, openings), "opening", "left")
     by_run = F.col("by_run").isNotNull()
     # only what is a template is told to the rows; all others decide by their own words
     labels = cut(labels.where(recurring | by_run).select("opening", ((recurring & refusing) | by_run).alias("template_refuses")))

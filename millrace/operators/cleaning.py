@@ -60,6 +60,7 @@ BOILERPLATE = (
     r"==\s*External links\s*==.*",
     r"==\s*See also\s*==.*",
 )
+#: The sections of an article that hold no text of its own.
 SECTIONS = ("References", "Bibliography", "Sources")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 DOMAINS = ("common_crawl", "wikipedia", "code", "academic", "books", "news", "social")
 PRESETS = {
     "default": {"common_crawl": 0.45, "wikipedia": 0.08, "books": 0.05, "academic": 0.15, "news": 0.04, "social": 0.03, "code": 0.20},
-    "second": {"common_crawl": 0.50, "code": 0.15, "wikipedia": 0.12, "books": 0.10, "academic": 0.08, "news": 0.03, "social": 0.02},
+    "half_web": {"common_crawl": 0.50, "code": 0.15, "wikipedia": 0.12, "books": 0.10, "academic": 0.08, "news": 0.03, "social": 0.02},
     "balanced": {d: 1 / 7 for d in DOMAINS},
 }
 

@@ -178,6 +178,16 @@ def stream_windows(spark, d):
     return out.withColumn("total", F.round("total", 4))
 
 
+@query(
+    """WITH e AS (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS before FROM events),
+s AS (SELECT event_type, ts, sum(CASE WHEN before IS NULL OR ts > before + INTERVAL 5 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT event_type, min(ts) AS begun, count(*) AS n FROM s GROUP BY event_type, k"""
+)
+def stream_sessions(spark, d):
+    s = streams.sessions(_stream(spark, d, "events"), "ts", "event_type", "5 minutes")
+    return _drain(s.select("event_type", F.col("session_window.start").alias("begun"), "n"), spark, "stream_sessions", "complete")
+
+
 @query(SURVIVORS_SQL)
 def stream_near_dedup(spark, d):
     return _near(spark, d)

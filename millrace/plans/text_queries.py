@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import tables
 from millrace.functions.chars import ALNUM, ALPHA, NOT_SPACE, SPACE, UPPER, WORD, count, words
 from millrace.operators import cleaning, dedup, domains, filters, quality
 from millrace.plans.registry import query
@@ -274,3 +275,11 @@ def sanitize_reasons_full(spark, d):
     rows = rows.join(twice, "doc_id", "left").withColumn("english", language.in_language("t", language.train(docs)))
     out = filters.article_reason(rows, "raw", "t", F.col("english"), F.coalesce("twice", F.lit(False)))
     return out.select("doc_id", F.coalesce("reject_reason", F.lit("pass")).alias("reason"))
+
+
+@query("SELECT doc_id, count(DISTINCT run) AS runs FROM (SELECT doc_id, CASE WHEN length(text) <= 40 THEN text ELSE substr(text, i, 40) END AS run FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 39, 1) + 1)) AS i FROM documents WHERE length(text) > 0)) GROUP BY 1")
+def lateral_runs(spark, d):
+    """A table function in SQL; operators use the vectorised functions instead."""
+    tables.register(spark)
+    _docs(spark, d).where("length(text) > 0").select("doc_id", "text").createOrReplaceTempView("texts_with_runs")
+    return spark.sql("SELECT doc_id, count(run) AS runs FROM texts_with_runs, LATERAL text_runs(text, 40) GROUP BY doc_id")

@@ -24,6 +24,21 @@ def second_hash(c: Column | str) -> Column:
     return F.xxhash64(F.lit("second"), c)
 
 
+def _identify(rows: DataFrame, clash: DataFrame | None, text: str | None, name: str) -> DataFrame:
+    """rows with the id; their hashes are columns _a and _b, or of text."""
+    a, b = (F.col("_a"), F.col("_b")) if text is None else (first_hash(text), second_hash(text))
+    if clash is None:
+        return rows.withColumn(name, a).drop("_a", "_b")
+    out = rows.withColumn("_a", a).join(sent(clash), "_a", "left")
+    return out.withColumn(name, F.when(F.col("_clash"), F.xxhash64("_a", b)).otherwise(F.col("_a"))).drop("_a", "_b", "_clash")
+
+
+def _clashes(hashes: DataFrame) -> DataFrame | None:
+    found = hashes.groupBy("_a").agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")).where("lo <> hi").select("_a", F.lit(True).alias("_clash"))
+    found = cut(found)
+    return None if found.isEmpty() else found
+
+
 def with_text_id(df: DataFrame, text: str = "text", name: str = "tid") -> DataFrame:
     """df with a 64-bit id that is equal for equal texts and different for others.
 
@@ -31,13 +46,15 @@ def with_text_id(df: DataFrame, text: str = "text", name: str = "tid") -> DataFr
     aggregation of hashes; their id is made of both hashes instead. At 10^11 texts there are some
     hundreds of them.
     """
-    both = df.select(first_hash(text).alias("_a"), second_hash(text).alias("_b"))
-    clash = both.groupBy("_a").agg(F.min("_b").alias("lo"), F.max("_b").alias("hi")).where("lo <> hi").select("_a", F.lit(True).alias("_clash"))
-    clash = cut(clash)
-    if clash.isEmpty():
-        return df.withColumn(name, first_hash(text))
-    out = df.withColumn("_a", first_hash(text)).join(sent(clash), "_a", "left")
-    return out.withColumn(name, F.when(F.col("_clash"), F.xxhash64("_a", second_hash(text))).otherwise(F.col("_a"))).drop("_a", "_clash")
+    return _identify(df, _clashes(df.select(first_hash(text).alias("_a"), second_hash(text).alias("_b"))), text, name)
+
+
+def text_ids(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """df with_text_id() as tid, and a written table of its other columns and tid: the texts are read once for both."""
+    others = [c for c in df.columns if c != text]
+    hashes = cut(df.select(*others, first_hash(text).alias("_a"), second_hash(text).alias("_b")))
+    clash = _clashes(hashes)
+    return _identify(df, clash, text, "tid"), _identify(hashes, clash, None, "tid")
 
 
 def pairs_within(members: DataFrame, keys: list[str], member: str, block: int = BLOCK) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from millrace.functions.arrow import shingles
 from millrace.functions.chars import let, words
-from millrace.functions.groups import pairs_within, with_text_id
+from millrace.functions.groups import pairs_within, text_ids, with_text_id
 from millrace.functions.rolling import code_points, mix, rolling
 from millrace.functions.similar import minima, similar_runs, similar_texts
 from millrace.session import cut
@@ -219,8 +219,8 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", order: str | None = None,
     order = order or key
     one = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text"))
     if method in ("minhash", "fed"):
-        rows = with_text_id(one)
-        ats = cut(rows.select("tid", F.struct("ord", "key").alias("id")))
+        rows, ids = text_ids(one)
+        ats = ids.select("tid", F.struct("ord", "key").alias("id"))
         pairs = cut(similar_texts(rows, n, t))
         first = ats.groupBy("tid").agg(F.min("id").alias("at"))
         # equal texts are compared once; their rows come back at the end
@@ -252,26 +252,20 @@ def expand_pairs_with(pairs: DataFrame, ats: DataFrame) -> DataFrame:
 def greedy_survivors(pairs: DataFrame) -> DataFrame:
     """(dup, kept) of verified pairs (lo, hi): every dropped node and the first kept node it is similar to.
 
-    Rounds over the pair graph only: a node none of whose earlier neighbours is undecided is kept; a
-    node with a kept earlier neighbour is dropped. Each round is written, so lineage stays short.
+    Rounds over the pair graph only: an open node with a kept earlier neighbour is dropped, one with
+    none that is kept or open is kept. Each round is written once, so lineage stays short.
     """
     pairs = cut(pairs.select("lo", "hi"))
-    nodes = cut(pairs.select(F.col("lo").alias("at")).union(pairs.select("hi")).distinct())
-    kept = nodes.limit(0)
-    dropped = pairs.select(F.col("hi").alias("dup"), F.col("lo").alias("kept")).limit(0)
-    while True:
-        open_pairs = pairs.join(nodes.withColumnRenamed("at", "lo"), "lo", "left_semi").join(nodes.withColumnRenamed("at", "hi"), "hi", "left_semi")
-        blocked = open_pairs.select(F.col("hi").alias("at")).distinct()
-        new = cut(nodes.join(blocked, "at", "left_anti"))
-        if new.isEmpty():
-            break
-        kept = cut(kept.union(new))
-        hit = pairs.join(nodes.withColumnRenamed("at", "hi"), "hi", "left_semi").join(new.withColumnRenamed("at", "lo"), "lo", "left_semi")
-        out = cut(hit.groupBy(F.col("hi").alias("dup")).agg(F.min("lo").alias("kept")))
-        dropped = dropped.union(out)
-        nodes = cut(nodes.join(new, "at", "left_anti").join(out.select(F.col("dup").alias("at")), "at", "left_anti"))
-    # the first kept neighbour over all rounds, not only of the round that dropped the node
-    by = pairs.join(kept.withColumnRenamed("at", "lo"), "lo", "left_semi").join(dropped.select(F.col("dup").alias("hi")), "hi", "left_semi")
+    later = pairs.select(F.col("hi").alias("at")).distinct().withColumn("state", F.lit("open"))
+    first = pairs.select(F.col("lo").alias("at")).distinct().join(later, "at", "left_anti").withColumn("state", F.lit("kept"))
+    nodes = cut(first.unionByName(later))
+    while not nodes.where("state = 'open'").isEmpty():
+        before = pairs.join(nodes.withColumnRenamed("at", "lo"), "lo").groupBy(F.col("hi").alias("at")).agg(F.max(F.col("state") == "kept").alias("kept"), F.max(F.col("state") == "open").alias("open"))
+        decided = F.when(F.col("state") != "open", F.col("state")).when(F.col("kept"), "dropped").when(F.col("open"), "open").otherwise("kept")
+        nodes = cut(nodes.join(before, "at", "left").select("at", decided.alias("state")))
+    kept = nodes.where("state = 'kept'").select(F.col("at").alias("lo"))
+    dropped = nodes.where("state = 'dropped'").select(F.col("at").alias("hi"))
+    by = pairs.join(kept, "lo", "left_semi").join(dropped, "hi", "left_semi")
     return by.groupBy(F.col("hi").alias("dup")).agg(F.min("lo").alias("kept"))
 
 
@@ -294,9 +288,9 @@ def near_dedup(df: DataFrame, method: str = "minhash", key: str = "doc_id", orde
     if method == "exact_hash":
         return exact_dedup(rows, text, order)
     if method in ("minhash", "fed", "both"):
-        one = with_text_id(rows.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text")))
+        one, ids = text_ids(rows.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text")))
         # a copy is similar to its first row, which decides for it
-        first = cut(one.groupBy("tid").agg(F.min(F.struct("ord", "key")).alias("at")))
+        first = cut(ids.groupBy("tid").agg(F.min(F.struct("ord", "key")).alias("at")))
         pairs = cut(similar_texts(one, n, threshold))
         if pairs.isEmpty():
             kept = first.select("at.key")

@@ -19,21 +19,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.groups import components, expand_pairs, pairs_within, with_text_id
+from millrace.functions.groups import components, expand_pairs, pairs_within, text_ids
 from millrace.functions.similar import similar_texts
 from millrace.session import cut
 
 
-def _texts(df: DataFrame, key: str, text: str, min_chars: int) -> DataFrame:
-    rows = df.where(F.length(text) >= min_chars).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return with_text_id(rows).select("id", "tid", "text")
+def _texts(df: DataFrame, key: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, tid, text) and members (id, tid)."""
+    return text_ids(df.where(F.length(text) >= min_chars).select(F.col(key).alias("id"), F.col(text).alias("text")))
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "ord", text: str = "text", min_chars: int = 200, k: int = 13, t: float = 0.8, **how) -> DataFrame:
     """(id_a, id_b): all pairs of rows whose texts are equal or near-duplicates, id_a < id_b."""
-    texts = _texts(df, key, text, min_chars)
+    texts, members = _texts(df, key, text, min_chars)
     pairs = similar_texts(texts, k, t, **how).select("a", "b")
-    members = cut(texts.select("id", "tid"))
     shared = members.groupBy("tid").count().where("count > 1")
     copies = pairs_within(members.join(shared.select("tid").hint("merge"), "tid", "left_semi"), ["tid"], "id")
     rows = expand_pairs(pairs, members).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -42,9 +41,8 @@ def near_duplicate_pairs(df: DataFrame, key: str = "ord", text: str = "text", mi
 
 def _classed(df: DataFrame, key: str, text: str, min_chars: int, k: int, t: float, how: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members (id, tid), classes (tid, text_class) and links (a, b, jaccard) between tids."""
-    texts = _texts(df, key, text, min_chars)
+    texts, members = _texts(df, key, text, min_chars)
     links = cut(similar_texts(texts, k, t, **how))
-    members = cut(texts.select("id", "tid"))
     return members, cut(members.groupBy("tid").agg(F.min("id").alias("text_class"))), links
 
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.groups import expand_pairs, pairs_within, sent, with_text_id
+from millrace.functions.groups import expand_pairs, pairs_within, sent, text_ids
 from millrace.functions.rolling import code_points, mix, rolling, sliding
 from millrace.functions.runs import column, whole_runs
 from millrace.session import cut
@@ -292,16 +292,15 @@ def shared_stretches(texts: DataFrame, span: int = 200, hot: int = HOT) -> DataF
     return out
 
 
-def _texts(df: DataFrame, key: str, text: str, span: int) -> DataFrame:
-    rows = df.where(F.length(text) >= span).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return with_text_id(rows).select("id", "tid", "text")
+def _texts(df: DataFrame, key: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
+    """Texts (id, tid, text) and members (id, tid)."""
+    return text_ids(df.where(F.length(text) >= span).select(F.col(key).alias("id"), F.col(text).alias("text")))
 
 
 def sharing_records(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200, **how) -> DataFrame:
     """(id_a, id_b): pairs of rows whose texts have span consecutive characters in common, id_a < id_b."""
-    texts = _texts(df, key, text, span)
+    texts, members = _texts(df, key, text, span)
     pairs = sharing_texts(texts.select("tid", "text"), span, **how)
-    members = cut(texts.select("id", "tid"))
     shared = members.groupBy("tid").count().where("count > 1")
     copies = pairs_within(members.join(shared.select("tid").hint("merge"), "tid", "left_semi"), ["tid"], "id")
     rows = expand_pairs(pairs, members).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
@@ -312,16 +311,15 @@ def shared_extent(df: DataFrame, key: str = "doc_id", text: str = "text", span:
     """(key, chars, shared_chars, share): how much of each row's text lies in spans of at least `span`
     characters that also stand in another row. A row with an equal text elsewhere is shared whole.
     """
-    texts = _texts(df, key, text, span)
+    texts, members = _texts(df, key, text, span)
     stretches = shared_stretches(texts.select("tid", "text"), span, **how)
     # union of the stretches of a text, in order of their starts
     ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
     begin = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("sum"))
     step = lambda s, x: F.struct(F.greatest(s["upto"], x["end"]).alias("upto"), (s["sum"] + F.greatest(F.lit(0), x["end"] - F.greatest(s["upto"], x["start"]))).alias("sum"))
     covered = stretches.groupBy("tid").agg(F.aggregate(ordered, begin, step, lambda s: s["sum"]).alias("covered"))
-    members = texts.select("id", "tid", F.length("text").alias("chars"))
     classes = members.groupBy("tid").agg(F.count("*").alias("rows")).join(covered, "tid", "left")
-    found = members.join(classes, "tid").select("id", F.when(F.col("rows") > 1, F.col("chars")).otherwise(F.coalesce("covered", F.lit(0))).alias("shared"))
+    found = members.join(classes, "tid").select("id", (F.col("rows") > 1).alias("whole"), "covered")
     every = df.select(F.col(key).alias("id"), F.length(text).alias("chars")).join(found, "id", "left")
-    shared = F.coalesce("shared", F.lit(0))
+    shared = F.when(F.col("whole"), F.col("chars")).otherwise(F.coalesce("covered", F.lit(0)))
     return every.select(F.col("id").alias(key), "chars", shared.alias("shared_chars"), F.round(F.try_divide(shared.cast("double"), F.col("chars")), 6).alias("share"))

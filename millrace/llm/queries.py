@@ -93,6 +93,12 @@ def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_quality.quality_statistics(table(spark, d, "samples"), table(spark, d, "common_words"))
 
 
+def p5_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of p5_statistics that SQL can count."""
+    rows = p5_statistics(spark, d)
+    return rows.select("ord", "words", *[F.round(c, 6).alias(c) for c in ("mean_word_length", "symbol_share", "ended_lines")])
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizing.encode_corpus(table(spark, d, "documents"))
 
@@ -136,7 +142,9 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_links": P1_LINKS, "p1_classes": P1_CLASSES, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p6_decoded": P6_DECODED, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p8_shared": P8_SHARED}
+    forms = _forms_sql()
+    more = {"p4_forms": forms + "SELECT samples.ord, CASE WHEN samples.text IS NOT NULL THEN coalesce(form, '') END AS form FROM samples LEFT JOIN forms USING (ord)", "p4_found": forms + P4_PAIRS, "p5_numbers": P5_NUMBERS}
+    return more | {"p1_found": P1_FOUND, "p1_links": P1_LINKS, "p1_classes": P1_CLASSES, "p3_found": P3_FOUND, "p3_kept": P3_KEPT, "p6_decoded": P6_DECODED, "p7_kept": P7_KEPT, "p8_found": P8_FOUND, "p8_shared": P8_SHARED}
 
 
 P3_FOUND = """
@@ -148,6 +156,34 @@ SELECT shares.mix, shares.name
 FROM shares JOIN mixes USING (mix) CROSS JOIN total LEFT JOIN docs ON docs.name = shares.name
 WHERE share > 0 AND share * size_factor * total.size > max_repeats * coalesce(docs.size, 0)
 """
+def _forms_sql() -> str:
+    """The consistent form, character by character: the characters that change, by their number, and what
+    they become, from the rule of lookalikes.skeleton (Hangul, which only falls apart, left as it is)."""
+    rows = []
+    for i in [*range(1, 0xAC00), *range(0xD7B0, 0xD800), *range(0xE000, 0x1F000), *range(0xE0000, 0xE1000)]:
+        c = chr(i)
+        if (f := lookalikes.skeleton(c)) != c:
+            rows.append(f"({i},'{f.replace(chr(39), chr(39) * 2)}')")
+    return (
+        f"WITH m(code, form) AS (VALUES {','.join(rows)}), "
+        "c AS (SELECT ord, i, substr(text, i, 1) AS c FROM (SELECT ord, text, unnest(range(1, length(text) + 1)) AS i FROM samples)), "
+        "forms AS (SELECT ord, string_agg(coalesce(form, c), '' ORDER BY i) AS form FROM c LEFT JOIN m ON code = unicode(c) GROUP BY ord) "
+    )
+
+
+P4_PAIRS = """, t AS (SELECT ord, text, form FROM samples JOIN forms USING (ord) WHERE regexp_replace(form, '[\\t-\\r\\x1c-\\x1f \\x{85}\\p{Z}]+', '', 'g') <> '')
+SELECT a.ord AS ord_a, b.ord AS ord_b FROM t a JOIN t b ON a.form = b.form AND a.ord < b.ord AND a.text <> b.text
+"""
+_WORDS = "regexp_extract_all(text, '[\\p{L}\\p{N}][\\p{L}\\p{N}_''’\\x{300}-\\x{36f}]*')"
+_BLANK = "[\\t-\\r\\x1c-\\x1f \\x{85}\\p{Z}]"
+P5_NUMBERS = f"""
+WITH w AS (SELECT ord, text, {_WORDS} AS w, list_filter(regexp_split_to_array(text, '\\r\\n|[\\n-\\r\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda l: regexp_replace(l, '{_BLANK}+', '', 'g') <> '') AS l FROM samples)
+SELECT ord, CAST(coalesce(len(w), 0) AS INT) AS words,
+  round(nullif(list_sum(list_transform(w, lambda x: length(x))), 0)::DOUBLE / nullif(len(w), 0), 6) AS mean_word_length,
+  CASE WHEN len(w) > 0 OR len(l) > 0 THEN round(length(regexp_replace(text, '[\\p{{L}}\\p{{N}}]|{_BLANK}', '', 'g'))::DOUBLE / length(text), 6) END AS symbol_share,
+  round(len(list_filter(l, lambda x: regexp_matches(x, '[.!?…:;]["''”’»)\\]]*{_BLANK}*$')))::DOUBLE / nullif(len(l), 0), 6) AS ended_lines
+FROM w
+"""
 P3_KEPT = "SELECT mix, how, true AS limit_kept, true AS budgets_met, true AS size_planned FROM mixes CROSS JOIN (SELECT unnest(['limit', 'entropy', 'weights']) AS how) WHERE mix IN (SELECT mix FROM dolma_sources WHERE weight > 0)"
 P6_DECODED = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 P7_KEPT = "SELECT doc_id, true AS fits, true AS follow, true AS complete FROM documents"

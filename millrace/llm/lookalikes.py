@@ -64,7 +64,11 @@ def skeleton(text: str) -> str:
     """The form that is equal for texts a reader cannot tell apart."""
     if text.isascii():
         return _ASCII_CONTROLS.sub("", text)
-    return unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", text).translate(table()))
+    out, prototypes = unicodedata.normalize("NFKD", text), table()
+    for c in set(out):  # no prototype is itself replaced, so one character after the other may be
+        if (n := ord(c)) in prototypes:
+            out = out.replace(c, prototypes[n] or "")
+    return unicodedata.normalize("NFKD", out)
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ _CODE = re.compile(
 )
 _MARKS = re.compile(r"[^\w\s\u0300-\u036f]")
 _BREAK = re.compile("[\r\n\v\f\x85\u2028\u2029]+")
+_ASCII_LETTERS = re.compile("[A-Za-z]+")
 _GAP = re.compile(r"\S(?:[ ]{2,}|\t+)(?=\S)")
 _HEX = re.compile(r"^(?:[0-9a-fA-F]{2,8}[:\s]*)+$")
 _VOWELS = re.compile("[aeiouyäöüàâéèêëîïôûùáíóúœæаеёиоуыэюяіαειουηω]", re.I)
@@ -134,18 +136,24 @@ def repeated(text: str) -> bool:
     return len(raw) >= 200 and len(zlib.compress(raw, 1)) < max(0.16 * len(raw), 40)
 
 
+@lru_cache(4)
+def begun(common: frozenset[str]) -> frozenset[str]:
+    """What stands before the apostrophe of common words that end with one, such as l'."""
+    return frozenset(w[:-1] for w in common if w.endswith("'"))
+
+
 def junk_words(words: list[str], line: str, common: frozenset[str]) -> bool:
     """Whether the words of a stretch of running text are noise."""
     visible = len(line) - line.count(" ")
-    letters = sum(map(str.isalpha, line))
+    letters = sum(map(len, _ASCII_LETTERS.findall(line))) if line.isascii() else sum(map(str.isalpha, line))
     if not words or letters < 0.5 * visible:
         return True
     if len(_NOISE.findall(line)) > 0.035 * len(line):
         return True
-    single = sum(len(w) == 1 for w in words)
-    if len(words) > 12 and single > 0.6 * len(words):
+    if len(words) > 12 and list(map(len, words)).count(1) > 0.6 * len(words):
         return True
-    known = sum(w in common or w.split("'")[0] + "'" in common for w in words)
+    alone = begun(common)
+    known = len([w for w in words if w in common or w in alone or "'" in w and w.split("'")[0] + "'" in common])
     if known >= 0.07 * len(words):
         if len(words) >= 40 and len(set(words)) < 0.12 * len(words):
             return True

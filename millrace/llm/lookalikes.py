@@ -10,7 +10,7 @@ What still counts: case, accents, line breaks, tabs and the number of blanks.
 
 Defined cases: a null text has a null form and is in no pair; an empty or blank text has itself as
 form, but is no case; equal texts are no pair of each other, though each pairs with a text of the
-same form; repeated rows are told apart by the key; further columns are ignored.
+same form; repeated rows are told apart by the key, and a row without one is in no pair; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -100,7 +100,7 @@ def consistent_form(df: DataFrame, key: str = "ord", text: str = "text") -> Data
 
 def lookalike_pairs(df: DataFrame, key: str = "ord", text: str = "text") -> DataFrame:
     """(id_a, id_b): rows whose texts differ but have the same form, id_a < id_b."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = df.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = cut(with_text_id(rows).select("key", "tid", "text").mapInArrow(_hashed, "key long, f0 long, f1 long, tid long"))
     mixed = rows.groupBy("f0", "f1").agg(F.min("tid").alias("low"), F.max("tid").alias("high")).where("low <> high").select("f0", "f1")
     members = cut(rows.join(mixed.hint("merge"), ["f0", "f1"], "left_semi"))

@@ -18,7 +18,7 @@ numbers first, so neither documents nor blocks of a source meet in one task.
 
 Defined cases: names are compared in lower case without surrounding blanks; null and zero weights
 get nothing; a repeated row of a mixture counts once; a source without documents gets nothing and
-is reported; documents of null or zero size are never taken but harmless; an empty corpus gives
+is reported; documents of null or zero size, and those without a key, are never taken but harmless; an empty corpus gives
 every weighted source as unreachable only if the mixture's size is above 0, so none; an unknown mix
 name (a source row without a row in mixes) is left out.
 """
@@ -174,7 +174,7 @@ def _fill(seed: int):
 
 def realise(documents: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "source", size: str = "n_chars", seed: int = 42, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(mix, name, key, size, copies): how often each mixture takes each document, at least once."""
-    docs = documents.select(F.col(key).cast("long").alias("key"), plain_name(source).alias("name"), F.col(size).cast("long").alias("size")).where("size > 0")
+    docs = documents.select(F.col(key).cast("long").alias("key"), plain_name(source).alias("name"), F.col(size).cast("long").alias("size")).where("size > 0 AND key IS NOT NULL")
     names = F.broadcast(plan.select("name").distinct())  # as many as the fixed table of sources has
     docs = docs.join(names, "name")
     blocks = docs.groupBy("name").agg(F.greatest(F.ceil(F.count("*") / F.lit(block_rows)), F.lit(1)).alias("blocks"))

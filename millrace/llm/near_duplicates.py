@@ -10,7 +10,8 @@ quadratic, so blocks of minima come first. A pair at exactly t=0.8 is in no bloc
 2.6e-5. No caps: blocks above `hot` members are split, each two parts a group of their own.
 
 Defined cases: a null text or one shorter than min_chars is in no pair; equal texts are pairs
-(similarity 1); tied and repeated rows are kept apart by the key column; an empty table gives an
+(similarity 1); tied and repeated rows are kept apart by the key column, and a row without a key is in
+no pair; an empty table gives an
 empty result; further columns are ignored, whatever their names.
 """
 
@@ -26,7 +27,7 @@ from millrace.session import cut
 
 def _texts(df: DataFrame, key: str, text: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
     """Texts (id, tid, text) and members (id, tid)."""
-    return text_ids(df.where(F.length(text) >= min_chars).select(F.col(key).alias("id"), F.col(text).alias("text")))
+    return text_ids(df.where((F.length(text) >= min_chars) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")))
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "ord", text: str = "text", min_chars: int = 200, k: int = 13, t: float = 0.8, **how) -> DataFrame:

@@ -9,7 +9,7 @@ sums are shuffled; the driver sees counts, and for the report a histogram of at
 
 Defined cases: an item longer than the capacity is cut into full pieces and a rest; null and empty
 texts have size 0 and are in no bin (bin is null); ties are broken by key and piece, so the result
-is the same on every run; repeated rows are items of their own; an empty table gives no rows.
+is the same on every run; repeated rows are items of their own, rows without a key none; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def lower_bound(histogram: np.ndarray, capacity: int, most_k: int = 20) -> int:
 
 def pieces(sizes: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     """(key, piece, start, n): an item longer than the capacity in full pieces and a rest."""
-    rows = sizes.select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("size"))
+    rows = sizes.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("int").alias("size"))
     rows = rows.select("key", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / F.lit(capacity)).cast("int") - 1, F.lit(0)))).alias("piece"))
     start = F.col("piece") * F.lit(capacity)
     return rows.select("key", "piece", start.alias("start"), F.least(F.lit(capacity), F.col("size") - start).alias("n"))

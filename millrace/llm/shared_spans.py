@@ -26,7 +26,7 @@ The result is exact but for collisions of 64-bit hashes of runs of k characters
 only make it larger, and of 128-bit hashes in groups above `hot`.
 
 Defined cases: null, empty and shorter texts share nothing; equal texts of the length are pairs; a
-passage repeated only within one record is none; an empty table gives an empty result; further
+passage repeated only within one record is none; a row without a key is in no pair; an empty table gives an empty result; further
 columns are ignored.
 """
 
@@ -294,7 +294,7 @@ def shared_stretches(texts: DataFrame, span: int = 200, hot: int = HOT) -> DataF
 
 def _texts(df: DataFrame, key: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
     """Texts (id, tid, text) and members (id, tid)."""
-    return text_ids(df.where(F.length(text) >= span).select(F.col(key).alias("id"), F.col(text).alias("text")))
+    return text_ids(df.where((F.length(text) >= span) & F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")))
 
 
 def sharing_records(df: DataFrame, key: str = "doc_id", text: str = "text", span: int = 200, **how) -> DataFrame:

@@ -10,7 +10,7 @@ The Java pattern is the tokenizer's with \\s written out. A text with characters
 know (\\p{Cn}) goes to the tokenizer itself, since the classes of such characters may differ.
 
 Defined cases: a null text and an empty text give an empty list; strings that look like special
-tokens are ordinary text; a lone word of any length is encoded whole; rows repeat freely; an empty
+tokens are ordinary text; a lone word of any length is encoded whole; rows repeat freely, those without a key are left out; an empty
 table gives an empty result; further columns are ignored.
 """
 
@@ -125,7 +125,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
     """(key, ids): the token ids of every row's text."""
     spark = df.sparkSession
     file = spark.sparkContext.broadcast(ranks_file(spark, ranks))
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     odd = F.coalesce((F.octet_length("text") != F.length("text")) & F.col("text").rlike(r"\p{Cn}"), F.lit(False))
     words = rows.select("key", F.when(~odd, F.regexp_extract_all("text", F.lit(JAVA_PATTERN), F.lit(0))).alias("words"), odd.alias("odd")).where("NOT odd").drop("odd")
     blocks = cut(words.mapInArrow(_blocks, "block long, keys binary, lengths binary, places binary, words array<string>"))
@@ -162,4 +162,4 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", ranks:
             n = np.array([len(encode(t)) if t else 0 for t in b.column("text").to_pylist()], np.int32)
             yield pa.RecordBatch.from_arrays([b.column("key"), n], names=["key", "n_tokens"])
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(rows, "key long, n_tokens int").withColumnRenamed("key", key)
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(rows, "key long, n_tokens int").withColumnRenamed("key", key)

@@ -202,9 +202,9 @@ def realise(documents: DataFrame, plan: DataFrame, key: str = "doc_id", source:
 
 
 def actual_shares(realised: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source of a mixture: target share, planned share, what was taken, its share, the largest repetition and document."""
-    got = realised.groupBy("mix", "name").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"), F.max("size").alias("longest"))
+    """Per source of a mixture: target share, planned share, what was taken, its share, the largest repetition."""
+    got = realised.groupBy("mix", "name").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("copies").alias("most_copies"))
     rows = plan.select("mix", "name", "share", "tempered", "exponent", "wanted", "budget", "reachable").join(got, ["mix", "name"], "left")
-    rows = rows.fillna({"taken": 0, "most_copies": 0, "longest": 0})
+    rows = rows.fillna({"taken": 0, "most_copies": 0})
     of_all = F.sum("taken").over(Window.partitionBy("mix"))  # a row for each source of a mixture
     return rows.withColumn("actual_share", F.try_divide(F.col("taken"), of_all))

@@ -64,13 +64,14 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
     budget up to less than a document, and the budgets add up to the mixture's size (the documents suffice)."""
     out = None
     limits = table(spark, d, "mixes").select("mix", "max_repeats")
+    longest = table(spark, d, "documents").groupBy(mixing.plain_name("source").alias("name")).agg(F.max("n_chars").alias("longest"))
     for how in ("limit", "entropy", "weights"):
-        rows = _shares(spark, d, how=how).join(limits, "mix")
+        rows = _shares(spark, d, how=how).join(limits, "mix").join(longest, "name", "left")
         gap = F.col("budget") - F.col("taken")
         one = rows.groupBy("mix").agg(
             F.lit(how).alias("how"),
             F.every(F.col("most_copies") <= F.col("max_repeats")).alias("limit_kept"),
-            F.every((gap > -0.5) & ((F.col("budget") < 0.5) | (gap < F.greatest("longest", F.lit(1))) | (F.col("taken") == 0))).alias("budgets_met"),
+            F.every((gap > -0.5) & ((F.col("budget") < 0.5) | (gap < F.coalesce("longest", F.lit(1))))).alias("budgets_met"),
             (F.abs(F.sum("budget") - F.sum("wanted")) < 1).alias("size_planned"),
         )
         out = one if out is None else out.unionByName(one)

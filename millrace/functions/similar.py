@@ -12,7 +12,10 @@ Sets are sorted distinct 64-bit hashes, of runs of characters (similar_texts) or
    members are a group of a second shuffle.
 3. The pairs left are compared by their whole sets.
 
-A pair at exactly t=0.8 shares no key with probability (1-0.8^4)^20 = 2.6e-5.
+A pair at exactly t=0.8 shares no key with probability (1-0.8^4)^20 = 2.6e-5. Several searches, each with
+hashes mixed anew, lose only what all of them lose: SEARCHES of 3 leave 2e-14 for a pair, less than the
+chance that the 64-bit hashes of two texts of 1,500 runs clash (1e-13). Ranges filled from donors are not
+independent: of sets of 5 and 4 hashes a search lost 159 of 180,000 pairs (9e-4, so 7e-10 for three).
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.groups import sent
+from millrace.functions.groups import SENT_ROWS, sent
 from millrace.functions.rolling import code_points, distinct_shingles, mix, rolling
 from millrace.functions.runs import column, whole_runs
-from millrace.session import cut
+from millrace.session import cut, cut_freed
 
 ROWS, BANDS, RADIUS, TILE, HOT = 4, 20, 40, 256, 4096
+SEARCHES = 3
 BAND_SCHEMA = "key long, n int, tid long, s0 long, s1 long"
 _ROUNDS = 64
 Sets = Callable[[pa.Array], list[np.ndarray]]
@@ -91,7 +95,12 @@ def given_sets(runs: pa.Array) -> list[np.ndarray]:
     return [np.unique(r.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)) for r in runs]
 
 
-def band_rows(rows: DataFrame, sets: Sets) -> DataFrame:
+def remixed(hashes: np.ndarray, search: int) -> np.ndarray:
+    """The sorted set with hashes of their own for each search; search 0 has the hashes as they are."""
+    return np.sort(mix(hashes + np.uint64(search * 0x9E3779B97F4A7C15 & ((1 << 64) - 1)))) if search else hashes
+
+
+def band_rows(rows: DataFrame, sets: Sets, search: int = 0) -> DataFrame:
     """BAND_SCHEMA for rows (tid, value); copies of a tid are mostly dropped, empty sets too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +119,7 @@ def band_rows(rows: DataFrame, sets: Sets) -> DataFrame:
                 some = [i for i, s in enumerate(found) if len(s)]
                 if not some:
                     continue
-                n, keys, sketch = signatures([found[i] for i in some])
+                n, keys, sketch = signatures([remixed(found[i], search) for i in some])
                 columns = [keys.reshape(-1).view(np.int64), *(np.repeat(c, BANDS) for c in (n, tids[some], sketch[:, 0].view(np.int64), sketch[:, 1].view(np.int64)))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "tid", "s0", "s1"])
 
@@ -189,10 +198,10 @@ def _compare(t: float, radius: int, hot: int, crossed: bool):
     return rows
 
 
-def near_by_sketch(bands: DataFrame, t: float = 0.8, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+def near_by_sketch(bands: DataFrame, t: float = 0.8, radius: int = RADIUS, hot: int = HOT, kept=cut) -> DataFrame:
     """(a, b), a < b: pairs of tids of (key, n, tid, s0, s1) with a key in common that are near by sketch and size."""
     out = "kind byte, a long, b long, n int, s0 long, s1 long"
-    first = cut(bands.repartition("key").sortWithinPartitions("key", "n", "tid").mapInArrow(_compare(t, radius, hot, False), out))
+    first = kept(bands.repartition("key").sortWithinPartitions("key", "n", "tid").mapInArrow(_compare(t, radius, hot, False), out))
     near = first.where("kind = 0").select("a", "b")
     rows = first.where("kind = 1").selectExpr("a AS key", "b AS tid", "n", "s0", "s1")
     if not rows.isEmpty():
@@ -259,9 +268,21 @@ def _similar(rows: DataFrame, sets: Sets, t: float, **how) -> DataFrame:
     return verified(cut(near_by_sketch(band_rows(rows, sets), t, **how)), rows, sets, t)
 
 
-def similar_texts(texts: DataFrame, k: int = 13, t: float = 0.8, **how) -> DataFrame:
+def _searched(rows: DataFrame, sets: Sets, t: float, searches: int, **how) -> DataFrame:
+    """_similar of several searches; the shuffle of one is deleted before the next begins."""
+    near = None
+    for i in range(searches):
+        found = near_by_sketch(band_rows(rows, sets, i), t, kept=cut_freed, **how)
+        near = cut_freed(found if near is None else near.unionByName(found).distinct())
+    wanted = cut(near.select(F.col("a").alias("tid")).union(near.select("b")).distinct())
+    some = wanted.limit(SENT_ROWS + 1).count() <= SENT_ROWS  # texts without a partner are not shuffled
+    return verified(near, rows.join(F.broadcast(wanted), "tid", "left_semi") if some else rows, sets, t)
+
+
+def similar_texts(texts: DataFrame, k: int = 13, t: float = 0.8, searches: int = 1, **how) -> DataFrame:
     """(a, b, jaccard), a < b, of every two distinct texts (tid, text) with a similarity of at least t by runs of k characters."""
-    return _similar(texts.select("tid", F.col("text").alias("value")), shingle_sets(k), t, **how)
+    rows = texts.select("tid", F.col("text").alias("value"))
+    return _similar(rows, shingle_sets(k), t, **how) if searches == 1 else _searched(rows, shingle_sets(k), t, searches, **how)
 
 
 def similar_runs(rows: DataFrame, t: float = 0.8, **how) -> DataFrame:

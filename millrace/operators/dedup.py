@@ -25,7 +25,7 @@ from millrace.functions.arrow import shingles
 from millrace.functions.chars import let, words
 from millrace.functions.groups import pairs_within, text_ids, with_text_id
 from millrace.functions.rolling import code_points, mix, rolling
-from millrace.functions.similar import minima, similar_runs, similar_texts
+from millrace.functions.similar import SEARCHES, minima, similar_runs, similar_texts
 from millrace.session import cut
 
 MERSENNE = (1 << 31) - 1
@@ -212,16 +212,18 @@ def _named(pairs: DataFrame, ats: DataFrame) -> DataFrame:
 def similar_pairs(df: DataFrame, key: str = "doc_id", order: str | None = None, text: str = "text", n: int = 13, t: float = 0.8, method: str = "exact", hashes: int = 128) -> DataFrame:
     """(lo, hi, jaccard) with lo and hi structs of order and key.
 
-    method: exact (all pairs by prefixes), minhash (one-permutation minima, tiled and verified; fed is the
-    same), minhash_compat (bands of the described split, which loses most pairs at t) or lshbloom
-    (candidates of 20 bands of 6 shifted minima, verified).
+    method: exact (all pairs by prefixes, without any loss; shuffles every run and compares ever more pairs,
+    for moderate corpora), minhash (one-permutation minima, tiled and verified; fed is the same), thorough
+    (three independent searches of minhash, see similar.py: a pair at 0.8 is lost with probability 2e-14),
+    minhash_compat (bands of the described split, which loses most pairs at t) or lshbloom (candidates of
+    20 bands of 6 shifted minima, verified).
     """
     order = order or key
     one = df.where(F.length(text) > 0).select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text"))
-    if method in ("minhash", "fed"):
+    if method in ("minhash", "fed", "thorough"):
         rows, ids = text_ids(one)
         ats = ids.select("tid", F.struct("ord", "key").alias("id"))
-        pairs = cut(similar_texts(rows, n, t))
+        pairs = cut(similar_texts(rows, n, t, _searches(method)))
         first = ats.groupBy("tid").agg(F.min("id").alias("at"))
         # equal texts are compared once; their rows come back at the end
         apart = _named(pairs, first) if ats.count() == first.count() else expand_pairs_with(pairs, ats)
@@ -242,6 +244,10 @@ def similar_pairs(df: DataFrame, key: str = "doc_id", order: str | None = None,
     return _verify(pairs, rows.select("key", "ord", "runs"), "key", "ord", t)
 
 
+def _searches(method: str) -> int:
+    return SEARCHES if method == "thorough" else 1
+
+
 def expand_pairs_with(pairs: DataFrame, ats: DataFrame) -> DataFrame:
     """(lo, hi, jaccard) for pairs (a, b, jaccard) of ids and all rows (tid, id) of each."""
     scored = pairs.select("a", "b", "jaccard")
@@ -276,7 +282,7 @@ def duplicate_map(pairs: DataFrame) -> DataFrame:
     return found.join(pairs.withColumnsRenamed({"hi": "dup", "lo": "kept"}), ["dup", "kept"]).select(F.col("dup.key").alias("dup_id"), F.col("kept.key").alias("kept_id"), "jaccard")
 
 
-METHODS = ("exact_hash", "minhash", "minhash_compat", "fed", "lshbloom", "exact", "both")
+METHODS = ("exact_hash", "minhash", "minhash_compat", "fed", "thorough", "lshbloom", "exact", "both")
 
 
 def near_dedup(df: DataFrame, method: str = "minhash", key: str = "doc_id", order: str | None = None, text: str = "text", n: int = 13, threshold: float = 0.8, hashes: int = 128) -> DataFrame:
@@ -287,11 +293,11 @@ def near_dedup(df: DataFrame, method: str = "minhash", key: str = "doc_id", orde
     rows = df.where(F.length(text) > 0)
     if method == "exact_hash":
         return exact_dedup(rows, text, order)
-    if method in ("minhash", "fed", "both"):
+    if method in ("minhash", "fed", "both", "thorough"):
         one, ids = text_ids(rows.select(F.col(key).alias("key"), F.col(order).alias("ord"), F.col(text).alias("text")))
         # a copy is similar to its first row, which decides for it
         first = cut(ids.groupBy("tid").agg(F.min(F.struct("ord", "key")).alias("at")))
-        pairs = cut(similar_texts(one, n, threshold))
+        pairs = cut(similar_texts(one, n, threshold, _searches(method)))
         if pairs.isEmpty():
             kept = first.select("at.key")
         else:

@@ -37,7 +37,7 @@ def _pairs(spark, d, **how):
 
 @query(PAIRS_SQL + "SELECT lo, hi, round(j, 6) AS jaccard FROM pairs")
 def near_dup_pairs(spark, d):
-    return _pairs(spark, d).select(F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"), F.round("jaccard", 6).alias("jaccard"))
+    return _pairs(spark, d, method="thorough").select(F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"), F.round("jaccard", 6).alias("jaccard"))
 
 
 @query(GREEDY_SQL + "SELECT doc_id FROM t WHERE doc_id NOT IN (SELECT dup_id FROM dropped)")

@@ -46,3 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def cut_freed(df: DataFrame) -> DataFrame:
+    """cut(df), after which the shuffles it was made from are deleted at once, not when the driver collects its garbage."""
+    out = cut(df)
+    df._jdf.queryExecution().toRdd().cleanShuffleDependencies(True)
+    return out

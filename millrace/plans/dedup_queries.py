@@ -47,7 +47,7 @@ def near_dup_survivors(spark, d):
 
 @query(GREEDY_SQL + "SELECT dup_id, kept_id, round(j, 6) AS jaccard FROM dropped JOIN pairs ON lo = kept_id AND hi = dup_id")
 def dup_map(spark, d):
-    return dedup.duplicate_map(_pairs(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
+    return dedup.duplicate_map(_pairs(spark, d, method="thorough")).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query("SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE len(list_distinct(list_transform(range(1, greatest(length(text) - 11, 1)), lambda i: substr(text, CAST(i AS BIGINT), 13)))) END AS runs FROM documents")

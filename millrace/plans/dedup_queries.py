@@ -42,7 +42,7 @@ def near_dup_pairs(spark, d):
 
 @query(GREEDY_SQL + "SELECT doc_id FROM t WHERE doc_id NOT IN (SELECT dup_id FROM dropped)")
 def near_dup_survivors(spark, d):
-    return dedup.near_dedup(table(spark, d, "documents"), "exact", "doc_id").select("doc_id")
+    return dedup.near_dedup(table(spark, d, "documents"), "thorough", "doc_id").select("doc_id")
 
 
 @query(GREEDY_SQL + "SELECT dup_id, kept_id, round(j, 6) AS jaccard FROM dropped JOIN pairs ON lo = kept_id AND hi = dup_id")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.arrow import distinct_runs, shingles
 from millrace.functions.chars import SPACE
+from millrace.functions.groups import sent
 from millrace.operators import dedup
 from millrace.plans.registry import query
 from millrace.session import cut, table
@@ -81,9 +82,9 @@ def bloom_dedup(spark, d):
 @query(PAIRS_SQL + "SELECT lo, hi, round(j, 6) AS jaccard, true AS near FROM pairs")
 def estimated_similarity(spark, d):
     """Exact similarity of the near-duplicate pairs, and whether the estimate of 128 minima is within five deviations of it."""
-    docs = cut(table(spark, d, "documents").where(F.length("text") > 0).select("doc_id", shingles("text", 13).alias("runs")))
-    rows = docs.withColumn("sig", dedup.signature("runs"))
-    pairs = dedup.prefix_pairs(docs.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("ord"), "runs"), "key", "ord", 0.8)
+    pairs = cut(_pairs(spark, d, method="thorough"))
+    paired = cut(pairs.select(F.col("lo.key").alias("doc_id")).union(pairs.select("hi.key")).distinct())
+    rows = cut(table(spark, d, "documents").join(sent(paired), "doc_id").select("doc_id", dedup.signature(shingles("text", 13)).alias("sig")))
     a = rows.select(F.col("doc_id").alias("lo"), F.col("sig").alias("a"))
     b = rows.select(F.col("doc_id").alias("hi"), F.col("sig").alias("b"))
     pairs = pairs.select(F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"), "jaccard")

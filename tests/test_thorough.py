@@ -50,7 +50,7 @@ def test_cut_freed(spark):
     assert [r["count"] for r in df.collect()] == [1000] == [r["count"] for r in df.collect()]
 
 
-@pytest.mark.parametrize("name", ["near_dup_pairs", "dup_map", "near_dup_survivors"])
+@pytest.mark.parametrize("name", ["near_dup_pairs", "dup_map", "near_dup_survivors", "estimated_similarity"])
 def test_shuffles_less_than_three_times_the_texts(spark, folder, name):
     size = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("sum(length(text)) AS n").first()["n"]
     before = shuffled(spark)
